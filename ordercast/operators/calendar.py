@@ -50,6 +50,12 @@ class CycleCalendar:
     def delivery(self, cycle_id: Column) -> Column:
         return F.date_add(F.lit(self.start_date), (cycle_id - 1) * self.cadence_days)
 
+    def calibrated_by(self, cycle_id: Column) -> Column:
+        """The cycle delivered ``p_horizon_weeks`` after this one; null where there is none."""
+        steps, off_grid = divmod(7 * self.p_horizon_weeks, self.cadence_days)
+        later = cycle_id + steps
+        return F.when((later <= self.last_cycle) & F.lit(off_grid == 0), later)
+
     def window_start(self, delivery: Column, role: str) -> Column:
         return F.date_add(delivery, self.offsets(role)[0])
 

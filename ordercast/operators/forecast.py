@@ -6,31 +6,36 @@ day-of-week curve. ``cycle_id`` is a key everywhere, so one job computes every c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordercast.functions.joins import match_join
 from ordercast.functions.numeric import safe_ratio
 from ordercast.operators.calendar import (
+    WINDOW_ROLES,
     CycleCalendar,
-    horizon_grid,
     in_windows,
     known_warehouses,
     window_totals_wide,
 )
 
 
+def _growth(pre: Column, pre_prev: Column) -> Column:
+    return safe_ratio(pre - pre_prev, pre_prev)
+
+
 def yoy_growth(daily: DataFrame, cal: CycleCalendar) -> DataFrame:
     """Growth of the recent window over the same window a year earlier; null without a base."""
     totals = window_totals_wide(daily, cal)
-    growth = safe_ratio(F.col("pre") - F.col("pre_prev"), F.col("pre_prev"))
+    growth = _growth(F.col("pre"), F.col("pre_prev"))
     return totals.select("cycle_id", "pre", "pre_prev", growth.alias("growth"))
 
 
 def expected_volume(daily: DataFrame, cal: CycleCalendar) -> DataFrame:
     """Last year's target volume, the same grown, and the growth that implies."""
     totals = window_totals_wide(daily, cal)
-    growth = safe_ratio(F.col("pre") - F.col("pre_prev"), F.col("pre_prev"))
+    growth = _growth(F.col("pre"), F.col("pre_prev"))
     return (
         totals.select("cycle_id", F.col("comp_target").alias("comp_volume"), growth.alias("growth"))
         .withColumn("expected_volume", F.col("comp_volume") * (F.col("growth") + 1))
@@ -68,15 +73,108 @@ def warehouse_share(daily: DataFrame, cal: CycleCalendar) -> DataFrame:
     )
 
 
-def warehouse_dow_volume(daily: DataFrame, cal: CycleCalendar) -> DataFrame:
-    """Expected volume of one day, by warehouse and day of week."""
-    shares = warehouse_share(daily, cal).select("cycle_id", "Warehouse", F.col("pct_orders").alias("wh_share"))
-    curve = dow_curve(daily, cal).withColumnRenamed("pct_orders", "dow_share")
-    volume = expected_volume(daily, cal).select("cycle_id", "expected_volume")
-    weekly = F.col("wh_share") * F.col("expected_volume") / cal.f_horizon_weeks
-    return (
-        match_join(shares.join(volume, "cycle_id"), curve, ["cycle_id", "Warehouse"], "left")
-        .select("cycle_id", "Warehouse", "DOW", (weekly * F.col("dow_share")).alias("Fcast_Volume"))
+def weekday_profile(daily: DataFrame, cal: CycleCalendar) -> DataFrame:
+    """Everything a cycle's forecast rests on, by warehouse and weekday.
+
+    One grouping adds up all windows; the totals that the shares and the growth need are sums over
+    its few rows, so nothing is joined. Carries the volume of one day (``Fcast_Volume``), how many
+    warehouse-days the recent and the target window have, and the spread of the target's actuals.
+    """
+    demand = F.col("demand")
+    in_role = {r: F.when(F.col("role") == r, demand) for r in WINDOW_ROLES}
+    weekdays = (
+        in_windows(daily, cal, *WINDOW_ROLES)
+        .groupBy("cycle_id", "Warehouse", F.dayofweek("Date").alias("DOW"))
+        .agg(
+            *[F.sum(value).alias(r) for r, value in in_role.items()],
+            F.count_if(F.col("role") == "pre").alias("n_pre"),
+            F.count_if(F.col("role") == "target").alias("n_target"),
+            F.stddev_samp(in_role["target"]).alias("sd_target"),
+        )
+    )
+    in_cycle = Window.partitionBy("cycle_id")
+    in_warehouse = Window.partitionBy("cycle_id", "Warehouse")
+    totals = {f"all_{r}": F.coalesce(F.sum(r).over(in_cycle), F.lit(0.0)) for r in WINDOW_ROLES}
+    summed = weekdays.withColumns({**totals, "wh_pre": F.sum("pre").over(in_warehouse)})
+
+    expected = F.col("all_comp_target") * (_growth(F.col("all_pre"), F.col("all_pre_prev")) + 1)
+    weekly = safe_ratio(F.col("wh_pre"), F.col("all_pre")) * expected / cal.f_horizon_weeks
+    return summed.select(
+        "cycle_id",
+        "Warehouse",
+        "DOW",
+        (weekly * safe_ratio(F.col("pre"), F.col("wh_pre"))).alias("Fcast_Volume"),
+        "n_pre",
+        "n_target",
+        "sd_target",
+    )
+
+
+def warehouse_dow_volume(profile: DataFrame) -> DataFrame:
+    """Expected volume of one day, by warehouse and weekday seen in the recent window."""
+    return profile.where(F.col("n_pre") > 0).select("cycle_id", "Warehouse", "DOW", "Fcast_Volume")
+
+
+def weekday_forecast(
+    daily: DataFrame,
+    cal: CycleCalendar,
+    warehouses: DataFrame | None = None,
+    spread: Callable[[CycleCalendar], Column] | None = None,
+) -> DataFrame:
+    """Forecast per weekday of every warehouse; 0 where there is no volume.
+
+    Volumes and the weekdays to be published are stacked and grouped by their key. That is a full
+    join in one shuffle in which a missing key meets a missing key. ``published`` tells which rows
+    belong to the target days of a listed warehouse.
+
+    ``spread`` names further rows each profile row gives rise to (``vsd`` for some other cycle, see
+    ``intervals``); they go into the same stack, so the profile is computed once.
+    """
+    listed = known_warehouses(daily) if warehouses is None else warehouses.select("Warehouse")
+    grid = listed.select("Warehouse", F.explode(cal.cycle_ids()).alias("cycle_id")).select(
+        "cycle_id",
+        "Warehouse",
+        F.explode(F.sequence(F.lit(1), F.lit(7))).alias("DOW"),
+        F.lit(True).alias("published"),
+    )
+    nothing = F.lit(None).cast("double")
+    volume = part_row(F.col("cycle_id"), F.col("DOW"), F.col("Fcast_Volume"), F.lit(True), nothing)
+    rows = [F.when(F.col("n_pre") > 0, volume)] + ([spread(cal)] if spread else [])
+    parts = weekday_profile(daily, cal).select("Warehouse", F.inline(F.array_compact(F.array(*rows))))
+    merged = (
+        parts.unionByName(grid, allowMissingColumns=True)
+        .groupBy("cycle_id", "Warehouse", "DOW")
+        .agg(*[F.max(c).alias(c) for c in ("Fcast_Volume", "has_volume", "vsd", "published")])
+    )
+    filled = F.coalesce("Fcast_Volume", F.lit(0.0))
+    forecast = F.when(F.col("has_volume") | F.col("published"), filled)
+    merged = merged.withColumn("Fcast_Volume", forecast).drop("has_volume")
+    return merged if spread else merged.drop("vsd")
+
+
+def part_row(cycle_id: Column, dow: Column, volume: Column, has_volume: Column, vsd: Column) -> Column:
+    """One row of the stack that ``weekday_forecast`` groups."""
+    return F.struct(
+        cycle_id.alias("cycle_id"),
+        dow.alias("DOW"),
+        volume.alias("Fcast_Volume"),
+        has_volume.alias("has_volume"),
+        vsd.alias("vsd"),
+    )
+
+
+def on_target_days(weekdays: DataFrame, cal: CycleCalendar) -> DataFrame:
+    """Repeat each weekday row for its dates in the target; rows that are not published get no date."""
+    delivery = cal.delivery(F.col("cycle_id"))
+    first = F.date_add(delivery, F.pmod(F.col("DOW") - F.dayofweek(delivery), F.lit(7)))
+    dates = F.sequence(first, cal.window_end(delivery, "target"), F.make_dt_interval(F.lit(7)))
+    measures = [c for c in weekdays.columns if c not in ("cycle_id", "Warehouse", "DOW", "published")]
+    return weekdays.select(
+        "cycle_id",
+        "Warehouse",
+        F.explode_outer(F.when(F.col("published"), dates)).alias("Fcast_Date"),
+        "DOW",
+        *measures,
     )
 
 
@@ -88,12 +186,4 @@ def daily_forecast(
     ``warehouses`` defaults to those with demand. A warehouse with volume that is left out of it
     keeps its volume on a row without a date.
     """
-    grid = horizon_grid(known_warehouses(daily) if warehouses is None else warehouses, cal)
-    volumes = warehouse_dow_volume(daily, cal)
-    return match_join(volumes, grid, ["cycle_id", "Warehouse", "DOW"], "full").select(
-        "cycle_id",
-        "Warehouse",
-        "Fcast_Date",
-        "DOW",
-        F.coalesce("Fcast_Volume", F.lit(0.0)).alias("Fcast_Volume"),
-    )
+    return on_target_days(weekday_forecast(daily, cal, warehouses), cal)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordercast.functions.joins import match_join
 from ordercast.functions.numeric import normal_quantile, strict_sd
-from ordercast.operators.calendar import CycleCalendar, calibration_cycles, in_windows
-from ordercast.operators.forecast import warehouse_dow_volume
+from ordercast.operators.calendar import CycleCalendar, in_windows
+from ordercast.operators.forecast import (
+    on_target_days,
+    part_row,
+    warehouse_dow_volume,
+    weekday_forecast,
+    weekday_profile,
+)
 
 
 def calibration_forecast(daily: DataFrame, cal: CycleCalendar) -> DataFrame:
@@ -22,7 +28,8 @@ def calibration_forecast(daily: DataFrame, cal: CycleCalendar) -> DataFrame:
         .select("cycle_id", F.col("Date").alias("Fcast_Date"))
         .withColumn("DOW", F.dayofweek("Fcast_Date"))
     )
-    return match_join(warehouse_dow_volume(daily, cal), target_days, ["cycle_id", "DOW"], "full").select(
+    volumes = warehouse_dow_volume(weekday_profile(daily, cal))
+    return match_join(volumes, target_days, ["cycle_id", "DOW"], "full").select(
         "cycle_id", "Warehouse", "Fcast_Date", "DOW", "Fcast_Volume"
     )
 
@@ -46,10 +53,29 @@ def error_sd(errors: DataFrame) -> DataFrame:
     return errors.groupBy("cycle_id", "Warehouse", "DOW").agg(strict_sd(F.col("Variance")).alias("vsd"))
 
 
+def _spread(cal: CycleCalendar) -> Column:
+    """``error_sd`` read off a weekday profile, as a row for the cycle that it calibrates.
+
+    The forecast is the same on all days of a weekday, so its error spreads exactly as the actuals
+    do and no day-by-day error is needed. Days with orders but no forecast have no weekday.
+    """
+    has_forecast = F.col("n_pre") > 0
+    known = has_forecast & F.col("Fcast_Volume").isNotNull()
+    calibrated = cal.calibrated_by(F.col("cycle_id"))
+    row = part_row(
+        calibrated,
+        F.when(has_forecast, F.col("DOW")),
+        F.lit(None).cast("double"),
+        F.lit(None).cast("boolean"),
+        F.when(known, F.col("sd_target")),
+    )
+    return F.when((F.col("n_target") > 0) & calibrated.isNotNull(), row)
+
+
 def forecast_with_interval(
-    forecast: DataFrame, daily: DataFrame, cal: CycleCalendar, level: float = 0.95
+    daily: DataFrame, cal: CycleCalendar, warehouses: DataFrame | None = None, level: float = 0.95
 ) -> DataFrame:
-    """Normal bounds around the forecast; the lower one is floored at 0.
+    """The daily forecast with normal bounds; the lower one is floored at 0.
 
     ``level`` is one-sided: 0.95 takes the 5th and 95th percentile. The spread comes from the cycle
     delivered one recent window earlier, whose target must have ended by now
@@ -57,22 +83,10 @@ def forecast_with_interval(
     that had no forecast) stays as a row without a date.
     """
     z = normal_quantile(level)
-    calibration = calibration_cycles(cal.cycles(daily.sparkSession), cal.p_horizon_weeks)
-    calibration = calibration.where(F.col("calibration_id").isNotNull())
-    spread = (
-        error_sd(calibration_error(daily, cal))
-        .withColumnRenamed("cycle_id", "calibration_id")
-        .join(calibration, "calibration_id")
-        .select("cycle_id", "Warehouse", "DOW", "vsd")
-    )
+    weekdays = weekday_forecast(daily, cal, warehouses, spread=_spread)
     lower = F.col("Fcast_Volume") - F.col("vsd") * z
     upper = F.col("Fcast_Volume") + F.col("vsd") * z
-    return match_join(forecast, spread, ["cycle_id", "Warehouse", "DOW"], "full").select(
-        "cycle_id",
-        "Warehouse",
-        "Fcast_Date",
-        "DOW",
-        "Fcast_Volume",
-        F.when(lower < 0, 0.0).otherwise(lower).alias("Lower"),
-        upper.alias("Upper"),
-    )
+    bounded = weekdays.withColumns(
+        {"Lower": F.when(lower < 0, 0.0).otherwise(lower), "Upper": upper}
+    ).drop("vsd")
+    return on_target_days(bounded, cal)

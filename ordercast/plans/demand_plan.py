@@ -83,7 +83,7 @@ class DemandPlan:
     @cached_property
     def forecast(self) -> DataFrame:
         """The published forecast with its bounds."""
-        return intervals.forecast_with_interval(self.point_forecast, self.daily, self.cal, self.level)
+        return intervals.forecast_with_interval(self.daily, self.cal, self.warehouses, self.level)
 
     @cached_property
     def compared(self) -> DataFrame:
