@@ -1,0 +1,119 @@
+"""Cleaning, profiling and trimming of order lines."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows_of
+from ordercast.operators import clean, outliers, profile
+from ordercast.operators.trend import monthly_totals
+
+
+def test_calendar_features(lines):
+    df = clean.calendar_features(lines([("p", "w", "c", "2016-01-03", 1.0), ("p", "w", "c", None, 1.0)]))
+    assert rows_of(df, "Month", "Year", "Month_Year", "DOW", "The_Week") == [
+        (1, 2016, dt.date(2016, 1, 1), 1, "53"),
+        (None, None, None, None, None),
+    ]
+
+
+def test_clip_excludes_both_bounds(lines):
+    df = lines([("p", "w", "c", f"2012-01-0{d}", float(d)) for d in (1, 2, 3, 4)] + [("p", "w", "c", None, 9.0)])
+    kept = clean.clip_date_range(df, dt.date(2012, 1, 1), dt.date(2012, 1, 4))
+    assert rows_of(kept, "Order_Demand") == [(2.0,), (3.0,)]
+    assert clean.drop_missing_dates(df).count() == 4 and clean.missing_dates(df).count() == 1
+
+
+def test_lookup(lines):
+    df = lines([("p", "w", "c", "2012-10-12", 1.0), ("p", "w", "d", "2012-10-12", 2.0), ("p", "w", "c", None, 3.0)])
+    assert rows_of(clean.lookup_lines(df, "p", "w", "c", dt.date(2012, 10, 12)), "Order_Demand") == [(1.0,)]
+
+
+def test_category_volume_is_one_per_category(lines):
+    df = lines([("p", "w", c, "2012-10-12", float(i)) for i, c in enumerate("aabbbc")])
+    attached = clean.attach_category_volume(df)
+    dimension = clean.category_volumes(df)
+    assert dimension.count() == 3
+    assert rows_of(attached.select("Product_Category", "Cubic_Volume").distinct()) == rows_of(
+        dimension, "Product_Category", "Cubic_Volume"
+    )
+
+
+def test_profiles(lines):
+    df = lines(
+        [("p", "w", "c", "2012-10-12", 1.0), ("q", "w", "c", None, 2.0), ("q", "w", None, "2012-11-12", None),
+         ("q", "w", "c", "2012-10-12", 5.0)]
+    )
+    assert dict(rows_of(profile.distinct_counts(df))) == {
+        "Product_Code": 2, "Warehouse": 1, "Product_Category": 1, "Date": 2, "Order_Demand": 3,
+    }
+    assert dict(rows_of(profile.null_counts(df))) == {
+        "Product_Code": 0, "Warehouse": 0, "Product_Category": 1, "Date": 1, "Order_Demand": 1,
+    }
+    assert rows_of(profile.frequency_table(df, "Date")) == [(dt.date(2012, 10, 12), 2), (dt.date(2012, 11, 12), 1)]
+    assert profile.missing_volume_share(df).first()[0] == 0.25
+    assert tuple(profile.demand_summary(df).first()) == (1.0, 1.5, 2.0, pytest.approx(8 / 3), 3.5, 5.0, 1)
+    assert rows_of(profile.shape(df))[0] == (1, "Product_Code", "string", 4)
+    assert profile.preview(df, 2).count() == 2
+    sample = rows_of(profile.sample_rows(df, 3))
+    assert len(sample) == 3 and sample == rows_of(profile.sample_rows(df.repartition(7), 3))
+
+
+def test_missing_share_without_demand(lines):
+    assert profile.missing_volume_share(lines([("p", "w", "c", None, 0.0)])).first()[0] is None
+
+
+def test_trimming_small_groups(lines):
+    day = "2012-10-12"
+    df = lines(
+        [("one", "w", "c", day, 7.0)]
+        + [("two", "w", "c", day, v) for v in (1.0, 2.0)]
+        + [("same", "w", "c", day, v) for v in (3.0, 3.0)]
+        + [("tied", "w", "c", day, v) for v in (1.0, 5.0, 9.0, 9.0)]
+        + [("big", "w", "c", day, float(v)) for v in range(1, 202)]
+        + [(None, "w", "c", day, v) for v in (10.0, 20.0, 30.0)]
+        + [("gap", "w", "c", day, None), ("gap", "w", "c", day, 4.0)]
+    )
+    bounds = outliers.outlier_bounds(df)
+    kept = outliers.trim_outliers(df, bounds)
+    got = {}
+    for product, value in rows_of(kept, "Product_Code", "Order_Demand"):
+        got.setdefault(product, []).append(value)
+    # Only what lies strictly outside its interpolated bounds goes; of 201 values that is two at each end.
+    assert sorted(got.pop("big")) == [float(v) for v in range(3, 200)]
+    assert got == {"one": [7.0], "same": [3.0, 3.0], "tied": [5.0, 9.0, 9.0], None: [20.0], "gap": [4.0]}
+
+    flagged = outliers.flag_outliers(df, bounds)
+    assert flagged.count() == df.count()
+    assert flagged.where("take_out is null").count() == 1
+    impact = outliers.outlier_impact(df, bounds).first()
+    removed = flagged.where("take_out = 1").agg(F.count("*"), F.sum("Order_Demand")).first()
+    assert (impact["count_removed"], impact["sum_removed"]) == tuple(removed)
+    assert impact["total_orders"] == df.count()
+    assert impact["pct_count_removed"] == removed[0] / df.count()
+
+
+def test_warehouse_without_outliers_has_no_impact_row(lines):
+    df = lines([("p", "calm", "c", "2012-10-12", 3.0)] * 2 + [("p", "wild", "c", "2012-10-12", v) for v in (1.0, 2.0)])
+    impact = outliers.outlier_impact(df, outliers.outlier_bounds(df))
+    assert [r["Warehouse"] for r in impact.collect()] == ["wild"]
+    assert rows_of(outliers.warehouse_totals(df)) == [("calm", 2, 6.0), ("wild", 2, 3.0)]
+
+
+def test_trimming_by_shuffle_equals_trimming_by_broadcast(spark, lines):
+    rows = [(f"p{i % 3}", f"w{i % 2}", "c", "2012-10-12", float(i * 37 % 101)) for i in range(600)]
+    df = lines(rows)
+    expected = rows_of(outliers.trim_outliers(df, outliers.outlier_bounds(df)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = outliers.trim_outliers(df.repartition(9), outliers.outlier_bounds(df))
+        assert "Broadcast" not in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert rows_of(shuffled) == expected
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_month_without_any_demand_is_zero(lines):
+    df = lines([("p", "w", "c", "2012-10-12", None)])
+    assert rows_of(monthly_totals(df)) == [(dt.date(2012, 10, 1), 0.0)]
