@@ -5,11 +5,11 @@ group is narrowed down first:
 
 1. count lines per (group, value bucket) - a histogram of bounded width, combined map-side;
 2. running counts over the histogram tell which buckets hold the wanted ranks (at most two per
-   quantile);
+   quantile); a bucket that still holds very many lines is cut into finer ones in the same way;
 3. count the distinct values of those buckets only, and read the order statistics off their
    running counts.
 
-Both passes scan a few narrow columns and shuffle partial counts, so a group that holds a third
+Each pass scans a few narrow columns and shuffles partial counts, so a group that holds a third
 of all lines costs no more than its histogram. The result is exact: no sketch is involved.
 """
 
@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 from ordercast.functions.joins import match_join
 from ordercast.plans.staging import stage
 
-# Buckets per unit of ln(1 + |value|): 256 makes a bucket about 0.4% wide, and at most
-# 2 * 710 * 256 buckets cover every double.
-_RESOLUTION = 256
+# Buckets per unit of ln(1 + |value|): 16 makes a bucket about 6% wide. Coarse, so that groups of a
+# few thousand lines have few buckets too; at most 2 * 710 * 16 cover every double.
+_RESOLUTION = 16
 _LN_MAX = 710.0
 
+# How many finer buckets a crowded bucket is cut into.
+_SLICES = 4096
+
 
 def _bucket(value: Column) -> Column:
     """A whole number that never decreases as ``value`` grows."""
@@ -35,18 +38,38 @@ def _bucket(value: Column) -> Column:
     return (F.signum(value) * F.floor(size)).cast("int")
 
 
+def _slice(value: Column, low: Column, high: Column) -> Column:
+    """Which of the equal slices of [low, high] a value is in; never decreases as it grows."""
+    place = F.floor(F.try_divide(value - low, high - low) * _SLICES).cast("int")
+    return F.when(value == high, _SLICES).otherwise(place)
+
+
 def _position(total: Column, prob: float) -> Column:
     """1-based fractional rank of the quantile among ``total`` sorted values."""
     return F.lit(1.0) + (total - 1) * F.lit(prob)
 
 
+def _holds_a_rank(probs: Mapping[str, float]) -> Column:
+    wanted = F.lit(False)
+    for prob in probs.values():
+        at = _position(F.col("_total"), prob)
+        for rank in (F.floor(at), F.ceil(at)):
+            wanted = wanted | ((rank > F.col("_before")) & (rank <= F.col("_before") + F.col("_n")))
+    return wanted
+
+
 def group_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    crowded: int = 2_000_000,
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs`` (name -> probability).
 
     Linear interpolation between the two neighbouring order statistics; nulls are left out. With no
-    keys the whole table is the group.
+    keys the whole table is the group. A bucket of more than ``crowded`` lines is cut further before
+    its values are listed.
     """
     keys = list(keys)
     group = keys or ["_all"]
@@ -54,32 +77,44 @@ def group_quantiles(
     values = source.select(*group, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     values = values.withColumn("_b", _bucket(F.col("_v")))
 
+    summary = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
     in_group = Window.partitionBy(*group)
     upwards = in_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     histogram = (
         values.groupBy(*group, "_b")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            *group,
-            "_b",
-            (F.sum("_n").over(upwards) - F.col("_n")).alias("_before"),
-            F.sum("_n").over(upwards).alias("_upto"),
-            F.sum("_n").over(in_group).alias("_total"),
-        )
+        .agg(*summary)
+        .withColumn("_before", F.sum("_n").over(upwards) - F.col("_n"))
+        .withColumn("_total", F.sum("_n").over(in_group))
     )
-    wanted = F.lit(False)
-    for prob in probs.values():
-        at = _position(F.col("_total"), prob)
-        for rank in (F.floor(at), F.ceil(at)):
-            wanted = wanted | ((rank > F.col("_before")) & (rank <= F.col("_upto")))
     # At most two rows per group and quantile; written so that its size is known to the planner.
-    buckets = stage(histogram.where(wanted).drop("_upto"), "quantile_buckets")
+    buckets = stage(histogram.where(_holds_a_rank(probs)), "quantile_buckets")
+
+    def members(of: DataFrame) -> DataFrame:
+        """The lines of these buckets. ``_low`` tells the slices of one bucket apart."""
+        bounds = of.select(*group, "_b", "_low", "_high", "_before", "_total")
+        return match_join(values, bounds, [*group, "_b"]).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+
+    # The slices of a bucket are so much narrower that few rounds can follow, whatever the values are.
+    still_crowded = (F.col("_n") > crowded) & (F.col("_low") < F.col("_high"))
+    while not buckets.where(still_crowded).isEmpty():
+        in_bucket = Window.partitionBy(*group, "_b", "_outer_low").orderBy("_s")
+        in_bucket = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        slices = (
+            members(buckets)
+            .withColumn("_s", _slice(F.col("_v"), F.col("_low"), F.col("_high")))
+            .withColumnsRenamed({"_low": "_outer_low", "_before": "_outer_before"})
+            .groupBy(*group, "_b", "_outer_low", "_s", "_outer_before", "_total")
+            .agg(*summary)
+            .withColumn("_before", F.col("_outer_before") + F.sum("_n").over(in_bucket) - F.col("_n"))
+        )
+        slices = slices.where(_holds_a_rank(probs)).select(*buckets.columns)
+        buckets = stage(slices, "quantile_buckets")
 
-    in_bucket = Window.partitionBy(*group, "_b").orderBy("_v")
+    in_bucket = Window.partitionBy(*group, "_b", "_low").orderBy("_v")
     in_bucket = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
-        match_join(values, buckets, [*group, "_b"])
-        .groupBy(*group, "_b", "_before", "_total", "_v")
+        members(buckets)
+        .groupBy(*group, "_b", "_low", "_before", "_total", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_upto", F.col("_before") + F.sum("_n").over(in_bucket))
         .withColumn("_from", F.col("_upto") - F.col("_n"))

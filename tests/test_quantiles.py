@@ -44,6 +44,15 @@ def test_equals_sorting_each_group(skewed, partitions):
         assert got[k] == pytest.approx(_expected(values), rel=1e-12, abs=1e-12), k
 
 
+@pytest.mark.parametrize("crowded", [1, 3, 50])
+def test_cutting_crowded_buckets_further(skewed, crowded):
+    data, df = skewed
+    got = {r["k"]: list(r)[1:] for r in group_quantiles(df, ["k"], "v", PROBS, crowded=crowded).collect()}
+    assert set(got) == set(data)
+    for k, values in data.items():
+        assert got[k] == pytest.approx(_expected(values), rel=1e-12, abs=1e-12), k
+
+
 def test_whole_table(skewed):
     data, df = skewed
     everything = [v for vs in data.values() for v in vs]
