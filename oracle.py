@@ -322,6 +322,11 @@ _QUERIES = {
     "accuracy_base": f"""SELECT cycle_id, Warehouse, "Date", act AS act_orders, DOW, {_r('Fcast_Volume', 2)} AS Fcast_Volume,
         {_r('lo', 2)} AS "Lower", {_r('up', 2)} AS "Upper", {_r('Fcast_Volume - act', 2)} AS variance,
         {_r('(Fcast_Volume - act) / nullif(act, 0)')} AS var_pct, {_r('ape')} AS abs_var_pct, The_Week FROM base""",
+    "accuracy_measures_long": f"""SELECT cycle_id, Warehouse, "Date", variable, {_r('value', 2)} AS value FROM (
+        SELECT cycle_id, Warehouse, "Date", 'act_orders' AS variable, act AS value FROM base
+        UNION ALL SELECT cycle_id, Warehouse, "Date", 'Fcast_Volume', Fcast_Volume FROM base
+        UNION ALL SELECT cycle_id, Warehouse, "Date", 'Lower', lo FROM base
+        UNION ALL SELECT cycle_id, Warehouse, "Date", 'Upper', up FROM base)""",
     "actual_yoy": f"SELECT cycle_id, target, comp_target, {_r('(target - comp_target) / nullif(comp_target, 0)')} AS actual_chg FROM wide",
     "forecast_error": _error(""),
     "error_by_wh": _error("Warehouse"),

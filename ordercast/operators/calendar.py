@@ -118,7 +118,7 @@ class CycleCalendar:
 
 def date_framework(
     spark: SparkSession,
-    start_date: date,
+    start_date: date | str,
     n_cycles: int,
     cadence_days: int,
     f_horizon_weeks: int,
@@ -127,6 +127,8 @@ def date_framework(
     pre_end_offset_days: int = 7,
 ) -> DataFrame:
     """The cycle table for these parameters."""
+    if isinstance(start_date, str):
+        start_date = date.fromisoformat(start_date)
     return CycleCalendar(
         start_date, n_cycles, cadence_days, f_horizon_weeks, p_horizon_weeks, yoy_days, pre_end_offset_days
     ).frame(spark)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ordercast.functions.joins import match_join
 from ordercast.functions.numeric import safe_ratio, total_or_zero
 from ordercast.operators.quantiles import group_quantiles
+from ordercast.plans.staging import StagingArea
 
 GROUP = ["Warehouse", "Product_Code"]
 
@@ -20,9 +21,11 @@ def warehouse_totals(lines: DataFrame) -> DataFrame:
     )
 
 
-def outlier_bounds(lines: DataFrame, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
+def outlier_bounds(
+    lines: DataFrame, lower: float = 0.01, upper: float = 0.99, area: StagingArea | None = None
+) -> DataFrame:
     """The interpolated bounds of every (warehouse, product)."""
-    return group_quantiles(lines, GROUP, "Order_Demand", {"upper": upper, "lower": lower})
+    return group_quantiles(lines, GROUP, "Order_Demand", {"upper": upper, "lower": lower}, area=area)
 
 
 def flag_outliers(lines: DataFrame, bounds: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ordercast.functions.numeric import safe_ratio
 from ordercast.functions.seeded import hash_order
 from ordercast.operators.quantiles import group_quantiles
+from ordercast.plans.staging import StagingArea
 
 
 def distinct_counts(lines: DataFrame) -> DataFrame:
@@ -44,7 +45,9 @@ def missing_volume_share(lines: DataFrame) -> DataFrame:
     )
 
 
-def demand_summary(lines: DataFrame, column: str = "Order_Demand") -> DataFrame:
+def demand_summary(
+    lines: DataFrame, column: str = "Order_Demand", area: StagingArea | None = None
+) -> DataFrame:
     """Min, quartiles, mean, max and null count as one row."""
     moments = lines.agg(
         F.min(column).alias("min"),
@@ -52,7 +55,7 @@ def demand_summary(lines: DataFrame, column: str = "Order_Demand") -> DataFrame:
         F.max(column).alias("max"),
         F.count_if(F.col(column).isNull()).alias("n_null"),
     )
-    quartiles = group_quantiles(lines, [], column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    quartiles = group_quantiles(lines, [], column, {"q1": 0.25, "median": 0.5, "q3": 0.75}, area=area)
     # Two one-row tables, put side by side on a constant.
     return (
         moments.withColumn("_one", F.lit(1))

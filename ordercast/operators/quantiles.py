@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordercast.functions.joins import match_join
-from ordercast.plans.staging import stage
+from ordercast.plans.staging import StagingArea
 
 # Buckets per unit of ln(1 + |value|): 16 makes a bucket about 6% wide. Coarse, so that groups of a
 # few thousand lines have few buckets too; at most 2 * 710 * 16 cover every double.
@@ -64,13 +64,15 @@ def group_quantiles(
     value: str,
     probs: Mapping[str, float],
     crowded: int = 2_000_000,
+    area: StagingArea | None = None,
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs`` (name -> probability).
 
     Linear interpolation between the two neighbouring order statistics; nulls are left out. With no
     keys the whole table is the group. A bucket of more than ``crowded`` lines is cut further before
-    its values are listed.
+    its values are listed. The chosen buckets are written to ``area``.
     """
+    area = area or StagingArea(df.sparkSession)
     keys = list(keys)
     group = keys or ["_all"]
     source = df if keys else df.withColumn("_all", F.lit(1))
@@ -87,7 +89,7 @@ def group_quantiles(
         .withColumn("_total", F.sum("_n").over(in_group))
     )
     # At most two rows per group and quantile; written so that its size is known to the planner.
-    buckets = stage(histogram.where(_holds_a_rank(probs)), "quantile_buckets")
+    buckets = area.stage(histogram.where(_holds_a_rank(probs)), "quantile_buckets")
 
     def members(of: DataFrame) -> DataFrame:
         """The lines of these buckets. ``_low`` tells the slices of one bucket apart."""
@@ -108,7 +110,7 @@ def group_quantiles(
             .withColumn("_before", F.col("_outer_before") + F.sum("_n").over(in_bucket) - F.col("_n"))
         )
         slices = slices.where(_holds_a_rank(probs)).select(*buckets.columns)
-        buckets = stage(slices, "quantile_buckets")
+        buckets = area.stage(slices, "quantile_buckets")
 
     in_bucket = Window.partitionBy(*group, "_b", "_low").orderBy("_v")
     in_bucket = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)

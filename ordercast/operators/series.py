@@ -36,9 +36,9 @@ def actual_vs_forecast(
     )
 
 
-def measures_long(compared: DataFrame) -> DataFrame:
+def measures_long(compared: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
     """One row per measure; nulls are kept."""
-    return compared.unpivot(["cycle_id", "Warehouse", "Date"], MEASURES, "variable", "value")
+    return compared.unpivot(["cycle_id", "Warehouse", "Date"], list(measures), "variable", "value")
 
 
 def delivery_day_total(compared: DataFrame, cal: CycleCalendar, by_warehouse: bool = False) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from ordercast.operators import accuracy, benchmark, calendar, clean, forecast, intervals, outliers, series
 from ordercast.operators.calendar import CycleCalendar
-from ordercast.plans.staging import stage
+from ordercast.plans.staging import StagingArea
 
 
 class DemandPlan:
@@ -37,6 +37,7 @@ class DemandPlan:
     ):
         """``stage_lines=False`` skips the first table: for a source that is cheap to read again."""
         self.spark = raw.sparkSession
+        self.area = StagingArea(self.spark)
         self.raw = raw
         self.cal = cal
         self.clip = clip
@@ -53,7 +54,12 @@ class DemandPlan:
 
     @cached_property
     def lines(self) -> DataFrame:
-        return stage(self.typed, "order_lines") if self.stage_lines else self.typed
+        return self.area.stage(self.typed, "order_lines") if self.stage_lines else self.typed
+
+    @property
+    def clipped_in_passing(self) -> DataFrame:
+        """The same lines as ``clipped`` without staging: for a step that reads them once."""
+        return clean.clip_date_range(clean.drop_missing_dates(self.typed), *self.clip)
 
     @cached_property
     def clipped(self) -> DataFrame:
@@ -61,7 +67,8 @@ class DemandPlan:
 
     @cached_property
     def bounds(self) -> DataFrame:
-        return stage(outliers.outlier_bounds(self.clipped, self.lower, self.upper), "outlier_bounds")
+        bounds = outliers.outlier_bounds(self.clipped, self.lower, self.upper, self.area)
+        return self.area.stage(bounds, "outlier_bounds")
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -70,7 +77,7 @@ class DemandPlan:
 
     @cached_property
     def daily(self) -> DataFrame:
-        return stage(calendar.daily_demand(self.clean), "daily_demand")
+        return self.area.stage(calendar.daily_demand(self.clean), "daily_demand")
 
     @cached_property
     def benchmark(self) -> DataFrame:
@@ -93,3 +100,7 @@ class DemandPlan:
     @cached_property
     def accuracy(self) -> DataFrame:
         return accuracy.accuracy_base(self.daily, self.forecast, self.cal)
+
+    def release(self) -> None:
+        """Delete what this run wrote to the shared folder; results have to be saved before."""
+        self.area.release()

@@ -33,13 +33,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ordercast-{uuid.uuid4().hex}/{name}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the written table."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class StagingArea:
+    """A folder of its own under the shared one, for the written tables of one run."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/ordercast-{uuid.uuid4().hex}"
+        self._written = 0
+
+    def path(self, name: str) -> str:
+        """A path below the folder that has not been handed out before."""
+        self._written += 1
+        return f"{self.root}/{self._written:03d}-{name}"
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` once and return the written table."""
+        path = self.path(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        """Delete the folder. Tables staged in it, and results not yet computed from them, are gone."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.delete(folder, True)

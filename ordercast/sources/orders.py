@@ -14,28 +14,20 @@ RAW_ORDER_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ORDER
 
 
 def read_orders(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Raw order lines, every column text; the token ``NA`` is null.
+    """Raw order lines, every column text; the token ``NA`` is null, an empty field stays empty text.
 
-    The schema is fixed, so there is no inference pass over the files. ``fmt="parquet"`` reads
-    the same columns from parquet and only scans those.
+    The schema is fixed, so there is no inference pass over the files; a CSV whose header does not
+    match it is refused. ``fmt="parquet"`` reads the same columns and only scans those.
     """
     if fmt == "csv":
-        return (
-            spark.read.schema(RAW_ORDER_SCHEMA)
-            .option("header", True)
-            .option("enforceSchema", False)
-            .option("nullValue", "NA")
-            .csv(path)
-        )
-    if fmt == "parquet":
-        table = spark.read.parquet(path)
-        return table.select(*[_na_to_null(c) for c in ORDER_COLUMNS])
-    raise ValueError(f"unknown format {fmt!r}")
-
-
-def _na_to_null(column: str):
-    text = F.col(column).cast("string")
-    return F.when(text != "NA", text).alias(column)
+        table = spark.read.schema(RAW_ORDER_SCHEMA).option("header", True).option("enforceSchema", False).csv(path)
+        # The reader turns empty fields into nulls.
+        table = table.na.fill("")
+    elif fmt == "parquet":
+        table = spark.read.parquet(path).select(*[F.col(c).cast("string").alias(c) for c in ORDER_COLUMNS])
+    else:
+        raise ValueError(f"unknown format {fmt!r}")
+    return table.select(*[F.when(F.col(c) != "NA", F.col(c)).alias(c) for c in ORDER_COLUMNS])
 
 
 def write_orders(lines: DataFrame, path: str) -> None:

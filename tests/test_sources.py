@@ -1,5 +1,5 @@
 import datetime as dt
-import uuid
+import os
 
 import pytest
 
@@ -16,15 +16,23 @@ def test_csv(spark, tmp_path):
         "Product_Code,Warehouse,Product_Category,Date,Order_Demand\n"
         "Product_0031,Whse_A,Category_005,2012/10/12,(1000)\n"
         "Product_0032,Whse_A,Category_005,NA,100 \n"
+        "Product_0033,,\"\",,\n"
     )
     df = read_orders(spark, str(tmp_path / "orders.csv"))
     assert {t for _, t in df.dtypes} == {"string"}
     assert rows_of(df) == [
         ("Product_0031", "Whse_A", "Category_005", "2012/10/12", "(1000)"),
         ("Product_0032", "Whse_A", "Category_005", None, "100 "),
+        ("Product_0033", "", "", "", ""),
     ]
 
 
+def test_csv_with_other_columns_is_refused(spark, tmp_path):
+    (tmp_path / "orders.csv").write_text("Warehouse,Product_Code,Product_Category,Date,Order_Demand\nw,p,c,d,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_orders(spark, str(tmp_path / "orders.csv")).collect()
+
+
 def test_round_trips(spark, tmp_path):
     raw = spark.createDataFrame(
         [("p", "w", "c, with comma", "2012/10/12", "(5)"), ("q", "w", None, None, '7"')], COLUMNS
@@ -52,12 +60,17 @@ def test_forecast_log_replaces_only_its_own_run(spark, tmp_path, fmt):
         assert rows_of(back, "Fcast_Volume", "run_date") == [(2.0, D(2016, 1, 18)), (3.0, D(2016, 1, 4))]
 
 
-def test_staged_table(spark):
+def test_staging(spark):
+    area, other = staging.StagingArea(spark), staging.StagingArea(spark)
     df = spark.range(10).selectExpr("id", "cast(null as string) as t")
-    staged = staging.stage(df, f"t_{uuid.uuid4().hex}")
+    staged = area.stage(df, "t")
     assert rows_of(staged) == rows_of(df) and staged.dtypes == df.dtypes
     assert "FileScan parquet" in staged._jdf.queryExecution().executedPlan().toString()
-    assert rows_of(staging.stage(df.where("id < 0"), "empty")) == []
+    assert rows_of(area.stage(df.where("id < 0"), "t")) == []
+    kept = other.stage(df, "t")
+    area.release()
+    assert not os.path.exists(area.root) and rows_of(kept) == rows_of(df)
+    other.release()
 
 
 class _Conf:
