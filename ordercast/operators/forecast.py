@@ -78,7 +78,8 @@ def weekday_profile(daily: DataFrame, cal: CycleCalendar) -> DataFrame:
 
     One grouping adds up all windows; the totals that the shares and the growth need are sums over
     its few rows, so nothing is joined. Carries the volume of one day (``Fcast_Volume``), how many
-    warehouse-days the recent and the target window have, and the spread of the target's actuals.
+    warehouse-days the recent window (also over all warehouses) and the target window have, and the
+    spread of the target's actuals.
     """
     demand = F.col("demand")
     in_role = {r: F.when(F.col("role") == r, demand) for r in WINDOW_ROLES}
@@ -95,7 +96,12 @@ def weekday_profile(daily: DataFrame, cal: CycleCalendar) -> DataFrame:
     in_cycle = Window.partitionBy("cycle_id")
     in_warehouse = Window.partitionBy("cycle_id", "Warehouse")
     totals = {f"all_{r}": F.coalesce(F.sum(r).over(in_cycle), F.lit(0.0)) for r in WINDOW_ROLES}
-    summed = weekdays.withColumns({**totals, "wh_pre": F.sum("pre").over(in_warehouse)})
+    sums = {
+        **totals,
+        "wh_pre": F.sum("pre").over(in_warehouse),
+        "n_pre_weekday": F.sum("n_pre").over(Window.partitionBy("cycle_id", "DOW")),
+    }
+    summed = weekdays.withColumns(sums)
 
     expected = F.col("all_comp_target") * (_growth(F.col("all_pre"), F.col("all_pre_prev")) + 1)
     weekly = safe_ratio(F.col("wh_pre"), F.col("all_pre")) * expected / cal.f_horizon_weeks
@@ -105,6 +111,7 @@ def weekday_profile(daily: DataFrame, cal: CycleCalendar) -> DataFrame:
         "DOW",
         (weekly * safe_ratio(F.col("pre"), F.col("wh_pre"))).alias("Fcast_Volume"),
         "n_pre",
+        "n_pre_weekday",
         "n_target",
         "sd_target",
     )

@@ -57,14 +57,17 @@ def _spread(cal: CycleCalendar) -> Column:
     """``error_sd`` read off a weekday profile, as a row for the cycle that it calibrates.
 
     The forecast is the same on all days of a weekday, so its error spreads exactly as the actuals
-    do and no day-by-day error is needed. Days with orders but no forecast have no weekday.
+    do and no day-by-day error is needed. Days with orders but no forecast have no weekday, except
+    those of an unnamed warehouse on a weekday nobody ships on: ``calibration_forecast`` has rows
+    without a warehouse for them.
     """
     has_forecast = F.col("n_pre") > 0
+    has_row = has_forecast | (F.col("Warehouse").isNull() & (F.col("n_pre_weekday") == 0))
     known = has_forecast & F.col("Fcast_Volume").isNotNull()
     calibrated = cal.calibrated_by(F.col("cycle_id"))
     row = part_row(
         calibrated,
-        F.when(has_forecast, F.col("DOW")),
+        F.when(has_row, F.col("DOW")),
         F.lit(None).cast("double"),
         F.lit(None).cast("boolean"),
         F.when(known, F.col("sd_target")),

@@ -63,7 +63,8 @@ class Cycle:
         """Spread of this cycle's own error: {(warehouse, dow or None): sd or None}."""
         volumes, errors = self.volumes(), defaultdict(list)
         for (w, d), actual in self.rows("target").items():
-            known = (w, dow(d)) in volumes
+            nobody = w is None and dow(d) not in {k for _, k in volumes}
+            known = (w, dow(d)) in volumes or nobody
             forecast = volumes.get((w, dow(d)))
             errors[w, dow(d) if known else None].append(None if forecast is None else forecast - actual)
         return {

@@ -149,6 +149,18 @@ def test_calibration_forecast_is_not_filled(daily):
     assert got.where("Warehouse is null and Fcast_Volume is not null").count() == 0
 
 
+def test_unnamed_warehouse_on_a_weekday_nobody_ships_on(daily):
+    demand = {("a", D(2014, 6, 2) + dt.timedelta(7 * i)): 10.0 + i for i in range(110)}
+    demand |= {(None, D(2016, 1, 5)): 3.0, ("a", D(2016, 1, 6)): 4.0}
+    df = daily([(w, d, v) for (w, d), v in demand.items()])
+    cycle = Cycle(demand, CAL, 7, ["a", None])
+    assert set(cycle.calibration().spreads()) == {("a", 2), ("a", None), (None, 3)}
+    got = {tuple(r)[1:4]: tuple(r)[4:] for r in intervals.forecast_with_interval(df, CAL).where("cycle_id = 7").collect()}
+    _same(got, cycle.with_interval())
+    errors = intervals.error_sd(intervals.calibration_error(df, CAL)).where("cycle_id = 1")
+    assert set(rows_of(errors, "Warehouse", "DOW")) == set(cycle.calibration().spreads())
+
+
 def test_naive_forecast_is_exactly_four_weeks_old(daily):
     df = daily([("a", "2016-01-04", 5), ("a", "2016-02-01", 8), ("a", "2016-02-02", 9), ("b", "2016-02-01", 1)])
     got = {tuple(r)[:2]: tuple(r)[2:] for r in benchmark.benchmark_4wk(df).collect()}
