@@ -6,17 +6,24 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ordercast.functions.seeded import hash_choice, hash_normal
 from ordercast.functions.text import parse_accounting_number, parse_date
 
 
 def parse_dates(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("Date", parse_date(F.col("Date")))
+    """Text dates to dates; a source that has dates or timestamps keeps their day."""
+    day = F.col("Date")
+    is_text = isinstance(lines.schema["Date"].dataType, T.StringType)
+    return lines.withColumn("Date", parse_date(day) if is_text else day.cast("date"))
 
 
 def parse_demand(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("Order_Demand", parse_accounting_number(F.col("Order_Demand")))
+    """Text quantities to numbers; a source that has numbers keeps them."""
+    quantity = F.col("Order_Demand")
+    is_text = isinstance(lines.schema["Order_Demand"].dataType, T.StringType)
+    return lines.withColumn("Order_Demand", parse_accounting_number(quantity) if is_text else quantity.cast("double"))
 
 
 def calendar_features(lines: DataFrame) -> DataFrame:

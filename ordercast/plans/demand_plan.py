@@ -35,7 +35,7 @@ class DemandPlan:
         warehouses: DataFrame | None = None,
         stage_lines: bool = True,
     ):
-        """``stage_lines=False`` skips the first table: for a source that is cheap to read again."""
+        """``stage_lines=False`` skips the first table: for a source of typed columns, cheap to read again."""
         self.spark = raw.sparkSession
         self.area = StagingArea(self.spark)
         self.raw = raw

@@ -14,20 +14,23 @@ RAW_ORDER_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ORDER
 
 
 def read_orders(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Raw order lines, every column text; the token ``NA`` is null, an empty field stays empty text.
+    """Raw order lines; in text columns the token ``NA`` is null and an empty field stays empty text.
 
-    The schema is fixed, so there is no inference pass over the files; a CSV whose header does not
-    match it is refused. ``fmt="parquet"`` reads the same columns and only scans those.
+    A CSV is read as text with a fixed schema, so there is no inference pass over the files, and is
+    refused if its header does not match. ``fmt="parquet"`` only scans the order-line columns, as
+    text or with whatever types they have.
     """
     if fmt == "csv":
         table = spark.read.schema(RAW_ORDER_SCHEMA).option("header", True).option("enforceSchema", False).csv(path)
         # The reader turns empty fields into nulls.
         table = table.na.fill("")
     elif fmt == "parquet":
-        table = spark.read.parquet(path).select(*[F.col(c).cast("string").alias(c) for c in ORDER_COLUMNS])
+        table = spark.read.parquet(path).select(*ORDER_COLUMNS)
     else:
         raise ValueError(f"unknown format {fmt!r}")
-    return table.select(*[F.when(F.col(c) != "NA", F.col(c)).alias(c) for c in ORDER_COLUMNS])
+    return table.withColumns(
+        {c: F.when(F.col(c) != "NA", F.col(c)) for c, kind in table.dtypes if kind == "string"}
+    )
 
 
 def write_orders(lines: DataFrame, path: str) -> None:

@@ -80,3 +80,13 @@ def test_run_equals_by_hand(spark, path, demand, stage_lines):
     for key, values in expected.items():
         assert got[key] == tuple(None if v is None else pytest.approx(v, rel=1e-9, abs=1e-6) for v in values)
     plan.release()
+
+
+def test_typed_columns_need_no_parsing(spark, path, demand, tmp_path):
+    text = DemandPlan(read_orders(spark, path), CAL, CLIP)
+    text.typed.write.parquet(str(tmp_path / "typed"))
+    typed = DemandPlan(read_orders(spark, str(tmp_path / "typed"), "parquet"), CAL, CLIP, stage_lines=False)
+    scan = typed.clipped._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(Date,2012-01-01)" in scan and "RLIKE" not in scan
+    assert {(r["Warehouse"], r["Date"]): r["demand"] for r in typed.daily.collect()} == demand
+    typed.release()
