@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordercast.llm import token_counts
+from ordercast.llm import packing, token_counts
 from ordercast.llm.common import documents
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,10 @@ def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_prefix_token_counts,)}
+def op5_grouped_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), BPE, capacity=2048)
+
+
+QUERIES = {f.__name__: f for f in (op3_prefix_token_counts, op5_grouped_best_fit_packing)}
 
 ORACLES: dict[str, str] = {}
