@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordercast.llm import packing, token_counts
+from ordercast.llm import jaccard_join, packing, token_counts
 from ordercast.llm.common import documents
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,18 @@ def op5_grouped_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), BPE, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op3_prefix_token_counts, op5_grouped_best_fit_packing)}
+def op8_token_group_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = jaccard_join.Threshold(num=90, den=100)
+    return jaccard_join.jaccard_components(documents(spark, sf_dir), width=3, rule=rule)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op3_prefix_token_counts,
+        op5_grouped_best_fit_packing,
+        op8_token_group_jaccard_join,
+    )
+}
 
 ORACLES: dict[str, str] = {}
