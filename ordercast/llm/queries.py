@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordercast.llm import jaccard_join, packing, token_counts
+from ordercast.llm import decontamination, jaccard_join, packing, perplexity, token_counts
 from ordercast.llm.common import documents
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.verdicts(documents(spark, sf_dir))
+
+
 def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     limit = 1024
     docs = documents(spark, sf_dir)
@@ -30,12 +34,18 @@ def op8_token_group_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, sf_dir), width=3, rule=rule)
 
 
+def op9_string_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_kneser_ney_quality,
         op3_prefix_token_counts,
         op5_grouped_best_fit_packing,
         op8_token_group_jaccard_join,
+        op9_string_tiling_decontamination,
     )
 }
 
