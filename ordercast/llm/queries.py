@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordercast.llm import decontamination, jaccard_join, packing, perplexity, token_counts
-from ordercast.llm.common import documents
+from ordercast.llm import decontamination, jaccard_join, packing, perplexity, token_counts, toxicity
+from ordercast.llm.common import documents, fold
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -25,6 +25,13 @@ def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_fuzzy_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 4) == 2
+    labels = documents(spark, sf_dir, "labels").where(~held_out)
+    scored = toxicity.scores(documents(spark, sf_dir), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_grouped_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), BPE, capacity=2048)
 
@@ -43,6 +50,7 @@ QUERIES = {
     for f in (
         op2_kneser_ney_quality,
         op3_prefix_token_counts,
+        op4_fuzzy_lexicon_toxicity,
         op5_grouped_best_fit_packing,
         op8_token_group_jaccard_join,
         op9_string_tiling_decontamination,
