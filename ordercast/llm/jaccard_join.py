@@ -1,10 +1,10 @@
 """Exact Jaccard join of shingle sets by a token-group matrix.
 
-Tokens. A set's shingle hashes are cut by value into ``k`` ranges; the sum of a range's hashes is a
-token. Two sets that reach the threshold differ in so few shingles that all but ``h`` ranges agree, and
-``k`` is larger than ``h``: they share at least ``k - h`` tokens. ``k`` must be the same for both, so
-sizes form classes whose bounds grow by the threshold, and a set has tokens for its own class and for
-the one below. (Common passages don't make tokens frequent: a token is a whole range of the set.)
+Tokens. Shingles are put into one global order: those that a sample of the documents shows to be frequent
+come last, the most frequent at the very end, the others in the order of their hashes. (The sample affects
+the order only, and any order gives the same result.) Two sets that reach the threshold have so many shingles
+in common that the first ones of each, a tenth at 0.9, must share some: at least ``need``, if the prefixes are
+longer by as many. A set's tokens are its prefix. Passages that many documents share end up behind it.
 
 Groups. Equal sets are one class and are compared once. Tokens of one class only are dropped; a class
 without others is linked with nothing. Each class joins the group of its most frequent token, so similar
@@ -18,16 +18,15 @@ again from the texts of the classes concerned, and exact intersections decide.
 Links within one task that join what is already joined are left out, so a task reports fewer links than
 it has members and queries, however alike they are. Nothing is sampled or capped.
 
-Null texts, and texts without words, have empty sets, linked with nothing. Ids should be unique; rows
-that repeat an id with other text count as links of the same id. Null ids are dropped. Ties (equally
-frequent tokens) go to the smaller token.
+Null texts, and texts without words, have empty sets, linked with nothing. Ids should be unique; of rows
+that repeat an id with other text, one text is compared. Null ids are dropped. Ties (equally frequent
+tokens) go to the smaller token.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,6 +37,11 @@ from ordercast.llm.common import prepare, runs, stage
 from ordercast.llm.components import components
 from ordercast.llm.words import hashes, mix, shingle_set, words
 
+#: One document in so many shows which shingles are frequent: those in at least ``FREQUENT`` of them.
+SAMPLE, FREQUENT = 32, 4
+#: Frequent shingles that are ordered by frequency, at most (16 bytes each are broadcast).
+ORDERED = 1_000_000
+
 
 @dataclass(frozen=True)
 class Threshold:
@@ -45,49 +49,59 @@ class Threshold:
 
     num: int = 90
     den: int = 100
-    #: Ranges that may be empty in a set before empty ranges count as tokens too.
-    empties: int = 2
-
-    def most_different(self, total: int) -> int:
-        """Shingles that are in one of the two sets only, at most, for sets of ``total`` shingles together."""
-        return total * (self.den - self.num) // (self.den + self.num)
-
-    @cached_property
-    def classes(self) -> np.ndarray:
-        """The smallest sizes of the classes; the ratio of sizes within a class is at least the threshold."""
-        starts = [1]
-        while starts[-1] < 1 << 40:
-            starts.append(max(starts[-1] + 1, -(-starts[-1] * self.den // self.num)))
-        return np.array(starts)
-
-    def ranges(self, cls: int) -> tuple[int, int]:
-        """(h, k): ranges that may differ, ranges, for sets of which the smaller is of this class."""
-        largest = int(self.classes[cls + 1]) - 1
-        h = self.most_different(largest + largest * self.den // self.num)
-        return h, h + 1 + self.empties
-
-    def class_of(self, size: int) -> int:
-        return int(np.searchsorted(self.classes, size, side="right")) - 1
-
-
-def _tokens(shingles: np.ndarray, cls: int, rule: Threshold) -> tuple[np.ndarray, int]:
-    """The tokens of a sorted set for one class, and how many empty ranges were left out."""
-    h, k = rule.ranges(cls)
-    if h == 0:
-        return shingles[:0], 0  # only equal sets reach the threshold
-    width = (1 << 64) // k + 1
-    cuts = np.searchsorted(shingles, np.array([i * width for i in range(k)], dtype=np.uint64))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(shingles))])
-    ends = np.append(cuts[1:], len(shingles))
-    empty = ends == cuts
-    marks = mix(np.arange(k, dtype=np.uint64) + np.uint64(cls << 32) + np.uint64(1))
-    tokens = mix((sums[ends] - sums[cuts]) ^ marks)
-    left_out = int(empty.sum())
-    return (tokens, 0) if left_out > rule.empties else (tokens[~empty], left_out)
+    #: Tokens that linked sets have to share, if they are large enough.
+    shared: int = 3
+
+    def least(self, size: int) -> int:
+        """Shingles of a set of this size that a linked set has at least."""
+        return -(-size * self.num // self.den)
+
+    def need(self, size: int) -> int:
+        """Tokens that a linked set shares at least; it may be smaller than this one."""
+        return min(self.shared, self.least(self.least(size)))
+
+    def prefix(self, size: int) -> int:
+        return min(size, size - self.least(size) + self.shared)
+
+
+class Order:
+    """The frequent shingles, sorted by hash, and their frequencies."""
+
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray):
+        by_hash = np.argsort(shingles)
+        self.shingles, self.counts = shingles[by_hash], counts[by_hash]
+
+    def first(self, s: np.ndarray, n: int) -> np.ndarray:
+        """The first ``n`` of sorted shingles in the global order."""
+        if not len(self.shingles):
+            return s[:n]
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        frequent = self.shingles[at] == s
+        rare = s[~frequent][:n]
+        if len(rare) == n:
+            return rare
+        late, counts = s[frequent], self.counts[at[frequent]]
+        return np.concatenate([rare, late[np.lexsort((late, counts))][: n - len(rare)]])
+
+
+def order_of(docs: DataFrame, width: int) -> Order:
+    """The order that a sample of ``docs`` suggests."""
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for texts in runs(batch["text"]):
+                sets = [shingle_set(hashes(words(t)), width) for t in texts]
+                yield pd.DataFrame({"shingle": np.concatenate(sets).view(np.int64)})
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    counts = sample.mapInPandas(seen, "shingle long").groupBy("shingle").count().where(F.col("count") >= FREQUENT)
+    found = counts.orderBy(F.desc("count"), "shingle").limit(ORDERED).toArrow()
+    return Order(found["shingle"].to_numpy().view(np.uint64), found["count"].to_numpy())
 
 
 def signatures(docs: DataFrame, width: int, rule: Threshold) -> DataFrame:
     """doc_id, n_shingles, two checksums of the set, its tokens, and how many of them a partner shares."""
+    order = docs.sparkSession.sparkContext.broadcast(order_of(docs, width))
 
     @F.pandas_udf("n_shingles long, f1 long, f2 long, tokens array<long>, need int")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -97,12 +111,9 @@ def signatures(docs: DataFrame, width: int, rule: Threshold) -> DataFrame:
                 for text in texts:
                     s = shingle_set(hashes(words(text)), width)
                     n = len(s)
-                    cls = rule.class_of(n) if n else 0
-                    parts = [_tokens(s, c, rule) for c in (cls, cls - 1) if n and c >= 0]
-                    tokens = np.concatenate([p[0] for p in parts]) if parts else s
-                    need = 1 + rule.empties - max((p[1] for p in parts), default=0)
+                    tokens = order.value.first(s, rule.prefix(n)).view(np.int64)
                     f1, f2 = mix(s).sum(dtype=np.uint64), mix(mix(s) + np.uint64(n)).sum(dtype=np.uint64)
-                    rows.append((n, f1.astype(np.int64), f2.astype(np.int64), tokens.view(np.int64), need))
+                    rows.append((n, f1.astype(np.int64), f2.astype(np.int64), tokens, rule.need(n)))
             yield pd.DataFrame(rows, columns=["n_shingles", "f1", "f2", "tokens", "need"])
 
     made = docs.where(F.col("doc_id").isNotNull()).select("doc_id", signed.asNondeterministic()("text").alias("s"))
@@ -195,6 +206,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return stage(made.dropDuplicates(["rep"]), "sets")
 
 
+def without_copies(docs: DataFrame, width: int = 5, rule: Threshold = Threshold(80, 100)) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id; all columns as they were.
+
+    Of rows that repeat an id, one stays. Rows without an id stay.
+    """
+    labelled = jaccard_components(docs, width, rule)
+    # A row per class could say more than once that its documents go; ids are all that is needed.
+    gone = stage(labelled.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    named = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionAll(docs.where(F.col("doc_id").isNull()))
+
+
 def jaccard_components(
     docs: DataFrame, width: int = 3, rule: Threshold = Threshold(), group_shingles: int = 400_000
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,6 @@ QUERIES = {
         op8_token_group_jaccard_join,
         op9_string_tiling_decontamination,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {}
