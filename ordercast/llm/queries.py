@@ -7,12 +7,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordercast.llm import decontamination, jaccard_join, packing, perplexity, token_counts, toxicity
+from ordercast.llm import decontamination, jaccard_join, language_id, packing, perplexity, token_counts, toxicity
 from ordercast.llm.common import documents, fold
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_crf_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = fold(F.col("doc_id"), 5) == 0
+    return language_id.predict(docs, docs.where(~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.verdicts(documents(spark, sf_dir))
 
@@ -49,6 +55,7 @@ def op9_string_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataF
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_crf_language_id,
         op2_kneser_ney_quality,
         op3_prefix_token_counts,
         op4_fuzzy_lexicon_toxicity,
