@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordercast.llm import decontamination, jaccard_join, language_id, packing, perplexity, token_counts, toxicity
+from ordercast.llm import decontamination, jaccard_join, language_id, packing, perplexity, token_counts, toxicity, warc
 from ordercast.llm.common import documents, fold
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,6 +43,11 @@ def op5_grouped_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), BPE, capacity=2048)
 
 
+def op6_sharded_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(documents(spark, sf_dir, "pages"), min_bytes=0)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset")
+
+
 def op8_token_group_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = jaccard_join.Threshold(num=90, den=100)
     return jaccard_join.jaccard_components(documents(spark, sf_dir), width=3, rule=rule)
@@ -60,6 +65,7 @@ QUERIES = {
         op3_prefix_token_counts,
         op4_fuzzy_lexicon_toxicity,
         op5_grouped_best_fit_packing,
+        op6_sharded_warc_writer,
         op8_token_group_jaccard_join,
         op9_string_tiling_decontamination,
     )
