@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordercast.llm import decontamination, jaccard_join, language_id, packing, perplexity, token_counts, toxicity, warc
+from ordercast.llm import chat_repair, decontamination, jaccard_join, language_id, packing, perplexity, token_counts, toxicity, warc
 from ordercast.llm.common import documents, fold
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +48,10 @@ def op6_sharded_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset")
 
 
+def op7_minimum_cost_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repaired(documents(spark, sf_dir, "conversations")).drop("position")
+
+
 def op8_token_group_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = jaccard_join.Threshold(num=90, den=100)
     return jaccard_join.jaccard_components(documents(spark, sf_dir), width=3, rule=rule)
@@ -66,6 +70,7 @@ QUERIES = {
         op4_fuzzy_lexicon_toxicity,
         op5_grouped_best_fit_packing,
         op6_sharded_warc_writer,
+        op7_minimum_cost_chat_repair,
         op8_token_group_jaccard_join,
         op9_string_tiling_decontamination,
     )
