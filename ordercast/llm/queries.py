@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordercast.llm import chat_repair, decontamination, jaccard_join, language_id, packing, perplexity, token_counts, toxicity, warc
+from ordercast.llm import chat_repair, decontamination, jaccard_join, language_id, licences, packing, perplexity, token_counts, toxicity, warc
 from ordercast.llm.common import documents, fold
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,17 @@ def op9_string_tiling_decontamination(spark: SparkSession, sf_dir: str) -> DataF
     return decontamination.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: a folder for each source, and in it one for each language and thousand ids."""
+    block = F.floor(F.col("doc_id") / 1000).cast("string")
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), F.lit("/"), block, F.lit("/"), "doc_id")
+    files = documents(spark, sf_dir).select(path.alias("path"), "text")
+    name = F.element_at(F.split("path", "/"), -1)
+    return licences.licences(files).select(name.cast("long").alias("doc_id"), "*")
+
+
+_PATH = "concat(coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/', CAST(doc_id // 1000 AS VARCHAR), '/', CAST(doc_id AS VARCHAR))"
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,7 +84,10 @@ QUERIES = {
         op7_minimum_cost_chat_repair,
         op8_token_group_jaccard_join,
         op9_string_tiling_decontamination,
+        op10_licence_scan,
     )
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_licence_scan": f"SELECT CAST(string_split(path, '/')[-1] AS BIGINT) AS doc_id, * FROM ({licences.oracle(_PATH, 'documents')})",
+}
