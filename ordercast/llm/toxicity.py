@@ -5,10 +5,11 @@ word beginnings (stems) that toxic rows have far more often than others become t
 sample, which the lexicon hasn't seen, gives the weights of a logistic regression on the features of
 :func:`features`, and label counts over all labelled rows give the intercept.
 
-Matching. The lexicon is a trie. A word is a Levenshtein automaton, simulated bit-parallel: for each number
-of edits, the set of positions that the word can be at. Walking down the trie only while the automaton lives
-intersects the two, and finds every term within one edit (none for terms of under five letters). Before that,
-a word must have one half of some term where the other half alone can have the edit; this loses no match.
+Matching. The lexicon is a trie. Its Levenshtein automaton reads a word and holds every place in the trie that
+the letters so far lead to with at most one edit; places that no edit can save drop out. The automaton is made
+deterministic while it reads: a set of places is a state, and steps between states are remembered. So a word costs
+a look-up per letter, most words are done after a few, and every term within one edit is found (terms of under
+five letters take no edit).
 
 Context. Around each hit, a window of words tells a quotation (quote marks, a verb of saying) from abuse
 (someone addressed, exclamation, further hits).
@@ -58,9 +59,6 @@ class Lexicon:
     terms: list[str]
     stems: list[bool]
     weights: list[float]
-    trie: dict = field(default_factory=dict)
-    heads: dict[int, set[str]] = field(default_factory=dict)
-    tails: dict[tuple[int, int], set[str]] = field(default_factory=dict)
     exact: dict[str, int] = field(default_factory=dict)
     by_length: dict[int, dict[str, int]] = field(default_factory=dict)
 
@@ -70,45 +68,13 @@ class Lexicon:
                 self.by_length.setdefault(len(term), {})[term] = k
             else:
                 self.exact[term] = k
-            if len(term) >= FUZZY_FROM:
-                node = self.trie
-                for c in term:
-                    node = node.setdefault(c, {})
-                node.setdefault("", []).append(k)
-                half = len(term) // 2
-                self.heads.setdefault(half, set()).add(term[:half])
-                self.tails.setdefault((half, len(term) - half), set()).add(term[half:])
-
-    def _possible(self, word: str) -> bool:
-        """Whether some term's one half is where it has to be, if all edits are in the other half."""
-        if any(word[:half] in heads for half, heads in self.heads.items()):
-            return True
-        return any(
-            word[at : at + n] in tails for (half, n), tails in self.tails.items() for at in (half - 1, half, half + 1)
-        )
-
-    def _within_one_edit(self, word: str) -> tuple[int, float] | None:
-        """The heaviest term within one edit of the word or, for stems, of a beginning of it."""
-        where = Counter()
-        for i, c in enumerate(word):
-            where[c] |= 1 << i
-        whole = 1 << len(word)
-        best = None
-        todo = [(self.trie, 1, 3)]
-        while todo:
-            node, same, one = todo.pop()
-            for k in node.get("", ()):
-                if (same | one) if self.stems[k] else (same | one) & whole:
-                    if best is None or (self.weights[k], -k) > (self.weights[best], -best):
-                        best = k
-            for c, child in node.items():
-                if c:
-                    here = where[c]
-                    new_same = (same & here) << 1
-                    new_one = (one & here) << 1 | same << 1 | same | new_same << 1
-                    if (new_same | new_one) & (2 * whole - 1):
-                        todo.append((child, new_same, new_one & (2 * whole - 1)))
-        return best
+        self.automaton = Automaton(self)
+
+    def better(self, a: int, b: int) -> int:
+        """The heavier one of two terms; -1 is none."""
+        if a < 0 or b < 0:
+            return max(a, b)
+        return max(a, b, key=lambda k: (self.weights[k], -k))
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, kind) of the best match: kind 0 the word itself, 1 a stem, 2 with an edit."""
@@ -119,10 +85,90 @@ class Lexicon:
         found = [s[word[:n]] for n, s in self.by_length.items() if word[:n] in s]
         if found:
             return max(found, key=lambda k: (self.weights[k], -k)), 1
-        if len(word) >= FUZZY_FROM - 1 and self._possible(word):
-            if (k := self._within_one_edit(word)) is not None:
-                return k, 2
-        return None
+        k = self.automaton.read(word)
+        return (k, 2) if k >= 0 else None
+
+
+class Automaton:
+    """The Levenshtein automaton of a lexicon's trie, for one edit, made deterministic as far as it is used.
+
+    A state is the places (trie node, edits) that the letters so far lead to, and the best stem passed.
+    """
+
+    #: States are forgotten beyond so many.
+    MOST = 200_000
+
+    def __init__(self, lexicon: Lexicon):
+        self._lexicon = lexicon
+        self._children: list[dict[str, int]] = [{}]
+        self._word: list[int] = [-1]
+        self._stem: list[int] = [-1]
+        for k, term in enumerate(lexicon.terms):
+            if len(term) < FUZZY_FROM:
+                continue
+            node = 0
+            for c in term:
+                if c not in self._children[node]:
+                    self._children[node][c] = len(self._children)
+                    self._children.append({})
+                    self._word.append(-1)
+                    self._stem.append(-1)
+                node = self._children[node][c]
+            ends = self._stem if lexicon.stems[k] else self._word
+            ends[node] = lexicon.better(ends[node], k)
+        self._start()
+
+    def _start(self) -> None:
+        self._numbers: dict[tuple, int] = {}
+        self._places: list[frozenset[tuple[int, int]]] = []
+        self._passed: list[int] = []
+        self._steps: list[dict[str, int]] = []
+        self._ends: list[int] = []
+        self._state({(0, 0)}, -1)
+
+    def _state(self, places: set[tuple[int, int]], passed: int) -> int:
+        """The number of a state, after letters of the trie may have been left out."""
+        left_out = {(child, 1) for node, edits in places if not edits for child in self._children[node].values()}
+        places = {(n, e) for n, e in places | left_out if not e or (n, 0) not in places}
+        for node, _ in places:
+            passed = self._lexicon.better(passed, self._stem[node])
+        key = frozenset(places), passed
+        number = self._numbers.get(key)
+        if number is None:
+            number = self._numbers[key] = len(self._places)
+            best = passed
+            for node, _ in places:
+                best = self._lexicon.better(best, self._word[node])
+            self._places.append(key[0])
+            self._passed.append(passed)
+            self._ends.append(best)
+            self._steps.append({})
+        return number
+
+    def _step(self, state: int, letter: str) -> int:
+        places = set()
+        for node, edits in self._places[state]:
+            children = self._children[node]
+            if letter in children:
+                places.add((children[letter], edits))
+            if not edits:
+                places.add((node, 1))
+                places.update((child, 1) for child in children.values())
+        return self._state(places, self._passed[state])
+
+    def read(self, word: str) -> int:
+        """The heaviest term within one edit of the word or, for stems, of a beginning of it; -1 if none is."""
+        if len(self._places) > self.MOST:
+            self._start()
+        state, steps, places = 0, self._steps, self._places
+        for letter in word:
+            after = steps[state].get(letter)
+            if after is None:
+                after = steps[state][letter] = self._step(state, letter)
+            state = after
+            if not places[state]:
+                break
+        return self._ends[state]
 
 
 FEATURES = ("strongest", "words", "stems", "edited", "quoted", "addressed", "density", "crowded")
