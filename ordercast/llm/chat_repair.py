@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,21 +124,20 @@ def repaired(conversations: DataFrame, costs: Costs = Costs(), longest: int = 10
     dealt = turns.repartitionByRange(*order).sortWithinPartitions(*order)
     numbers = {name: k for k, name in enumerate(ROLES, 1)}
 
-    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, current, piece, at = TaskContext.get().partitionId(), object(), 0, 0
         for batch in batches:
-            ids = [None if pd.isna(i) else i for i in batch["conv_id"]]
-            pieces, places = [], []
-            for i in ids:
-                if i != current or at == longest:
-                    piece, at, current = piece + 1, 0, i
-                pieces.append(piece)
-                places.append(at)
+            rows = []
+            for conversation in batch.column("conv_id").to_pylist():
+                if conversation != current or at == longest:
+                    piece, at, current = piece + 1, 0, conversation
+                rows.append((task, piece, at))
                 at += 1
-            yield batch.assign(task=task, piece=pieces, place=places)
+            added = [pa.array([r[k] for r in rows], pa.int32()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "task", "piece", "place"])
 
     schema = f"conv_id {id_type}, turn {turn_type}, role string, text string, task int, piece int, place int"
-    placed = stage(dealt.mapInPandas(numbered, schema), "turns")
+    placed = stage(dealt.mapInArrow(numbered, schema), "turns")
 
     def tables(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("place")

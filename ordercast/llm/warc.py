@@ -178,8 +178,8 @@ def write(
         roll, shard, current, originals, copies = None, None, object(), {}, {}
         for batch in batches:
             done = []
-            for s, page_id, kind, url, html, original in zip(*(batch[c].array for c in names)):
-                page_id = None if pd.isna(page_id) else int(page_id)
+            for s, page_id, kind, url, html, original in zip(*(batch[c].tolist() for c in names)):
+                page_id = None if page_id is None else int(page_id)
                 if s != shard:
                     if roll is not None:
                         done.append(roll.close())
@@ -187,7 +187,7 @@ def write(
                 if page_id != current:
                     current, originals, copies = page_id, {}, {}
                 if not kind:
-                    originals[url] = None if pd.isna(original) else int(original)
+                    originals[url] = None if original is None else int(original)
                     continue
                 payload = html.encode("utf-8", "replace") if isinstance(html, str) else b""
                 sha1 = hashlib.sha1(payload)
@@ -207,7 +207,9 @@ def write(
 
     names = ["shard", "page_id", "kind", "url", "html", "original"]
     columns = [c.split()[0] for c in MANIFEST.split(", ")]
-    ordered.select(names).mapInPandas(written, MANIFEST).write.parquet(f"{path}/manifest")
+    # Ids go as text: integers with nulls among them would arrive as rounded floats.
+    exact = {c: F.col(c).cast("string") for c in ("page_id", "original")}
+    ordered.withColumns(exact).select(names).mapInPandas(written, MANIFEST).write.parquet(f"{path}/manifest")
     return manifest(spark, path)
 
 
@@ -278,7 +280,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=names)
-        return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+        return out.assign(**{c: pd.array([r[names.index(c)] for r in rows], dtype="Int64") for c in ("page_id", "refers_to")})
 
     listed = manifest(spark, path).select("file")
     return listed.repartition("file").mapInPandas(records, READ)
