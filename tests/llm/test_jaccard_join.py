@@ -1,0 +1,130 @@
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from ordercast.llm import jaccard_join
+from ordercast.llm.components import components
+from ordercast.llm.words import hashes, shingle_set, words
+
+from .conftest import prose
+
+
+def brute(rows, width, num, den):
+    sets = {}
+    for doc_id, text in rows:
+        w = (text or "").encode().lower().split()
+        grams = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+        sets[doc_id] = frozenset(grams)
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), root(d)) for d in ids}
+
+
+def copies(rng, n, edits):
+    base = prose(rng, 150).split()
+    out = []
+    for _ in range(n):
+        text = list(base)
+        for _ in range(rng.randint(0, edits)):
+            k = rng.randrange(len(text))
+            if rng.random() < 0.5:
+                text[k] = prose(rng, 1)
+            else:
+                del text[k]
+        out.append(" ".join(text))
+    return out
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    texts = [prose(rng, rng.randint(1, 60)) for _ in range(60)] + ["the same words"] * 5
+    texts += copies(rng, 60, 9) + copies(rng, 25, 3)
+    passage = prose(rng, 60)
+    texts += [f"{prose(rng, rng.randint(1, 40))} {passage} {prose(rng, 5)}" for _ in range(40)]
+    # A chain in which each text links with the next only.
+    chain = prose(rng, 120).split()
+    for _ in range(8):
+        chain = chain[2:] + prose(rng, 2).split()
+        texts.append(" ".join(chain))
+    return texts + ["", None, " \n", "a", "A", "a b", "B a"]
+
+
+@pytest.mark.parametrize("width, num, group", [(3, 90, 400_000), (5, 80, 400_000), (3, 90, 300), (2, 60, 1000)])
+def test_components_against_all_pairs(documents, width, num, group):
+    docs = documents(corpus(width), extra=("rep", "group", "n"))
+    rule = jaccard_join.Threshold(num, 100)
+    got = jaccard_join.jaccard_components(docs, width, rule, group_shingles=group).collect()
+    want = brute(docs.select("doc_id", "text").collect(), width, num, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    left = jaccard_join.without_copies(docs, width, rule)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, (_, c) in want.items() if d == c)
+
+
+def test_linked_sets_share_the_needed_tokens():
+    rng = np.random.default_rng(3)
+    universe = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    order = jaccard_join.Order(rng.choice(universe, 40, replace=False), rng.integers(4, 9, 40))
+    for num in (60, 80, 90):
+        rule = jaccard_join.Threshold(num, 100)
+        for _ in range(3000):
+            a = np.sort(rng.choice(universe, rng.integers(1, 80), replace=False))
+            keep = a[rng.random(len(a)) < rng.choice([0.9, 0.95, 1.0])]
+            b = np.unique(np.concatenate([keep, rng.choice(universe, rng.integers(0, 6))]))
+            both = len(np.intersect1d(a, b))
+            if both and 100 * both >= num * (len(a) + len(b) - both):
+                shared = np.intersect1d(order.first(a, rule.prefix(len(a))), order.first(b, rule.prefix(len(b))))
+                assert len(shared) >= max(rule.need(len(a)), rule.need(len(b)))
+
+
+def test_shingles_of_short_texts():
+    assert len(shingle_set(hashes(words("")), 3)) == 0
+    one, other = shingle_set(hashes(words("a b")), 3), shingle_set(hashes(words("A\tb")), 3)
+    assert len(one) == 1 and one == other
+    assert one != shingle_set(hashes(words("b a")), 3)
+
+
+def test_odd_rows(odd, empty):
+    rows = jaccard_join.jaccard_components(odd).collect()
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
+    assert None not in found and len(rows) == odd.where("doc_id is not null").count()
+    assert [found[k] for k in (1, 2, 3, 7, 8)] == [(0, 1), (0, 2), (0, 3), (1, 7), (1, 7)]
+    left = jaccard_join.without_copies(odd)
+    assert left.columns == odd.columns
+    assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [1, 2, 3, 4, 5, 6, 7, (1 << 60) + 1]
+    assert left.where("doc_id is null").count() == 1
+    assert jaccard_join.jaccard_components(empty).collect() == []
+    assert jaccard_join.without_copies(empty).collect() == []
+
+
+def test_connected_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1100)]
+    found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    near = defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    for start in near:
+        seen, todo = {start}, [start]
+        while todo:
+            for n in near[todo.pop()] - seen:
+                seen.add(n)
+                todo.append(n)
+        assert found[start] == min(seen)
+    assert set(found) == set(near)
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
