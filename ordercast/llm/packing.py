@@ -18,8 +18,10 @@ separately. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -28,56 +30,81 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ordercast.llm.common import REMEMBERED, prepare, runs, stage
+from ordercast.llm.token_counts import PIECES, byte_alphabet
 
 _ADJACENT = re.compile(r"\s\s")
 _BLANK = re.compile(r"(?<=\S)(?= \S)")
 
 
+class _Remembered(dict):
+    """Encodings by word, made when first asked for; very long words are not kept."""
+
+    def __init__(self, encode):
+        self._encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        found = self._encode(word)
+        if len(word) <= 256:
+            self[word] = found
+        return found
+
+
 class TextTokenizer:
     """Token ids of texts as little-endian unsigned 32-bit integers.
 
-    A text is cut at single blanks between words, where the tokenizer's own pieces end as well, and
-    each distinct part is encoded once.
+    A text is cut at single blanks between words, where the tokenizer's own pieces end as well, and each
+    distinct part is encoded once. If the file's merges are in the order of their ids, as byte-level files
+    have them, the faster of two libraries encodes the parts, with ranks taken from the same file;
+    parts with special tokens go to the file's own library.
     """
 
     def __init__(self, path: str):
         self._tokenizer = Tokenizer.from_file(path)
-        self._ids: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def parts(self, text: str) -> list[str]:
-        if _ADJACENT.search(text):
-            return _BLANK.split(text)
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            first, *rest = line.split(" ")
-            if k:
-                out.append("\n")
-            if first:
-                out.append(first)
-            out += [" " + word for word in rest]
-        return out
+        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(map(re.escape, added)) or "(?!)")
+        self._ranked = self._by_rank(path, added)
+        self._starts = _Remembered(self._encode)
+        self._words = _Remembered(lambda word: self._encode(" " + word))
+
+    def _by_rank(self, path: str, added: list[str]) -> tiktoken.Encoding | None:
+        with open(path, encoding="utf-8") as file:  # a vocabulary on the worker's own disk, no input
+            model = json.load(file)["model"]
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        ids = [model["vocab"][m] for m in merged]
+        if ids != sorted(ids):
+            return None
+        to_byte = {c: b for b, c in enumerate(byte_alphabet())}
+        ranks = {bytes(to_byte[c] for c in t): k for t, k in model["vocab"].items() if t not in added}
+        return tiktoken.Encoding("ranked", pat_str=PIECES.pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def _encode(self, part: str) -> bytes:
+        if self._ranked is None or self._special.search(part):
+            return array("I", self._tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        return array("I", self._ranked.encode_ordinary(part)).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.parts(t) for t in texts]
-        if len(self._ids) > REMEMBERED:
-            self._ids.clear()
-        known = self._ids
-        new = list(set().union(*cut).difference(known))
-        long = [p for p in new if len(p) > 256]
-        known.update(zip(new, self._encode(new)))
-        out = [b"".join([known[p] for p in parts]) for parts in cut]
-        for part in long:
-            del known[part]
+        starts, words = self._starts, self._words
+        if len(starts) + len(words) > REMEMBERED + REMEMBERED // 4:
+            starts.clear()
+            words.clear()
+        end, start, word = self._encode("\n"), starts.__getitem__, words.__getitem__
+        out = []
+        for text in texts:
+            if _ADJACENT.search(text) or self._special.search(text):
+                out.append(b"".join(map(self._encode, _BLANK.split(text))))
+                continue
+            lines = []
+            for line in text.split("\n"):
+                first, blank, rest = line.partition(" ")
+                lines.append(start(first) + b"".join(map(word, rest.split(" "))) if blank else start(first))
+            out.append(end.join(lines))
         return out
 
 
