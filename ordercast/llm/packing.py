@@ -121,27 +121,29 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0) -> DataFr
     piece has what is over, the others are full.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = ("piece", "start", "length", "ids_crc32", "task", "rank")
+
+    @F.pandas_udf("array<struct<piece int, start long, length long, ids_crc32 long, task int, rank long>>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         task, ranks, end = TaskContext.get().partitionId(), Counter(), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            at = 0
-            for texts in runs(batch["text"]):
-                rows = []
-                for doc_id, ids in zip(batch["doc_id"].iloc[at : at + len(texts)], tokenizer(path).encode(texts)):
+            out = []
+            for texts in runs(batch):
+                for ids in tokenizer(path).encode(texts):
                     ids += end
                     n = len(ids) // 4
                     first = (n - 1) % capacity + 1
+                    rows = []
                     for k, start in enumerate([0, *range(first, n, capacity)]):
                         length = first if k == 0 else capacity
                         crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-                        rows.append((doc_id, k, start, length, crc, task, ranks[length]))
+                        rows.append(dict(zip(fields, (k, start, length, crc, task, ranks[length]))))
                         ranks[length] += 1
-                at += len(texts)
-                yield pd.DataFrame(rows, columns=names)
+                    out.append(rows)
+            yield pd.Series(out, dtype=object)
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, task int, rank long"
-    return docs.select("doc_id", "text").mapInPandas(cut, schema)
+    made = docs.select("doc_id", F.explode(cut.asNondeterministic()("text")).alias("p"))
+    return made.select("doc_id", "p.*")
 
 
 @dataclass
