@@ -1,0 +1,86 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from ordercast.llm import language_id
+
+from .conftest import prose
+
+SYLLABLES = {"aa": "ka ke ki ko ku kan", "bb": "sch ung heit lich ver", "cc": "tion ment eau oi que"}
+
+
+def brute_marginals(e, transitions):
+    steps, labels = e.shape
+    single, pairs, total = np.zeros((steps, labels)), np.zeros((labels, labels)), 0.0
+    for y in itertools.product(range(labels), repeat=steps):
+        w = np.exp(sum(e[t, y[t]] for t in range(steps)) + sum(transitions[a, b] for a, b in zip(y, y[1:])))
+        total += w
+        single[np.arange(steps), y] += w
+        for a, b in zip(y, y[1:]):
+            pairs[a, b] += w
+    return single / total, pairs / total
+
+
+def test_forward_backward_against_all_paths():
+    rng = np.random.default_rng(1)
+    e, transitions, lengths = rng.normal(size=(3, 5, 3)) * 3, rng.normal(size=(3, 3)), np.array([5, 3, 1])
+    p = language_id.forward_backward(e, lengths, transitions)
+    for k, n in enumerate(lengths):
+        assert np.allclose(p[k, :n], brute_marginals(e[k, :n], transitions)[0])
+        assert not p[k, n:].any()
+    pairs = language_id._pair_sums(p[:1], e[:1], transitions)
+    assert np.allclose(pairs, brute_marginals(e[0], transitions)[1])
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(240):
+        lang = rng.choice(list(SYLLABLES))
+        rows.append((k, prose(rng, rng.randint(5, 80), SYLLABLES[lang]), lang))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+@pytest.fixture(scope="module")
+def field(labelled):
+    return language_id.learn(labelled.where("doc_id % 4 <> 0"))
+
+
+def test_held_out_texts(labelled):
+    docs = labelled.where("doc_id % 4 = 0")
+    found = {r.doc_id: r for r in language_id.predict(docs, labelled.where("doc_id % 4 <> 0")).collect()}
+    right = sum(found[r.doc_id].lang_pred == r.lang for r in docs.collect())
+    assert right >= 0.95 * len(found)
+    assert all(0 <= r.score <= 1 for r in found.values())
+
+
+def test_code_switching(spark, field):
+    rng = random.Random(5)
+    a, b = prose(rng, 30, SYLLABLES["aa"]), prose(rng, 30, SYLLABLES["bb"])
+    sent = spark.sparkContext.broadcast(field)
+    df = spark.createDataFrame([(f"{a} {b}",), ("",), (None,)], "text string")
+    mixed, *none = [r[0] for r in df.select(language_id.word_languages(df["text"], sent)).collect()]
+    want = ["aa"] * 30 + ["bb"] * 30
+    assert len(mixed) == 60 and sum(x == y for x, y in zip(mixed, want)) >= 55 and none == [[], []]
+    assert all(np.diag(field.transitions)[k] >= field.transitions[k].max() - 1e-9 for k in range(3))
+
+
+def test_long_texts_are_read_to_the_end(field):
+    rng = random.Random(6)
+    text = prose(rng, 40, SYLLABLES["aa"]) + " " + prose(rng, 5 * language_id.CHAIN, SYLLABLES["cc"])
+    (label, score), = language_id.Reader(field).predict([text])
+    assert label == "cc" and score > 0.9
+
+
+def test_odd_rows(odd, empty, labelled):
+    both = odd.select("doc_id", "text", "lang").unionAll(labelled)
+    rows = language_id.predict(odd, both).collect()
+    assert len(rows) == odd.count()
+    found = {r.doc_id: r for r in rows}
+    assert all((found[k].lang_pred, found[k].score) == ("und", 0.0) for k in (1, 2, 3))
+    assert found[7] [1:] == found[8][1:] and found[6].lang_pred in {"aa", "bb", "cc", "xx", "yy"}
+    assert language_id.predict(empty, both).collect() == []
+    assert {r.lang_pred for r in language_id.predict(odd, empty).collect()} == {"und"}
