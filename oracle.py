@@ -73,7 +73,7 @@ _CTES = {
         d - 364 AS comp_target_start, d + 69 - 364 AS comp_target_end,
         d - 84 AS comp_pre_delivery_start, d - 7 AS comp_pre_delivery_end,
         d - 84 - 364 AS comp_pre_delivery_start_prev, d - 7 - 364 AS comp_pre_delivery_end_prev
-        FROM (SELECT i, DATE '1996-04-01' + (14 * i)::INT AS d FROM range(105) t(i))""",
+        FROM (SELECT i, DATE '1996-04-01' + (14 * i)::INT AS d FROM range(157) t(i))""",
     "roles": """SELECT cycle_id, 'target' AS role, target_start AS a, target_end AS b FROM fw
         UNION ALL SELECT cycle_id, 'comp_target', comp_target_start, comp_target_end FROM fw
         UNION ALL SELECT cycle_id, 'pre', comp_pre_delivery_start, comp_pre_delivery_end FROM fw
@@ -217,6 +217,9 @@ def _error(by: str) -> str:
 _QUERIES = {
     "read_orders": """SELECT Product_Code, Warehouse, Product_Category, nullif("Date", 'NA') AS "Date", Order_Demand FROM raw""",
     "write_forecast": f"SELECT {_F_COLUMNS}, DATE '2001-10-28' AS run_date FROM f",
+    "write_forecast_dow_curve": f"SELECT cycle_id, Warehouse, DOW, {_r('pct_orders')} AS pct_orders, DATE '2001-10-28' AS run_date FROM curve",
+    "write_forecast_warehouse_share": f"""SELECT cycle_id, Warehouse, orders, {_r('pct_orders')} AS pct_orders,
+        DATE '2001-10-28' AS run_date FROM shares""",
     "parse_dates": """SELECT Product_Code, Warehouse, Product_Category, try_strptime("Date", '%Y/%m/%d')::DATE AS "Date",
         Order_Demand FROM raw""",
     "parse_accounting_numbers": """SELECT Product_Code, Warehouse, Product_Category, "Date",
@@ -283,18 +286,24 @@ _QUERIES = {
         GROUP BY DOW""",
     "dow_box_outliers": f"""SELECT DOW, Month_Year, {_r('pct')} AS pct FROM dow_share JOIN boxes USING (DOW)
         WHERE pct < q1 - 1.5 * (q3 - q1) OR pct > q3 + 1.5 * (q3 - q1)""",
-    "date_framework": "SELECT * FROM fw",
+    "date_framework": f"""SELECT fw.*, {', '.join(f"""
+        (count(DISTINCT "Date") FILTER (role = '{r}')) AS {r}_days, min("Date") FILTER (role = '{r}') AS {r}_first,
+        max("Date") FILTER (role = '{r}') AS {r}_last""" for r in ('target', 'comp_target', 'pre', 'pre_prev'))}
+        FROM fw LEFT JOIN role_daily USING (cycle_id) GROUP BY ALL""",
     "cycle_window_totals": "SELECT cycle_id, role, total FROM totals",
-    "calibration_cycle": "SELECT cycle_id, delivery, calibration_id FROM calibration",
+    "calibration_cycle": """SELECT cycle_id, delivery, calibration_id, n AS calibration_days, n = 70 AS calibration_complete
+        FROM calibration LEFT JOIN (SELECT cycle_id AS calibration_id, count(DISTINCT "Date") AS n
+              FROM fw LEFT JOIN (SELECT * FROM role_daily WHERE role = 'target') USING (cycle_id) GROUP BY ALL) USING (calibration_id)""",
     "horizon_grid": "SELECT cycle_id, Warehouse, Fcast_Date, DOW FROM grid",
     "benchmark_4wk": 'SELECT Warehouse, "Date", Total_Orders, Forecast_Orders FROM lagged',
     "benchmark_variance": f"""SELECT cycle_id, {_r('(sum(Forecast_Orders) - sum(Total_Orders)) / nullif(sum(Total_Orders), 0)')} AS variance
-        FROM bench GROUP BY ALL""",
+        FROM fw LEFT JOIN bench USING (cycle_id) GROUP BY ALL""",
     "benchmark_variance_by_wh": f"""SELECT cycle_id, Warehouse,
         {_r('(sum(Forecast_Orders) - sum(Total_Orders)) / nullif(sum(Total_Orders), 0)')} AS variance FROM bench GROUP BY ALL""",
     "benchmark_mape": f"""SELECT cycle_id, {_r('''avg(CASE WHEN Total_Orders IS NULL THEN 0.0
         WHEN Forecast_Orders = 0 AND Total_Orders = 0 THEN 0.0 WHEN Forecast_Orders = 0 THEN 1.0
-        ELSE abs(Forecast_Orders - Total_Orders) / Forecast_Orders END)''')} AS mape FROM bench GROUP BY ALL""",
+        ELSE abs(Forecast_Orders - Total_Orders) / Forecast_Orders END) FILTER (Forecast_Orders IS NOT NULL)''')} AS mape
+        FROM fw LEFT JOIN bench USING (cycle_id) GROUP BY ALL""",
     "yoy_growth": f"SELECT cycle_id, pre, pre_prev, {_r('(pre - pre_prev) / nullif(pre_prev, 0)')} AS growth FROM wide",
     "expected_volume": f"""SELECT cycle_id, v AS comp_volume, {_r('g')} AS growth, {_r('e', 2)} AS expected_volume,
         {_r('(e - v) / nullif(v, 0)')} AS expected_growth FROM expected""",

@@ -22,4 +22,9 @@ def parse_accounting_number(text: Column) -> Column:
     (``100d``) and words (``NaN``, ``Infinity``), which are not demand.
     """
     signed = F.replace(F.replace(text, F.lit("("), F.lit("-")), F.lit(")"))
-    return F.when(~text.rlike("[A-DF-Za-df-z]"), signed.try_cast("double"))
+    return finite(F.when(~text.rlike("[A-DF-Za-df-z]"), signed.try_cast("double")))
+
+
+def finite(number: Column) -> Column:
+    """The number, or null if it is NaN or infinite."""
+    return F.when(F.abs(number) < F.lit(float("inf")), number)

@@ -29,18 +29,28 @@ def _in_target(benchmark: DataFrame, cal: CycleCalendar) -> DataFrame:
     return in_windows(benchmark.where(F.col("Forecast_Orders").isNotNull()), cal, "target")
 
 
+def _every_cycle(measured: DataFrame, cal: CycleCalendar) -> DataFrame:
+    """One row per cycle; null where no day of the target has a forecast."""
+    cycles = cal.cycles(measured.sparkSession).select("cycle_id")
+    return cycles.join(measured, "cycle_id", "left")
+
+
 def benchmark_variance(benchmark: DataFrame, cal: CycleCalendar, by_warehouse: bool = False) -> DataFrame:
-    """(sum F - sum A) / sum A over the target window, days with a forecast only."""
+    """(sum F - sum A) / sum A over the target window, days with a forecast only.
+
+    One row for every cycle or, by warehouse, for every cycle and warehouse that have such days.
+    """
     keys = ["cycle_id", "Warehouse"] if by_warehouse else ["cycle_id"]
     actual, forecast = total_or_zero(F.col("Total_Orders")), total_or_zero(F.col("Forecast_Orders"))
-    return (
+    measured = (
         _in_target(benchmark, cal)
         .groupBy(*keys)
         .agg(safe_ratio(forecast - actual, actual).alias("variance"))
     )
+    return measured if by_warehouse else _every_cycle(measured, cal)
 
 
 def benchmark_mape(benchmark: DataFrame, cal: CycleCalendar, denominator: str = "forecast") -> DataFrame:
-    """Mean absolute percentage error of the naive forecast; by default relative to the forecast."""
+    """Mean absolute percentage error of the naive forecast for every cycle; by default relative to the forecast."""
     error = abs_pct_error(F.col("Forecast_Orders"), F.col("Total_Orders"), denominator)
-    return _in_target(benchmark, cal).groupBy("cycle_id").agg(F.avg(error).alias("mape"))
+    return _every_cycle(_in_target(benchmark, cal).groupBy("cycle_id").agg(F.avg(error).alias("mape")), cal)

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 WINDOW_ROLES = ("target", "comp_target", "pre", "pre_prev")
 
-# Rows of an exploded calendar up to which it is broadcast: about 24 bytes each.
-_BROADCAST_ROWS = 2_000_000
-
 
 @dataclass(frozen=True)
 class CycleCalendar:
@@ -31,6 +28,11 @@ class CycleCalendar:
     yoy_days: int = 364
     pre_end_offset_days: int = 7
 
+    def __post_init__(self):
+        if self.p_horizon_weeks < self.f_horizon_weeks:
+            # The calibrating cycle's target would not be over at delivery.
+            raise ValueError("p_horizon_weeks has to be at least f_horizon_weeks")
+
     @property
     def last_cycle(self) -> int:
         return self.n_cycles + 1
@@ -72,7 +74,7 @@ class CycleCalendar:
 
     def cycles(self, spark: SparkSession) -> DataFrame:
         """(cycle_id, delivery)."""
-        ids = spark.range(1, self.last_cycle + 1, numPartitions=1)
+        ids = spark.range(1, self.last_cycle + 1)
         ids = ids.select(F.col("id").cast("int").alias("cycle_id"))
         return ids.withColumn("delivery", self.delivery(F.col("cycle_id")))
 
@@ -97,8 +99,8 @@ class CycleCalendar:
         """(cycle_id, role, Date): every day of every window.
 
         Written out day by day so that finding the windows of a date is an equi-join. The size
-        follows from the calendar's parameters, not from the data; the broadcast is asked for only
-        while that size is small.
+        follows from the calendar's parameters, not from the data; how it is joined is left to the
+        planner.
         """
         windows = F.array(
             *[
@@ -106,14 +108,11 @@ class CycleCalendar:
                 for role in roles
             ]
         )
-        days = (
+        return (
             self.cycles(spark)
             .select("cycle_id", F.inline(windows))
             .select("cycle_id", "role", F.explode("dates").alias("Date"))
         )
-        lengths = [self.offsets(r)[1] - self.offsets(r)[0] + 1 for r in roles]
-        small = self.last_cycle * sum(lengths) <= _BROADCAST_ROWS
-        return F.broadcast(days) if small else days
 
 
 def date_framework(
@@ -164,10 +163,41 @@ def calibration_cycles(fw: DataFrame, p_horizon_weeks: int) -> DataFrame:
     """For each cycle the one delivered ``p_horizon_weeks`` earlier; null where there is none."""
     earlier = fw.select(F.col("cycle_id").alias("calibration_id"), F.col("delivery").alias("earlier"))
     return fw.join(
-        F.broadcast(earlier), F.date_sub(F.col("delivery"), 7 * p_horizon_weeks) == F.col("earlier"), "left"
+        earlier, F.date_sub(F.col("delivery"), 7 * p_horizon_weeks) == F.col("earlier"), "left"
     ).select("cycle_id", "delivery", "calibration_id")
 
 
+def window_coverage(daily: DataFrame, cal: CycleCalendar) -> DataFrame:
+    """The cycle table with what there is in each window: days with orders, the first and the last."""
+    found = in_windows(daily.select("Date").distinct(), cal, *WINDOW_ROLES)
+    here = lambda role: F.when(F.col("role") == role, F.col("Date"))
+    columns = []
+    for role in WINDOW_ROLES:
+        columns += [
+            F.count(here(role)).alias(f"{role}_days"),
+            F.min(here(role)).alias(f"{role}_first"),
+            F.max(here(role)).alias(f"{role}_last"),
+        ]
+    covered = found.groupBy("cycle_id").agg(*columns)
+    counts = [f"{role}_days" for role in WINDOW_ROLES]
+    return cal.frame(daily.sparkSession).join(covered, "cycle_id", "left").na.fill(0, counts)
+
+
+def calibration_coverage(daily: DataFrame, cal: CycleCalendar) -> DataFrame:
+    """The calibration cycle of each cycle, the days with orders in its target, and whether these are all."""
+    covered = window_coverage(daily, cal)
+    first, last = cal.offsets("target")
+    earlier = covered.select(F.col("cycle_id").alias("calibration_id"), F.col("target_days").alias("calibration_days"))
+    calibrated = calibration_cycles(covered.select("cycle_id", "delivery"), cal.p_horizon_weeks)
+    return calibrated.join(earlier, "calibration_id", "left").select(
+        "cycle_id",
+        "delivery",
+        "calibration_id",
+        "calibration_days",
+        (F.col("calibration_days") == last - first + 1).alias("calibration_complete"),
+    )
+
+
 def horizon_grid(warehouses: DataFrame, cal: CycleCalendar) -> DataFrame:
     """Every target day of every cycle for every warehouse.
 

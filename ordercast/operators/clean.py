@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordercast.functions.seeded import hash_choice, hash_normal
-from ordercast.functions.text import parse_accounting_number, parse_date
+from ordercast.functions.text import finite, parse_accounting_number, parse_date
 
 
 def parse_dates(lines: DataFrame) -> DataFrame:
@@ -20,10 +20,10 @@ def parse_dates(lines: DataFrame) -> DataFrame:
 
 
 def parse_demand(lines: DataFrame) -> DataFrame:
-    """Text quantities to numbers; a source that has numbers keeps them."""
+    """Text quantities to numbers; a source that has numbers keeps them, if they are finite."""
     quantity = F.col("Order_Demand")
     is_text = isinstance(lines.schema["Order_Demand"].dataType, T.StringType)
-    return lines.withColumn("Order_Demand", parse_accounting_number(quantity) if is_text else quantity.cast("double"))
+    return lines.withColumn("Order_Demand", parse_accounting_number(quantity) if is_text else finite(quantity.cast("double")))
 
 
 def calendar_features(lines: DataFrame) -> DataFrame:

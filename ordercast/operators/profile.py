@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ordercast.functions.numeric import safe_ratio
 from ordercast.functions.seeded import hash_order
-from ordercast.operators.quantiles import group_quantiles
+from ordercast.operators.quantiles import quantiles_of, value_histogram
 from ordercast.plans.staging import StagingArea
 
 
@@ -48,20 +48,23 @@ def missing_volume_share(lines: DataFrame) -> DataFrame:
 def demand_summary(
     lines: DataFrame, column: str = "Order_Demand", area: StagingArea | None = None
 ) -> DataFrame:
-    """Min, quartiles, mean, max and null count as one row."""
-    moments = lines.agg(
-        F.min(column).alias("min"),
-        F.avg(column).alias("mean"),
-        F.max(column).alias("max"),
-        F.count_if(F.col(column).isNull()).alias("n_null"),
-    )
-    quartiles = group_quantiles(lines, [], column, {"q1": 0.25, "median": 0.5, "q3": 0.75}, area=area)
-    # Two one-row tables, put side by side on a constant.
-    return (
-        moments.withColumn("_one", F.lit(1))
-        .join(quartiles.withColumn("_one", F.lit(1)), "_one", "left")
-        .select("min", "q1", "median", "mean", "q3", "max", "n_null")
+    """Min, quartiles, mean, max and null count as one row.
+
+    The histogram behind the quartiles, a row per bucket, gives the other measures too.
+    """
+    area = area or StagingArea(lines.sparkSession)
+    histogram = area.stage(value_histogram(lines, [], column), "histogram")
+    known = F.when(F.col("_b").isNotNull(), F.col("_n"))
+    moments = histogram.agg(
+        F.min("_low").alias("min"),
+        safe_ratio(F.sum("_sum"), F.sum(known)).alias("mean"),
+        F.max("_high").alias("max"),
+        F.coalesce(F.sum(F.when(F.col("_b").isNull(), F.col("_n"))), F.lit(0)).alias("n_null"),
     )
+    quartiles = quantiles_of(histogram, lines, [], column, {"q1": 0.25, "median": 0.5, "q3": 0.75}, area)
+    names = ["min", "q1", "median", "mean", "q3", "max", "n_null"]
+    both = moments.unionByName(quartiles, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in names])
 
 
 def shape(lines: DataFrame) -> DataFrame:

@@ -4,13 +4,15 @@ Sorting a group, or keeping its value-to-count map, puts the whole group on one
 group is narrowed down first:
 
 1. count lines per (group, value bucket) - a histogram of bounded width, combined map-side;
-2. running counts over the histogram tell which buckets hold the wanted ranks (at most two per
-   quantile); a bucket that still holds very many lines is cut into finer ones in the same way;
-3. count the distinct values of those buckets only, and read the order statistics off their
-   running counts.
-
-Each pass scans a few narrow columns and shuffles partial counts, so a group that holds a third
-of all lines costs no more than its histogram. The result is exact: no sketch is involved.
+2. running counts over the histogram tell which buckets hold the wanted ranks, at most two per
+   quantile; count the distinct values of those buckets;
+3. cut each of these buckets into slices, find the slices that hold the ranks in the same way, and
+   read the order statistics off the running counts of their values.
+
+The source is scanned twice, whatever the values are. Lines in a bucket that no group wants are
+dropped before anything is shuffled, the others are counted per value before; so what is shuffled are
+partial counts, and a group that holds a third of all lines costs no more than its histogram and
+its distinct values near the wanted ranks. The result is exact: no sketch is involved.
 """
 
 from __future__ import annotations
@@ -58,67 +60,79 @@ def _holds_a_rank(probs: Mapping[str, float]) -> Column:
     return wanted
 
 
+#: Buckets that ``_bucket`` can give, about twice 710 * 16: what a filter on them is bounded by.
+_MAX_BUCKETS = 2 * int(_LN_MAX) * _RESOLUTION + 1
+
+
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: Mapping[str, float],
-    crowded: int = 2_000_000,
     area: StagingArea | None = None,
 ) -> DataFrame:
     """One row per group with a column per entry of ``probs`` (name -> probability).
 
     Linear interpolation between the two neighbouring order statistics; nulls are left out. With no
-    keys the whole table is the group. A bucket of more than ``crowded`` lines is cut further before
-    its values are listed. The chosen buckets are written to ``area``.
+    keys the whole table is the group. The chosen buckets and their values are written to ``area``.
     """
     area = area or StagingArea(df.sparkSession)
-    keys = list(keys)
-    group = keys or ["_all"]
+    return quantiles_of(value_histogram(df, keys, value), df, keys, value, probs, area)
+
+
+def value_histogram(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Per group and value bucket: number, sum, smallest and largest of the values. Nulls have a null bucket."""
+    group = list(keys) or ["_all"]
     source = df if keys else df.withColumn("_all", F.lit(1))
-    values = source.select(*group, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    values = values.withColumn("_b", _bucket(F.col("_v")))
+    values = source.select(*group, F.col(value).alias("_v")).withColumn("_b", _bucket(F.col("_v")))
+    return values.groupBy(*group, "_b").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_sum"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    )
 
-    summary = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+
+def quantiles_of(
+    histogram: DataFrame,
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    area: StagingArea,
+) -> DataFrame:
+    """:func:`group_quantiles` from a histogram that is already there."""
+    keys = list(keys)
+    group = keys or ["_all"]
     in_group = Window.partitionBy(*group)
     upwards = in_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    histogram = (
-        values.groupBy(*group, "_b")
-        .agg(*summary)
+    running = (
+        histogram.where(F.col("_b").isNotNull())
         .withColumn("_before", F.sum("_n").over(upwards) - F.col("_n"))
         .withColumn("_total", F.sum("_n").over(in_group))
     )
     # At most two rows per group and quantile; written so that its size is known to the planner.
-    buckets = area.stage(histogram.where(_holds_a_rank(probs)), "quantile_buckets")
-
-    def members(of: DataFrame) -> DataFrame:
-        """The lines of these buckets. ``_low`` tells the slices of one bucket apart."""
-        bounds = of.select(*group, "_b", "_low", "_high", "_before", "_total")
-        return match_join(values, bounds, [*group, "_b"]).where(F.col("_v").between(F.col("_low"), F.col("_high")))
-
-    # The slices of a bucket are so much narrower that few rounds can follow, whatever the values are.
-    still_crowded = (F.col("_n") > crowded) & (F.col("_low") < F.col("_high"))
-    while not buckets.where(still_crowded).isEmpty():
-        in_bucket = Window.partitionBy(*group, "_b", "_outer_low").orderBy("_s")
-        in_bucket = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        slices = (
-            members(buckets)
-            .withColumn("_s", _slice(F.col("_v"), F.col("_low"), F.col("_high")))
-            .withColumnsRenamed({"_low": "_outer_low", "_before": "_outer_before"})
-            .groupBy(*group, "_b", "_outer_low", "_s", "_outer_before", "_total")
-            .agg(*summary)
-            .withColumn("_before", F.col("_outer_before") + F.sum("_n").over(in_bucket) - F.col("_n"))
-        )
-        slices = slices.where(_holds_a_rank(probs)).select(*buckets.columns)
-        buckets = area.stage(slices, "quantile_buckets")
-
-    in_bucket = Window.partitionBy(*group, "_b", "_low").orderBy("_v")
+    buckets = running.where(_holds_a_rank(probs)).select(*group, "_b", "_low", "_high", "_before", "_total")
+    buckets = area.stage(buckets, "quantile_buckets")
+    wanted = [r["_b"] for r in buckets.select("_b").distinct().limit(_MAX_BUCKETS).collect()]
+
+    source = df if keys else df.withColumn("_all", F.lit(1))
+    values = source.select(*group, F.col(value).alias("_v")).withColumn("_b", _bucket(F.col("_v")))
+    counted = values.where(F.col("_b").isin(wanted)).groupBy(*group, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    candidates = match_join(counted, buckets, [*group, "_b"])
+    candidates = area.stage(candidates.withColumn("_s", _slice(F.col("_v"), F.col("_low"), F.col("_high"))), "quantile_values")
+
+    in_bucket = Window.partitionBy(*group, "_b").orderBy("_s")
     in_bucket = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slices = (
+        candidates.groupBy(*group, "_b", "_s", F.col("_before").alias("_outer"), "_total")
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_before", F.col("_outer") + F.sum("_n").over(in_bucket) - F.col("_n"))
+        .where(_holds_a_rank(probs))
+        .select(*group, "_b", "_s", F.col("_before").alias("_base"))
+    )
+    in_slice = Window.partitionBy(*group, "_b", "_s").orderBy("_v")
+    in_slice = in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
-        members(buckets)
-        .groupBy(*group, "_b", "_low", "_before", "_total", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.col("_before") + F.sum("_n").over(in_bucket))
+        match_join(candidates, slices, [*group, "_b", "_s"])
+        .withColumn("_upto", F.col("_base") + F.sum("_n").over(in_slice))
         .withColumn("_from", F.col("_upto") - F.col("_n"))
     )
 

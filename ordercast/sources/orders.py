@@ -13,15 +13,22 @@ ORDER_COLUMNS = ["Product_Code", "Warehouse", "Product_Category", "Date", "Order
 RAW_ORDER_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ORDER_COLUMNS])
 
 
-def read_orders(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+# Quotes inside quotes are doubled; a backslash is an ordinary character.
+_QUOTING = {"quote": '"', "escape": '"'}
+
+
+def read_orders(spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """Raw order lines; in text columns the token ``NA`` is null and an empty field stays empty text.
 
     A CSV is read as text with a fixed schema, so there is no inference pass over the files, and is
-    refused if its header does not match. ``fmt="parquet"`` only scans the order-line columns, as
+    refused if its header does not match, or a line has another number of fields. Fields with line
+    breaks inside quotes need ``multi_line``, which keeps a file from being split. ``fmt="parquet"`` only scans the order-line columns, as
     text or with whatever types they have.
     """
     if fmt == "csv":
-        table = spark.read.schema(RAW_ORDER_SCHEMA).option("header", True).option("enforceSchema", False).csv(path)
+        reader = spark.read.schema(RAW_ORDER_SCHEMA).options(header=True, enforceSchema=False, **_QUOTING)
+        # Whole lines are parsed whichever columns are wanted, so that a surplus field is always noticed.
+        table = reader.options(mode="FAILFAST", columnPruning=False, multiLine=multi_line).csv(path)
         # The reader turns empty fields into nulls.
         table = table.na.fill("")
     elif fmt == "parquet":
@@ -35,7 +42,8 @@ def read_orders(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 def write_orders(lines: DataFrame, path: str) -> None:
     """Raw order lines as headed CSV, nulls as ``NA`` (what ``read_orders`` reads)."""
-    lines.select(*ORDER_COLUMNS).write.option("header", True).option("nullValue", "NA").csv(path)
+    writer = lines.select(*ORDER_COLUMNS).write.options(header=True, nullValue="NA", **_QUOTING)
+    writer.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_forecast(
@@ -48,7 +56,8 @@ def write_forecast(
 ) -> dict[str, str]:
     """Log a forecast with the two assumptions behind it, one ``run_date`` partition each.
 
-    ``run_date`` is an argument so that a run can be repeated; only its own partition is replaced.
+    ``run_date`` is an argument so that a run can be repeated; only its own partition is replaced. Its
+    files are ordered by cycle, warehouse and day.
     Returns the folder of each output.
     """
     paths = {}
@@ -58,8 +67,10 @@ def write_forecast(
         ("warehouse_share", warehouse_share),
     ):
         paths[name] = f"{base_path.rstrip('/')}/{name}"
+        keys = [c for c in ("cycle_id", "Warehouse", "Fcast_Date", "DOW") if c in table.columns]
         writer = (
             table.withColumn("run_date", F.lit(run_date))
+            .orderBy(*keys)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("run_date")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ordercast.operators.calendar import CycleCalendar
 
 CLIP = (date(1995, 1, 8), date(2001, 10, 28))
-CALENDAR = CycleCalendar(start_date=date(1996, 4, 1))
+# The last target ends after the last order, so the later cycles are short of data or have none.
+CALENDAR = CycleCalendar(start_date=date(1996, 4, 1), n_cycles=156)
 WAREHOUSES = ["Whse_A", "Whse_C", "Whse_J", "Whse_S"]
 
 
@@ -20,7 +21,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     Spark broadcasts ``part`` while its files are under the broadcast threshold and shuffles both
     sides on the part key beyond that.
     """
-    lineitem = _spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey")
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_type")
     lines = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
 
@@ -37,13 +38,3 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(no_date, "NA").otherwise(day).alias("Date"),
         F.when(returned, F.concat(F.lit("("), amount, F.lit(")"))).otherwise(amount).alias("Order_Demand"),
     )
-
-
-def _spread(table: DataFrame, key: str) -> DataFrame:
-    """Redistribute a table whose files give fewer splits than there are cores.
-
-    A single small file with one row group is read by one task, and so is everything up to the next
-    shuffle. A table with at least one split per core is left alone.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ordercast.operators.quantiles import group_quantiles
+from ordercast.plans.staging import StagingArea
 
 PROBS = {"lo": 0.01, "mid": 0.5, "hi": 0.99}
 
@@ -44,13 +45,35 @@ def test_equals_sorting_each_group(skewed, partitions):
         assert got[k] == pytest.approx(_expected(values), rel=1e-12, abs=1e-12), k
 
 
-@pytest.mark.parametrize("crowded", [1, 3, 50])
-def test_cutting_crowded_buckets_further(skewed, crowded):
-    data, df = skewed
-    got = {r["k"]: list(r)[1:] for r in group_quantiles(df, ["k"], "v", PROBS, crowded=crowded).collect()}
-    assert set(got) == set(data)
-    for k, values in data.items():
-        assert got[k] == pytest.approx(_expected(values), rel=1e-12, abs=1e-12), k
+def test_many_values_in_one_bucket(spark):
+    rng = random.Random(3)
+    values = [1e6 + rng.random() * 1e4 for _ in range(20_000)] + [1e6] * 500
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert list(group_quantiles(df, [], "v", PROBS).first()) == pytest.approx(_expected(values), rel=1e-14)
+
+
+def test_lines_are_counted_before_they_are_shuffled(spark, tmp_path):
+    """With broadcasts off as well: no plan that scans the lines shuffles them without a partial count."""
+    spark.range(5000).selectExpr("cast(id % 7 as string) k", "cast(id % 311 as double) v").write.parquet(str(tmp_path / "l"))
+    lines = spark.read.parquet(str(tmp_path / "l"))
+    plans = []
+
+    class Area(StagingArea):
+        def stage(self, df, name):
+            plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+            return super().stage(df, name)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        group_quantiles(lines, ["k"], "v", PROBS, area=Area(spark)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scans = {n: p for n, p in plans if str(tmp_path) in p}
+    assert set(scans) == {"quantile_buckets", "quantile_values"}
+    for plan in scans.values():
+        above = plan[: plan.index(str(tmp_path))]
+        lowest = above[above.rindex("Exchange") :]
+        assert "partial_count" in lowest and "Join" not in lowest
 
 
 def test_whole_table(skewed):

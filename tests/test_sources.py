@@ -86,9 +86,41 @@ class _Session:
         self.conf = _Conf({k.replace("_", "."): v for k, v in values.items()})
 
 
-def test_shared_folder_comes_from_the_session():
+def test_shared_folder_comes_from_the_session(spark):
     assert staging.shared_dir(_Session(spark_checkpoint_dir="hdfs://c/x/", spark_master="yarn")) == "hdfs://c/x"
+    assert staging.shared_dir(_Session(spark_master="yarn")) is None
+    df = spark.range(3)
+    area = staging.StagingArea(_Session(spark_master="yarn"))
+    assert area.stage(df, "t") is df
     with pytest.raises(RuntimeError):
-        staging.shared_dir(_Session(spark_master="yarn"))
-    local = _Session(spark_master="local[4]", spark_app_id="app-1")
-    assert staging.shared_dir(local) == staging.shared_dir(local)
+        area.path("t")
+    area.release()
+
+
+HEAD = "Product_Code,Warehouse,Product_Category,Date,Order_Demand\n"
+
+
+def test_csv_quoting(spark, tmp_path):
+    (tmp_path / "q.csv").write_text(HEAD + '"P ""A"", x",W,C,2012/10/12,5\nP\\,W,"C:\\",2012/10/12," 7 "\n')
+    assert rows_of(read_orders(spark, str(tmp_path / "q.csv"))) == [
+        ('P "A", x', "W", "C", "2012/10/12", "5"),
+        ("P\\", "W", "C:\\", "2012/10/12", " 7 "),
+    ]
+    (tmp_path / "m.csv").write_text(HEAD + '"P\n1",W,C,2012/10/12,5\n')
+    assert rows_of(read_orders(spark, str(tmp_path / "m.csv"), multi_line=True)) == [("P\n1", "W", "C", "2012/10/12", "5")]
+
+
+@pytest.mark.parametrize("line", ["P,W,C,2012/10/12,8,extra", "P,W,C,2012/10/12"])
+def test_lines_with_other_numbers_of_fields_are_refused(spark, tmp_path, line):
+    (tmp_path / "x.csv").write_text(HEAD + line + "\n")
+    df = read_orders(spark, str(tmp_path / "x.csv"))
+    for read in (df, df.select("Warehouse")):
+        with pytest.raises(Exception, match="(?i)malformed"):
+            read.collect()
+
+
+def test_csv_round_trip_of_odd_values(spark, tmp_path):
+    values = ['"', '""', "\\", '\\"', "a,b", " a ", "", None, "'", "x\\,", "é\t"]
+    raw = spark.createDataFrame([(v, w, "c", "d", "1") for v in values for w in values], COLUMNS)
+    write_orders(raw, str(tmp_path / "csv"))
+    assert rows_of(read_orders(spark, str(tmp_path / "csv"))) == rows_of(raw)
