@@ -262,7 +262,7 @@ NOISE = 2.0
 
 
 def judged(
-    scored: DataFrame, lang: str = "lang", width: float = 6.0, min_words: int = 10, max_repeated: int = 20
+    scored: DataFrame, lang: str = "lang", width: float = 4.0, min_words: int = 10, max_repeated: int = 20
 ) -> DataFrame:
     """``scored`` (with the fields of :func:`measured`) and base_failed, lower, upper, kept."""
     limits = bands(scored, lang)
