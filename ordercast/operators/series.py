@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordercast.functions.joins import match_join
 from ordercast.functions.numeric import abs_pct_error, if_else, safe_ratio, strict_sum, total_or_zero
 from ordercast.operators.calendar import CycleCalendar, in_windows
 
@@ -20,13 +19,19 @@ def actual_vs_forecast(
     """Daily actuals of a window against the forecast with its bounds.
 
     Missing actuals and bounds become 0, a missing forecast stays null. The default window runs from
-    the start of the recent window to the end of the target.
+    the start of the recent window to the end of the target. Either side has a row per day at most (rows
+    without a date, one per weekday), so stacking and grouping them does what a full join would, in one
+    shuffle.
     """
     actual = in_windows(daily, cal, role).select(
-        "cycle_id", "Warehouse", "Date", F.col("demand").alias("Act_Orders")
+        "cycle_id", "Warehouse", "Date", F.dayofweek("Date").alias("_dow"), F.col("demand").alias("Act_Orders")
     )
     dated = forecast.withColumnRenamed("Fcast_Date", "Date")
-    both = match_join(actual, dated, ["cycle_id", "Warehouse", "Date"], "full")
+    dated = dated.withColumn("_dow", F.coalesce(F.dayofweek("Date"), F.col("DOW")))
+    stacked = actual.unionByName(dated, allowMissingColumns=True)
+    measured = ["Act_Orders", *[c for c in forecast.columns if c not in ("cycle_id", "Warehouse", "Fcast_Date")]]
+    days = stacked.groupBy("cycle_id", "Warehouse", "Date", "_dow").agg(*[F.max(c).alias(c) for c in measured])
+    both = days.drop("_dow")
     error = abs_pct_error(F.col("Fcast_Volume"), F.col("Act_Orders"), denominator)
     return (
         both.na.fill(0.0, ["Act_Orders", "Lower", "Upper"])
