@@ -85,10 +85,9 @@ def test_against_sql(spark, files):
     assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in licences.licences(df).collect())
 
 
-def test_only_dataframe_functions(spark, files):
-    df = spark.createDataFrame(list(files.items()), FILES)
-    df.write.mode("overwrite").parquet("/tmp/checkpoints/licence-files")
-    plan = licences.licences(spark.read.parquet("/tmp/checkpoints/licence-files"))._jdf.queryExecution().toString()
+def test_only_dataframe_functions(spark, files, tmp_path):
+    spark.createDataFrame(list(files.items()), FILES).write.parquet(str(tmp_path / "files"))
+    plan = licences.licences(spark.read.parquet(str(tmp_path / "files")))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "ExistingRDD", "Cartesian", "NestedLoop"))
 
 
