@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import itertools
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,6 +109,31 @@ def fresh(df: DataFrame, stem: str) -> str:
     return next(n for i in itertools.count() if (n := f"_{stem}_{i}") not in taken)
 
 
+#: Bits of the filter that :func:`perhaps_among` broadcasts: 4 MB, however many ids there are.
+FILTER_BITS = 1 << 25
+
+
+def perhaps_among(ids: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A condition that holds for every value in ``ids`` and for few others: a bitmap of hashes.
+
+    It thins out rows before a join has to shuffle them; the join decides. With very many ids it lets
+    more rows through, and the result stays the same.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    marked = ids.select(place(F.col(column)).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket"))
+    bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    for bucket, part in marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p"))).collect():
+        bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(part, dtype=np.uint8)
+    sent = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def marked_there(places: pd.Series) -> pd.Series:
+        p = places.to_numpy() - 1
+        return pd.Series((sent.value[p >> 3] >> (p & 7) & 1).astype(bool))
+
+    return lambda c: marked_there(place(c))
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

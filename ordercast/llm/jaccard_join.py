@@ -7,13 +7,14 @@ in common that the first ones of each, a tenth at 0.9, must share some: at least
 longer by as many. A set's tokens are its prefix. Passages that many documents share end up behind it.
 
 Groups. Equal sets are one class and are compared once. Tokens of one class only are dropped; a class
-without others is linked with nothing. Each class joins the group of its most frequent token, so similar
-ones meet; groups of more shingles than ``group_shingles`` are divided. The matrix holds each group's
-union of tokens.
+without others is linked with nothing. Each class goes to the group of its most frequent token, and stays
+there if others of the group share a third of its tokens; if not, it is a group of its own. So groups hold similar
+sets. Groups of more shingles than ``group_shingles`` are divided. The matrix holds each group's union of tokens,
+and the sizes of its smallest and largest set.
 
-Queries. Every class queries the groups that share tokens with it: fewer than needed for a single
-member, and the group stays closed. Groups that are opened get their members' full shingle sets, read
-again from the texts of the classes concerned, and exact intersections decide.
+Queries. Every class queries the groups that share tokens with it: if they are fewer than a single member
+would share, or no member's size is near enough, the group stays closed. Groups that are opened get their
+members' full shingle sets, read again from the texts of the classes concerned, and exact intersections decide.
 
 Links within one task that join what is already joined are left out, so a task reports fewer links than
 it has members and queries, however alike they are. Nothing is sampled or capped.
@@ -33,12 +34,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordercast.llm.common import prepare, runs, stage
+from ordercast.llm.common import perhaps_among, prepare, runs, stage
 from ordercast.llm.components import components
 from ordercast.llm.words import hashes, mix, shingle_set, words
 
 #: One document in so many shows which shingles are frequent: those in at least ``FREQUENT`` of them.
-SAMPLE, FREQUENT = 32, 4
+SAMPLE, FREQUENT = 8, 3
 #: Frequent shingles that are ordered by frequency, at most (16 bytes each are broadcast).
 ORDERED = 1_000_000
 
@@ -50,7 +51,7 @@ class Threshold:
     num: int = 90
     den: int = 100
     #: Tokens that linked sets have to share, if they are large enough.
-    shared: int = 3
+    shared: int = 4
 
     def least(self, size: int) -> int:
         """Shingles of a set of this size that a linked set has at least."""
@@ -157,40 +158,46 @@ def _compare(part: pd.DataFrame, rule: Threshold) -> pd.DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, width: int, rule: Threshold, group_shingles: int) -> DataFrame:
     """Links (a, b) that connect what the threshold connects. ``classes``: rep, n_shingles, tokens, need."""
-    held = classes.where(F.size("tokens") > 0).select("rep", "n_shingles", "need", F.explode("tokens").alias("token"))
+    known = classes.select("rep", "n_shingles", "need", F.size("tokens").alias("tokens"))
+    held = classes.select("rep", F.explode("tokens").alias("token"))
     shared = held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Only tokens of several classes are kept from here on.
     held = stage(held.join(shared, "token"), "tokens")
-    chosen = held.groupBy("rep").agg(
-        F.max(F.struct("n", (-F.col("token")).alias("t"))).getField("t").alias("g"),
-        F.first("n_shingles").alias("n_shingles"),
-        F.first("need").alias("need"),
-    )
-    room = chosen.groupBy("g").agg(F.ceil(F.sum("n_shingles") / group_shingles).alias("parts"))
+    chosen = held.groupBy("rep").agg(F.max(F.struct("n", (-F.col("token")).alias("t"))).getField("t").alias("g"))
+    tried = stage(held.select("token", "rep").join(chosen, "rep"), "tried")
+    often = tried.groupBy("token", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = tried.join(often, ["token", "g"], "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("common"))
+    placed = chosen.join(known, "rep").join(common, "rep", "left")
+    at_home = F.coalesce(F.col("common") * 3 >= F.col("tokens"), F.lit(False))
+    placed = placed.withColumn("g", F.when(at_home, F.col("g")).otherwise(F.xxhash64("rep", F.lit("alone"))))
+    room = placed.groupBy("g").agg(F.ceil(F.sum("n_shingles") / group_shingles).alias("parts"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts"))
-    grouped = stage(chosen.join(room, "g").withColumn("group", F.xxhash64("g", part)).drop("g", "parts"), "groups")
-    matrix = held.join(grouped.select("rep", "group"), "rep").select("token", "group").distinct()
-    # A pair is found from both sides; one will do, so queries look at their own group and larger ones.
-    asking = held.join(grouped.select("rep", F.col("group").alias("own")), "rep").select("token", "rep", "own", "need")
-    met = asking.join(matrix, "token").where("own <= group").groupBy("rep", "group")
-    opened = met.agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"), F.first("own").alias("own"))
-    # The own group has every token of the query: it is opened if it has another member at all.
-    others = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    opened = opened.where("n >= need").join(others, "group").where("size > 1 or own <> group")
-    opened = stage(opened.select("rep", "group"), "opened")
-
-    sets = _sets(docs, grouped.select("rep", "n_shingles"), width)
+    placed = placed.join(room, "g").withColumn("group", F.xxhash64("g", part))
+    grouped = stage(placed.select("rep", "group", "n_shingles", "need"), "groups")
+
+    rows = held.select("token", "rep").join(grouped, "rep")
+    matrix = rows.groupBy("token", "group").agg(F.count(F.lit(1)).alias("members"))
+    asking = rows.select("token", "rep", F.col("group").alias("own"))
+    # A pair is found from both sides; one will do, so queries look at their own group and larger ones. In its own
+    # group, a query's token counts if another member has it.
+    met = asking.join(matrix, "token").where("own < group or (own = group and members > 1)")
+    met = met.groupBy("rep", "group").agg(F.count(F.lit(1)).alias("n"))
+    sizes = grouped.groupBy("group").agg(F.min("n_shingles").alias("smallest"), F.max("n_shingles").alias("largest"))
+    near = f"{rule.den} * largest >= {rule.num} * n_shingles and {rule.num} * smallest <= {rule.den} * n_shingles"
+    opened = met.join(grouped.select("rep", "n_shingles", "need"), "rep").where("n >= need").join(sizes, "group").where(near)
+    opened = stage(opened.select("rep", "group", "n_shingles"), "opened")
+
     # Queries of one group are dealt to blocks, with the members in each.
-    asked = opened.join(grouped.select("rep", "n_shingles"), "rep").groupBy("group")
-    blocks = asked.agg(F.ceil(F.sum("n_shingles") / (2 * group_shingles)).cast("int").alias("blocks"))
+    blocks = opened.groupBy("group").agg(F.ceil(F.sum("n_shingles") / (2 * group_shingles)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     queries = opened.join(blocks, "group").select("rep", "group", block.alias("block"), F.lit(False).alias("member"))
     members = grouped.join(blocks, "group").select(
         "rep", "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("member")
     )
-    rows = queries.unionAll(members).join(sets, "rep")
+    rows = stage(queries.unionAll(members), "asked")
+    sets = _sets(docs, stage(rows.select("rep").distinct(), "wanted"), width)
     compare = lambda part: _compare(part, rule)
-    return rows.groupBy("group", "block").applyInPandas(compare, "a long, b long")
+    return rows.join(sets, "rep").groupBy("group", "block").applyInPandas(compare, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -201,7 +208,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             yield pd.Series([shingle_set(hashes(words(t)), width).tobytes() for ts in runs(batch) for t in ts], dtype=object)
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted.select("rep"), "rep", "left_semi")
+    near = perhaps_among(wanted, "rep")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").where(near(F.col("rep"))).join(wanted, "rep", "left_semi")
     made = texts.select("rep", packed.asNondeterministic()("text").alias("shingles"))
     return stage(made.dropDuplicates(["rep"]), "sets")
 
