@@ -15,15 +15,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handled in runs of about so many characters, whatever Spark puts into a batch.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 #: A worker forgets what it has remembered about words beyond so many entries (results don't depend on it).
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+
+#: Rows that a Python worker gets at a time, at most; a session's lower setting stays.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _folders: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did."""
+    """Let Python workers import this package from where the driver did, and get texts in moderate batches."""
+    if int(spark.conf.get(_BATCH, "10000")) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(":"):
