@@ -7,10 +7,12 @@ document frequency over the templates; tokens of no template weigh as much as th
 file's own licence is that of its best unit. A file without one takes that of the nearest directory above, or
 its own, that has a licence file, the best of them.
 
-Before any text is cut into tokens, a filter keeps the files with an anchor: by Cauchy-Schwarz a unit that
-reaches the threshold shares tokens that carry at least its square of the template's weight, so it has at
-least one token outside of any set that carries less. The shortest tokens, frequent in any text, make up that
-set; the others are the anchors. The filter loses nothing.
+Before a text is cut into lines and tokens, its counts of the templates' tokens tell whether it can have a hit,
+and nearly all others drop out; the filter loses nothing. By Cauchy-Schwarz, a line that reaches the threshold has
+tokens that carry at least its square of a template's weight. For a whole file the numerator is exact, and its norm
+is at least what results if no other token occurred twice. Ahead of that, a file must have one of the tokens that
+are left when the most common ones, as far as they carry too little to reach a threshold, are taken from each
+template.
 
 Only DataFrame functions are used. What is broadcast are the templates' weights. Directories are joined by
 their names, each file bringing one row per directory above it; a directory brings one row, however many files
@@ -43,6 +45,8 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 LINE_LEAST, FILE_LEAST = 0.8, 0.6
+#: Words that any text may have; they are poor anchors (see :meth:`Weights.anchors`).
+COMMON = ("the", "of", "to", "a", "is", "this", "any", "by", "under", "use", "work", "form", "code", "0", "2", "3", "4", "v")
 
 
 def tokens_of(text: str) -> list[str]:
@@ -64,17 +68,50 @@ class Weights:
             self.rows += [(k, licence, w, m * self.idf[w] / norm) for w, m in c.items()]
 
     def anchors(self, least: float) -> list[str]:
-        """Tokens of which every unit that reaches ``least`` has one."""
+        """Tokens of which every unit that reaches ``least`` has one: all but some that carry too little."""
         out = set()
+        rank = {w: k for k, w in enumerate(COMMON)}
         for k in {r[0] for r in self.rows}:
-            left_out = 0.0
-            for _, _, token, weight in sorted((r for r in self.rows if r[0] == k), key=lambda r: (len(r[2]), r[2])):
-                left_out += weight**2
-                if left_out >= least**2 - 1e-9:
+            carried = 0.0
+            mine = ((rank.get(token, len(COMMON)), token, weight) for number, _, token, weight in self.rows if number == k)
+            for _, token, weight in sorted(mine):
+                carried += weight**2
+                if carried >= least**2 - 1e-6:
                     out.add(token)
         return sorted(out)
 
 
+def _may_have_one(files: DataFrame, weights: Weights, line_least: float, file_least: float) -> DataFrame:
+    """(path, text) of the files that may have a licence of their own; the text in lower case."""
+    vocabulary = sorted(weights.idf)
+    pattern = f"(?<![a-z0-9])({'|'.join(vocabulary)})(?![a-z0-9])"
+    text = F.col("text")
+    anchors = "|".join(weights.anchors(min(line_least, file_least)))
+    files = files.where(text.rlike(f"(?<![a-z0-9])(?:{anchors})(?![a-z0-9])"))
+    # Generated columns are computed once, however often the conditions use them.
+    known = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("found"),
+        F.regexp_count(text, F.lit("[a-z0-9]+")).alias("tokens"),
+    )
+    files = files.select("path", "text", F.explode(F.array(known)).alias("k"))
+    counts = F.array(*(F.size("k.found") - F.size(F.array_remove("k.found", w)) for w in vocabulary))
+    files = files.where(F.size("k.found") > 0).select("path", "text", "k", F.explode(F.array(counts)).alias("n"))
+    idf = F.array(*(F.lit(weights.idf[w]) for w in vocabulary))
+    added = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    squares = added(F.zip_with("n", idf, lambda n, w: n * w * n * w))
+    others = (F.col("k.tokens") - F.size("k.found")) * weights.unknown**2
+    lines, whole = F.lit(False), F.lit(False)
+    norm = F.sqrt(squares + others)
+    for k in sorted({r[0] for r in weights.rows}):
+        mine = {token: w for number, _, token, w in weights.rows if number == k}
+        places = [(vocabulary.index(t), t) for t in mine]
+        carried = sum((F.when(F.col("n")[i] > 0, mine[t] ** 2).otherwise(0.0) for i, t in places), F.lit(0.0))
+        dot = sum((F.col("n")[i] * (weights.idf[t] * mine[t]) for i, t in places), F.lit(0.0))
+        lines = lines | (carried >= line_least**2 - 1e-6)
+        whole = whole | (dot >= (file_least - 1e-6) * norm)
+    return files.where(lines | whole).select("path", "text")
+
+
 def _parents(path: Column) -> Column:
     """The directories above a path, the nearest last: of a/b/c these are '', a, a/b."""
     parts = F.split(path, "/")
@@ -90,10 +127,8 @@ def own_licences(
     """(path, licence, cosine, is_file) of the files with a licence of their own."""
     spark = files.sparkSession
     weights = Weights(templates)
-    anchors = weights.anchors(min(line_least, file_least))
-    pattern = f"(?<![a-z0-9])(?:{'|'.join(anchors)})(?![a-z0-9])"
     found = files.where(F.col("path").isNotNull()).select("path", F.lower("text").alias("text"))
-    found = found.where(F.col("text").rlike(pattern))
+    found = _may_have_one(found, weights, line_least, file_least)
     # Line 0 is the file as a whole: each token of a line counts for the line, and for the file.
     lines = found.select("path", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     words = lines.select("path", "line", F.explode(F.split("text", "[^a-z0-9]+")).alias("token")).where(F.col("token") != "")
