@@ -193,7 +193,7 @@ class PrefixCounter:
         try:
             return [known[c] for c in chunks]
         except KeyError:
-            if len(known) > 2 * REMEMBERED:
+            if len(known) > 3 * REMEMBERED:
                 known.clear()
             for chunk in set(chunks).difference(known):
                 known[chunk] = self._counts(chunk)[-1]
