@@ -201,8 +201,15 @@ def learn(labelled: DataFrame) -> Field | None:
     """The field of a bounded sample of ``labelled`` (doc_id, text, lang); nothing if there are no words."""
     prepare(labelled.sparkSession)
     usable = labelled.where("doc_id is not null and text is not null and lang is not null")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= TEXTS)
+    # Counts per bucket of hashes tell which first buckets hold enough ids; only these are put in order.
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    ids = ids.withColumn("bucket", F.shiftrightunsigned("h", 48))
+    earlier = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ids.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    few = ids.join(counts.where(F.col("before") < TEXTS).select("lang", "bucket"), ["lang", "bucket"]).distinct()
+    first = Window.partitionBy("lang").orderBy("bucket", "h", "doc_id")
+    chosen = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= TEXTS)
     # The sample has a bounded number of ids for each language.
     sample = usable.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
     words = F.split("text", r"\s+")
