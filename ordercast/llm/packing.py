@@ -26,7 +26,6 @@ from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -108,12 +107,6 @@ class TextTokenizer:
         return out
 
 
-@cache
-def tokenizer(path: str) -> TextTokenizer:
-    """One per worker."""
-    return TextTokenizer(path)
-
-
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and (task, rank) among equal lengths.
 
@@ -126,10 +119,11 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0) -> DataFr
     @F.pandas_udf("array<struct<piece int, start long, length long, ids_crc32 long, task int, rank long>>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         task, ranks, end = TaskContext.get().partitionId(), Counter(), np.array([end_id], dtype="<u4").tobytes()
+        encoder = TextTokenizer(path)  # the task's own: a worker doesn't hold on to vocabularies and words
         for batch in batches:
             out = []
             for texts in runs(batch):
-                for ids in tokenizer(path).encode(texts):
+                for ids in encoder.encode(texts):
                     ids += end
                     n = len(ids) // 4
                     first = (n - 1) % capacity + 1
