@@ -1,21 +1,29 @@
 """Quality rules on words, and bands on the perplexity of a modified Kneser-Ney model.
 
-The model predicts the symbols of a word from the three before them (``ORDER`` 4, words padded with start
-marks and closed by an end mark). Characters fold into 64 symbols: letters in both cases, digits, classes of
-punctuation, and code point classes for the rest. An n-gram then is a number below 64**4, its own perfect
-hash, and the model's size has a bound, 64**4 entries, that no corpus exceeds; this is what allows sending
-it to every task. Spark counts the n-grams of all words of all documents; from the table of counts come the
-adjusted counts, three discounts per order, and interpolated probabilities, kept as sorted arrays of hashes
-with the logarithms beside them, and looked up by binary search. An n-gram never seen backs off.
-
-A document's score is the mean of -log p over the symbols of its words. For each language, the median and
-spread of the scores of all its documents give a lower and an upper band; short documents, whose mean is
-less certain, get as much wider a band. A document outside of its band is rejected, and so is one that the
-basic rules reject: fewer than ``min_words`` words, or too many words in repeated 5-word windows.
+The model predicts a word from the two before it (texts are padded with two start marks). Trigrams, bigrams and
+words of all documents are counted, and none is dropped, so the model grows with the corpus; it is spread over
+hash partitions and never in one place (see :func:`losses`). Words that nothing was counted for are spelled: below the
+words stands a second model, of the symbols of a word.
+
+That one predicts a symbol from the three before it (``ORDER`` 4, words padded with start marks and closed by an end
+mark). Characters fold into 64 symbols: letters in both cases, digits, classes of punctuation, and code point classes
+for the rest. An n-gram then is a number below 64**4, its own perfect hash, so this model has a bound, 64**4 entries,
+and is sent to every task. It says how likely an unknown word is, and how usual a text's spelling.
+
+In both, adjusted counts give three discounts per order and interpolated probabilities. Of the counts of words a
+document's own are taken off first, exactly, at each order: it is judged by what the others have. Otherwise each of its
+rare trigrams, junk too, would vouch for itself.
+
+A document has two scores, the mean of -log p over its symbols by its words and by their spelling. For each language,
+the median and spread of the scores of all its documents give bands; short documents, whose mean is less certain, get
+as much wider ones. Spelling has a lower and an upper band. Words have an upper one only, by the spread above the
+median: below it, a document's words are those of others, and its likes are copies, which are not of low quality (at
+sf0.1, a lower band of words loses 280 of 3,330 documents labelled good). A document outside of a band is rejected, and
+so is one that the basic rules reject: fewer than ``min_words`` words, or too many words in repeated 5-word windows.
 
 Null text has no words. A null language is a language of its own, and so is each other value. A language
 whose documents are all alike has a band of the least width. Other columns are left as they are; repeated
-rows are judged alike.
+rows are judged alike, and each knows the other's words.
 """
 
 from __future__ import annotations
@@ -28,11 +36,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordercast.llm.common import REMEMBERED, fresh, prepare, runs, stage
-from ordercast.llm.words import hashes, windows, words
+from ordercast.llm.common import REMEMBERED, SLICE_CHARS, prepare, runs, stage
+from ordercast.llm.words import hashes, join, windows, words
 
 ORDER = 4
 SYMBOLS = 64
@@ -100,7 +109,11 @@ def count(docs: DataFrame) -> DataFrame:
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
     """What is taken off counts of 0, 1, 2, and 3 or more."""
-    n1, n2, n3, n4 = (int((counts == k).sum()) for k in range(1, 5))
+    return _discounts_of(*(int((counts == k).sum()) for k in range(1, 5)))
+
+
+def _discounts_of(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
+    """The same from how many n-grams were counted once, twice, three and four times."""
     if not n1 or not n2:
         return np.array([0.0, 0.5, 0.5, 0.5])
     y = n1 / (n1 + 2 * n2)
@@ -187,7 +200,7 @@ class _WordScores(dict):
 
 
 _SIGNS = b"#*$%&|<>"
-FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, symbols long, loss double"
+FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, symbols long, block long"
 
 
 def basics(text: str, found: list[bytes]) -> tuple[int, int, int, int, int]:
@@ -215,36 +228,278 @@ def basics(text: str, found: list[bytes]) -> tuple[int, int, int, int, int]:
     return n, word_chars, n_symbols, again, repeated
 
 
-def measured(text: Column, model) -> Column:
-    """A struct of the basic counts, the number of symbols, and the mean -log p of a symbol.
-
-    ``model`` is a broadcast :class:`Model`.
-    """
+def measured(text: Column) -> Column:
+    """A struct of the basic counts, the number of symbols, and a block: texts of a task, about ``SLICE_CHARS`` long."""
 
     @F.pandas_udf(FIELDS)
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = _WordScores()
+        block, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             rows = []
             for texts in runs(batch):
-                found = [words(t, fold=False) for t in texts]
-                known.add(model.value, found)
-                for t, ws in zip(texts, found):
-                    base = basics(t, ws)
-                    symbols = base[1] + base[0]
-                    rows.append((*base, symbols, sum([known[w] for w in ws]) / max(1, symbols)))
+                for t in texts:
+                    if size >= SLICE_CHARS:
+                        block, size = block + 1, 0
+                    size += len(t)
+                    base = basics(t, words(t, fold=False))
+                    rows.append((*base, base[1] + base[0], block))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in FIELDS.split(", ")])
 
     return measure.asNondeterministic()(text)
 
 
-def bands(scored: DataFrame, lang: str = "lang", bin_width: float = 0.001) -> DataFrame:
-    """(band_lang, centre, spread, noise) per language, over all its documents with words.
+#: The hash of the mark before a text's first word.
+BEFORE = np.uint64(0x5374617274)
+#: Words of the corpus for each hash partition; in small corpora there are at most ``FEW`` partitions, for tasks to share.
+PART_WORDS, FEW, SMALL = 3_000_000, 48, 50_000
+#: Rows between tasks. ``kind``: n-grams of 3, 2 or 1 words of a block (or, without one, numbers to add to them); minus
+#: that, the block's answer; 0, counts of counts. ``words`` are distinct hashes, ``keys`` n-grams as places in them.
+ROW = "kind int, part int, block long, words binary, keys binary, numbers binary"
+_COLUMNS = [f.split()[0] for f in ROW.split(", ")]
+_NOBODY = -1
+
+
+class Grams:
+    """The n-grams of a block of texts: of every word, the place of its n-grams among the distinct ones."""
+
+    def __init__(self, texts: list[str]):
+        found = [words(t, fold=False) for t in texts]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        self.words = [w for ws in found for w in ws]
+        self.doc = np.repeat(np.arange(len(found)), sizes)
+        at = np.arange(len(self.words)) + 2 * (self.doc + 1)
+        padded = np.full(len(self.words) + 2 * len(found), BEFORE, dtype=np.uint64)
+        padded[at] = hashes(self.words)
+        a, b, c = padded[at - 2], padded[at - 1], padded[at]
+        n = len(at)
+        self.starts = b == BEFORE
+        #: By order: distinct n-grams, as columns of words, sorted by hash; their hashes.
+        self.distinct: dict[int, tuple[list[np.ndarray], np.ndarray]] = {}
+        self.trigram = self._index(3, [a, b, c])
+        pairs = self._index(2, [np.concatenate([a, b]), np.concatenate([b, c])])
+        self.context, self.pair = pairs[:n], pairs[n:]
+        singles = self._index(1, [np.concatenate([b, c])])
+        self.middle, self.last = singles[:n], singles[n:]
+
+    def _index(self, order: int, columns: list[np.ndarray]) -> np.ndarray:
+        keys, first, place = np.unique(join(*columns), return_index=True, return_inverse=True)
+        self.distinct[order] = [c[first] for c in columns], keys
+        return place
+
+
+def _dealt(kind: int, columns: list[np.ndarray], keys: np.ndarray, numbers: np.ndarray, block: int, parts: int) -> Iterator[tuple]:
+    """Rows of n-grams, a row for each partition. ``numbers`` has a column for each n-gram."""
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        if len(places):
+            known, at = np.unique(np.concatenate([c[places] for c in columns]), return_inverse=True)
+            at = at.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32)
+            yield kind, int(part[places[0]]), block, known.tobytes(), at.tobytes(), np.ascontiguousarray(numbers[:, places]).tobytes()
+
+
+def _read(row, order: int) -> np.ndarray:
+    known = np.frombuffer(row.words, dtype=np.uint64)
+    at = np.frombuffer(row.keys, dtype=np.uint16 if len(known) <= 1 << 16 else np.uint32)
+    return known[at].reshape(order, -1)
+
+
+def _ask(texts: list[str], block: int, parts: int) -> Iterator[tuple]:
+    """The distinct n-grams of a block; the trigrams with their counts."""
+    grams = Grams(texts)
+    for order, (columns, keys) in grams.distinct.items():
+        counts = np.bincount(grams.trigram, minlength=len(keys))[None] if order == 3 else np.zeros((0, len(keys)))
+        yield from _dealt(order, columns, keys, counts.astype(np.int64), block, parts)
+
+
+def _classes(n: np.ndarray) -> list[np.ndarray]:
+    """Which counts are 1, 2, and 3 or more."""
+    return [n == 1, n == 2, n >= 3]
+
+
+def _sum_columns(columns: list[np.ndarray], numbers: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams, their hashes, the sums of their numbers, and the place of each one given."""
+    keys, first, place = np.unique(join(*columns), return_index=True, return_inverse=True)
+    sums = [np.bincount(place, weights=row, minlength=len(keys)).astype(np.int64) for row in numbers]
+    return [c[first] for c in columns], keys, np.array(sums).reshape(len(numbers), len(keys)), place
+
+
+#: Numbers of a trigram: how often it occurs. Of a pair: how often; after how many different words; then, as a
+#: context, how often, and how many trigrams it has in each class. Of a word: after how many different words;
+#: then, as a context, the sum of adjusted counts, and how many pairs it has in each class.
+_NUMBERS = {3: 1, 2: 6, 1: 5}
+
+
+def _adjusted(first_is_mark: np.ndarray, often: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Adjusted counts of pairs. At the start of a text nothing else can stand before: their own count is used."""
+    return np.where(first_is_mark, often, after)
+
+
+def _add_up(rows: pd.DataFrame, order: int, parts: int) -> Iterator[tuple]:
+    """Adds up a partition's n-grams of one order. Answers to blocks, numbers for the next lower order, counts of counts."""
+    rows = list(rows.itertuples(index=False))
+    read = [_read(r, order) for r in rows]
+    columns = list(np.concatenate(read, axis=1))
+    width = _NUMBERS[order]
+    given = [
+        np.frombuffer(r.numbers, dtype=np.int64).reshape(width, -1) if r.numbers else np.zeros((width, g.shape[1]), dtype=np.int64)
+        for r, g in zip(rows, read)
+    ]
+    columns, keys, sums, place = _sum_columns(columns, np.concatenate(given, axis=1))
+    at = 0
+    for r, g in zip(rows, read):
+        if r.block != _NOBODY:
+            yield -order, int(r.part), int(r.block), b"", b"", np.ascontiguousarray(sums[:, place[at : at + g.shape[1]]]).tobytes()
+        at += g.shape[1]
+    counts = sums[0]
+    if order > 1:
+        if order == 3:
+            zero = np.zeros_like(counts)
+            tail = [counts, zero + 1, zero, zero, zero, zero]
+            context = [zero, zero, counts, *_classes(counts)]
+        else:
+            real = np.flatnonzero(sums[0])
+            columns, sums = [c[real] for c in columns], sums[:, real]
+            counts = _adjusted(columns[0] == BEFORE, sums[0], sums[1])
+            zero = np.zeros_like(counts)
+            tail = [zero + 1, zero, zero, zero, zero]
+            context = [zero, counts, *_classes(counts)]
+        both = [np.concatenate([c, d]) for c, d in zip(columns[1:], columns[:-1])]
+        lower, keys, numbers, _ = _sum_columns(both, np.concatenate([np.array(tail), np.array(context)], axis=1).astype(np.int64))
+        yield from _dealt(order - 1, lower, keys, numbers, _NOBODY, parts)
+    of = np.array([*((counts == k).sum() for k in range(1, 5)), (counts > 0).sum(), counts.sum()], dtype=np.int64)
+    yield 0, order, _NOBODY, b"", b"", of.tobytes()
+
+
+def _frame(rows: Iterator[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(list(rows), columns=_COLUMNS)
+
+
+def _log(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(x)
+
+
+def _mixed(count: np.ndarray, total: np.ndarray, classes: list[np.ndarray], take: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """log p of n-grams from adjusted counts, their context's total and classes, and log p of the shorter n-gram."""
+    known = total > 0
+    off = sum(take[k] * c for k, c in enumerate(classes, 1))
+    own = np.where(known, (count - take[np.minimum(count, 3)]) / np.maximum(total, 1), 0.0)
+    weight = np.where(known, off / np.maximum(total, 1), 1.0)
+    return np.logaddexp(_log(own), _log(weight) + shorter)
+
+
+def _without(classes: list[np.ndarray], owner: np.ndarray, before: np.ndarray, now: np.ndarray) -> list[np.ndarray]:
+    """The sizes of classes after counts, each belonging to an ``owner``, have gone down."""
+    n = len(classes[0])
+    gone = zip(classes, _classes(before), _classes(now))
+    return [c - np.bincount(owner, b, minlength=n).astype(np.int64) + np.bincount(owner, a, minlength=n).astype(np.int64) for c, b, a in gone]
+
+
+def _score(texts: list[str], numbers: dict[int, np.ndarray], totals: dict[int, np.ndarray], spelling: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of -log p of each text's words, its own n-grams not counted, and of their spelling.
+
+    ``numbers``: for each order the numbers of the block's distinct n-grams; ``totals``: counts of counts.
+    """
+    grams = Grams(texts)
+    if not grams.words:
+        return np.zeros(len(texts)), np.zeros(len(texts))
+    take = {k: _discounts_of(*map(int, t[:4])) for k, t in totals.items()}
+    add = lambda owner, x, n: np.bincount(owner, x, minlength=n).astype(np.int64)
+    per_text = lambda doc, place, n: np.unique(doc * n + place, return_index=True, return_inverse=True)
+    # The texts' own trigrams, each once.
+    n_pairs, n_words = numbers[2].shape[1], numbers[1].shape[1]
+    _, first, place = per_text(grams.doc, grams.trigram, numbers[3].shape[1])
+    own = np.bincount(place)
+    doc, all3 = grams.doc[first], numbers[3][0][grams.trigram[first]]
+    left3 = all3 - own
+    # What is left of their contexts.
+    _, c_first, context = per_text(doc, grams.context[first], n_pairs)
+    of = numbers[2][:, grams.context[first][c_first]]
+    total3 = of[2] - add(context, own, len(c_first))
+    classes3 = _without(list(of[3:]), context, all3, left3)
+    # Of their pairs.
+    _, p_first, pair = per_text(doc, grams.pair[first], n_pairs)
+    of, p_doc, at = numbers[2][:, grams.pair[first][p_first]], doc[p_first], first[p_first]
+    often = of[0] - add(pair, own, len(p_first))
+    after = of[1] - add(pair, left3 == 0, len(p_first))
+    all2 = _adjusted(grams.starts[at], of[0], of[1])
+    left2 = _adjusted(grams.starts[at], often, after)
+    # Of the pairs' contexts.
+    _, m_first, middle = per_text(p_doc, grams.middle[at], n_words)
+    of = numbers[1][:, grams.middle[at][m_first]]
+    total2 = of[1] - add(middle, all2 - left2, len(m_first))
+    classes2 = _without(list(of[2:]), middle, all2, left2)
+    # And of the words.
+    _, w_first, word = per_text(p_doc, grams.last[at], n_words)
+    all1, w_doc = numbers[1][0][grams.last[at][w_first]], p_doc[w_first]
+    left1 = all1 - add(word, often == 0, len(w_first))
+    n1, n2, _, _, distinct, total = totals[1]
+    total1 = total - add(w_doc, all1 - left1, len(texts))
+    classes1 = _without([np.full(len(texts), k) for k in (n1, n2, distinct - n1 - n2)], w_doc, all1, left1)
+
+    spelled = _WordScores()
+    spelled.add(spelling, [grams.words])
+    each = np.array([spelled[w] for w in grams.words])
+    p0 = -each[at[w_first]]
+    p1 = _mixed(left1, total1[w_doc], [c[w_doc] for c in classes1], take[1], p0)
+    p2 = _mixed(left2, total2[middle], [c[middle] for c in classes2], take[2], p1[word])
+    p3 = _mixed(left3, total3[context], [c[context] for c in classes3], take[3], p2[pair])
+    return np.bincount(doc, -own * p3, minlength=len(texts)), np.bincount(grams.doc, each, minlength=len(texts))
+
+
+def losses(texts: DataFrame, n_words: int, spelling) -> DataFrame:
+    """(row, total, spelled): the sums of -log p of each text's words, and of their spelling. ``texts``: row, block, text; ``spelling`` is broadcast.
+
+    Each block sends its distinct trigrams, packed, to the partitions of their hashes, which add up, answer the block,
+    and send on what follows from the sums for pairs, in the same way, and these for words. An n-gram comes at most
+    once from each block or partition, however frequent it is, so none makes a partition large. What
+    partitions say is written; with their answers at hand, blocks score their texts.
+    """
+    parts = max(min(FEW, n_words // SMALL), n_words // PART_WORDS, 1)
+
+    def ask(part: pd.DataFrame) -> pd.DataFrame:
+        return _frame(_ask(["" if t is None else t for t in part["text"]], int(part["block"].iloc[0]), parts))
+
+    def add_up(order: int):
+        return lambda part: _frame(_add_up(part, order, parts))
+
+    asked = texts.select("block", "text").groupBy("block").applyInPandas(ask, ROW)
+    lower = asked = stage(asked, "asked")
+    said = []
+    for order in (3, 2, 1):
+        rows = asked if order == 3 else asked.unionAll(lower)
+        lower = stage(rows.where(F.col("kind") == order).groupBy("part").applyInPandas(add_up(order), ROW), f"order_{order}")
+        said.append(lower)
+    totals = {k: np.zeros(6, dtype=np.int64) for k in (1, 2, 3)}
+    for table in said:
+        for order, numbers in table.where("kind = 0").select("part", "numbers").toLocalIterator():
+            totals[order] += np.frombuffer(numbers, dtype=np.int64)
+    answers = said[0].unionAll(said[1]).unionAll(said[2]).where("kind < 0").select("kind", "part", "block", "numbers")
+
+    def score(part: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
+        found = ["" if t is None else t for t in part["text"]]
+        numbers = {}
+        # Answers stand by partition; n-grams by hash.
+        for order, (_, keys) in Grams(found).distinct.items():
+            mine = answered[answered["kind"] == -order].sort_values("part")["numbers"]
+            got = [np.frombuffer(b, dtype=np.int64).reshape(_NUMBERS[order], -1) for b in mine]
+            numbers[order] = np.zeros((_NUMBERS[order], len(keys)), dtype=np.int64)
+            if got:
+                numbers[order][:, np.argsort(keys % np.uint64(parts), kind="stable")] = np.concatenate(got, axis=1)
+        total, spelled = _score(found, numbers, totals, spelling.value)
+        return pd.DataFrame({"row": part["row"].to_numpy(), "total": total, "spelled": spelled})
+
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "row long, total double, spelled double")
+
+
+def bands(scored: DataFrame, lang: str = "lang", bin_width: float = 0.001, score: str = "loss") -> DataFrame:
+    """(band_lang, centre, spread, rise) of a score per language, over all its documents with words.
 
     Median and quartiles are exact to ``bin_width``: counts per bin, of which a language has a few
-    thousand at most. ``noise`` is the spread that a single symbol's surprise adds to a short text's mean.
+    thousand at most. ``spread`` comes from both quartiles, ``rise`` from the upper one.
     """
-    bins = F.round(F.col("loss") / bin_width).cast("int")
+    bins = F.round(F.col(score) / bin_width).cast("int")
     counts = scored.where("symbols > 0").groupBy(F.col(lang).alias("band_lang"), bins.alias("bin"))
     counts = counts.agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy("band_lang")
@@ -253,7 +508,10 @@ def bands(scored: DataFrame, lang: str = "lang", bin_width: float = 0.001) -> Da
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) * bin_width
     quartiles = ranked.groupBy("band_lang").agg(at(0.25).alias("q1"), at(0.5).alias("centre"), at(0.75).alias("q3"))
     return quartiles.select(
-        "band_lang", "centre", F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(0.02)).alias("spread")
+        "band_lang",
+        "centre",
+        F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(0.02)).alias("spread"),
+        F.greatest((F.col("q3") - F.col("centre")) / 0.6745, F.lit(0.02)).alias("rise"),
     )
 
 
@@ -264,36 +522,56 @@ NOISE = 2.0
 def judged(
     scored: DataFrame, lang: str = "lang", width: float = 4.0, min_words: int = 10, max_repeated: int = 20
 ) -> DataFrame:
-    """``scored`` (with the fields of :func:`measured`) and base_failed, lower, upper, kept."""
-    limits = bands(scored, lang)
-    joined = scored.join(F.broadcast(limits), scored[lang].eqNullSafe(limits["band_lang"]), "left").drop("band_lang")
-    half = width * F.sqrt(F.col("spread") ** 2 + NOISE**2 / F.greatest("symbols", F.lit(1)))
+    """``scored`` (with the fields of :func:`measured`, ``loss`` and ``spelling``) and base_failed, upper, kept and so on."""
+    by_words, by_letters = (bands(scored, lang, score=c).withColumnRenamed("band_lang", f"{c}_lang") for c in ("loss", "spelling"))
+    by_words = by_words.select("loss_lang", F.struct("centre", "rise").alias("by_words"))
+    by_letters = by_letters.select("spelling_lang", F.struct("centre", "spread").alias("by_letters"))
+    limits = by_words.join(by_letters, F.col("loss_lang").eqNullSafe(F.col("spelling_lang"))).drop("spelling_lang")
+    joined = scored.join(F.broadcast(limits), scored[lang].eqNullSafe(limits["loss_lang"]), "left").drop("loss_lang")
+    noise = NOISE**2 / F.greatest("symbols", F.lit(1))
+    half = width * F.sqrt(F.col("by_letters.spread") ** 2 + noise)
+    lower, upper = F.col("by_letters.centre") - half, F.col("by_letters.centre") + half
+    most = F.col("by_words.centre") + width * F.sqrt(F.col("by_words.rise") ** 2 + noise)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
-    inside = F.col("loss").between(F.col("centre") - half, F.col("centre") + half)
+    inside = F.col("spelling").between(lower, upper) & (F.col("loss") <= most)
     return joined.withColumns(
         {
             "base_failed": failed,
-            "lower": F.exp(F.col("centre") - half),
-            "upper": F.exp(F.col("centre") + half),
+            "upper": F.exp(most),
             "perplexity": F.exp("loss"),
+            "spelling_lower": F.exp(lower),
+            "spelling_upper": F.exp(upper),
+            "spelling_perplexity": F.exp("spelling"),
             "kept": ~failed & F.coalesce(inside, F.lit(False)),
         }
-    ).drop("centre", "spread")
+    ).drop("by_words", "by_letters")
 
 
-def verdicts(docs: DataFrame, **rules) -> DataFrame:
-    """doc_id, the basic counts, base_failed, perplexity, the language's bands at the text's length, kept."""
+def _scored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as written with the number of each row (number, d), and the measures by row (row, lang, ...)."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(docs))
-    scored = docs.select("doc_id", "lang", measured(F.col("text"), model).alias("m")).select("doc_id", "lang", "m.*")
-    return judged(stage(scored, "scored"), **rules).drop("lang", "symbols", "loss")
+    spelling = spark.sparkContext.broadcast(fit(docs))
+    columns = F.struct(*docs.columns).alias("d")
+    written = stage(docs.select(columns, F.monotonically_increasing_id().alias("row"), measured(F.col("text")).alias("m")), "measured")
+    texts = written.select("row", F.col("m.block").alias("block"), F.col("d.text").alias("text"))
+    n_words = written.agg(F.sum("m.n_words")).first()[0] or 0
+    found = stage(losses(texts, n_words, spelling), "losses")
+    base = written.select("row", F.col("d.lang").alias("lang"), "m.*").drop("block")
+    mean = lambda c: F.coalesce(c, F.lit(0.0)) / F.greatest("symbols", F.lit(1))
+    scored = base.join(found, "row", "left").withColumns({"loss": mean("total"), "spelling": mean("spelled")})
+    return written.select("row", "d"), scored.drop("total", "spelled")
+
+
+def verdicts(docs: DataFrame, **rules) -> DataFrame:
+    """doc_id, the basic counts, base_failed, both perplexities, the language's bands at the text's length, kept."""
+    written, scored = _scored(docs.select("doc_id", "lang", "text"))
+    ids = written.select("row", F.col("d.doc_id").alias("doc_id"))
+    scored = stage(ids.join(scored, "row").drop("row"), "scored")
+    return judged(scored, **rules).drop("lang", "symbols", "loss", "spelling")
 
 
 def keep(docs: DataFrame, **rules) -> DataFrame:
     """``docs`` without the rejected ones; all columns as they were. The texts are written once in between."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(docs))
-    name, row = fresh(docs, "measured"), fresh(docs, "row")
-    scored = stage(docs.select(F.struct(*docs.columns).alias(row), measured(F.col("text"), model).alias(name)), "scored")
-    flat = scored.select(row, F.col(f"{row}.lang").alias("lang"), f"{name}.*")
-    return judged(flat, **rules).where("kept").select(f"{row}.*")
+    written, scored = _scored(docs)
+    kept = judged(stage(scored, "scored"), **rules).where("kept").select("row")
+    return written.join(kept, "row", "left_semi").select("d.*")

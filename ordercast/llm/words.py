@@ -55,6 +55,14 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def join(*columns: np.ndarray) -> np.ndarray:
+    """The hashes of windows whose words stand in ``columns``."""
+    out = np.zeros(len(columns[0]), dtype=np.uint64)
+    for column in columns:
+        out = mix(out * _ODD + column)
+    return out
+
+
 def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
     """Sorted distinct window hashes; a shorter text is one window; no words, no window."""
     if 0 < len(h) < width:

@@ -125,3 +125,67 @@ def test_odd_rows(odd, empty):
     assert sum(r.doc_id == 4 for r in rows) == 2 and found[5].n_words == 30_000
     assert perplexity.keep(odd).columns == odd.columns
     assert perplexity.verdicts(empty).collect() == [] and perplexity.keep(empty).collect() == []
+
+
+def without(texts, spelling):
+    """The loss of each text under modified Kneser-Ney over the words of all others, with dictionaries."""
+    found = [["<s>", "<s>", *re.findall(r"[^\x20\x09-\x0D]+", t)] for t in texts]
+    take = {}
+    out = []
+    for skip in [None, *range(len(found))]:
+        counts = {3: Counter(tuple(w[i : i + 3]) for k, w in enumerate(found) if k != skip for i in range(len(w) - 2))}
+        often, after = Counter(), Counter()
+        for g, n in counts[3].items():
+            often[g[1:]] += n
+            after[g[1:]] += 1
+        counts[2] = {g: n if g[0] == "<s>" else after[g] for g, n in often.items()}
+        counts[1] = Counter(g[1:] for g in often)
+        if skip is None:
+            take = {k: perplexity._discounts(np.array(list(c.values()))) for k, c in counts.items()}
+            continue
+        sums = {k: (Counter(), Counter()) for k in counts}
+        for k, c in counts.items():
+            for g, n in c.items():
+                sums[k][0][g[:-1]] += n
+                sums[k][1][g[:-1]] += take[k][min(n, 3)]
+
+        def p(g):
+            if not g:
+                return None
+            k, n = len(g), counts[len(g)].get(g, 0)
+            lower = p(g[1:]) if k > 1 else math.exp(-spelling(g[0]))
+            total, off = sums[k][0][g[:-1]], sums[k][1][g[:-1]]
+            return ((n - take[k][min(n, 3)]) + off * lower) / total if total else lower
+
+        w = found[skip]
+        out.append(-sum(math.log(p(tuple(w[i : i + 3]))) for i in range(len(w) - 2)))
+    return out
+
+
+def test_word_model_against_dictionaries(spark, documents, monkeypatch):
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randint(1, 60), "ba be bi bo") for _ in range(25)]
+    texts += [texts[3], "", "only here", f"{texts[4]} {texts[4]}", "ba"]
+    docs = documents(texts)
+    model = perplexity.fit(docs)
+
+    def spelling(word):
+        return -model.look(4, perplexity.ngrams([word.encode()])[0].astype(np.int64)).sum()
+
+    want = without(texts, spelling)
+    sent = spark.sparkContext.broadcast(model)
+    rows = docs.selectExpr("doc_id as row", "doc_id % 4 as block", "text")
+    for n_words in (1, 200_000):  # one hash partition, several
+        found = {r.row: r.total for r in perplexity.losses(rows, n_words, sent).collect()}
+        assert [found[k] for k in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
+def test_words_are_scored_across_their_boundaries(documents):
+    rng = random.Random(13)
+    phrases = [prose(rng, 12) for _ in range(30)]
+    texts = [" ".join(rng.sample(phrases, 6)) for _ in range(120)]
+    mixed = texts[0].split()
+    rng.shuffle(mixed)
+    rows = {r.doc_id: r for r in perplexity.verdicts(documents([*texts, " ".join(mixed)])).collect()}
+    assert all(rows[k].kept for k in range(120))
+    assert rows[120].perplexity > rows[120].upper and not rows[120].kept and not rows[120].base_failed
