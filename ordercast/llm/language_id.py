@@ -7,9 +7,13 @@ label sequences, from a bounded sample of labelled texts (``TEXTS`` texts of eac
 each); stretches of different languages are strung together, so that transitions describe switches as well.
 
 Forward-backward gives the probability of each label at each word. A text's language is the one with the
-largest share, words counting by their letters; the share is the score. Chains are cut at ``CHAIN`` words,
+largest share, words counting by their letters; the share is the score. Chains are cut at ``CHAIN`` positions,
 texts of any length are read to the end.
 
+A word of more than ``_WIDTH`` characters, or a text without blanks, stands at several positions, one for each piece of
+so many characters. Pieces have every n-gram once, those across their borders included; prefixes are the first one's,
+suffixes the last one's, and lexicons list pieces.
+
 Null texts and texts without a letter are ``und``, with score 0; so is every text if nothing can be learned.
 Languages that tie go by name. Null labels and ids are not learned from; repeated rows get equal results.
 """
@@ -35,40 +39,65 @@ UNKNOWN = "und"
 
 _EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalpha()) + "“”«»„‘’‹›…–—¡¿"
 _PRIME = 1_000_003
-#: Characters of a word that features look at, from its start.
+#: Characters of a word that one position of a chain has.
 _WIDTH = 24
+#: Marks of a piece of a word: that something comes before (three characters of it follow the mark), or after. No text has them.
+_AFTER, _ON = "\ud800", "\ud801"
 
 
 def normal(word: str) -> str:
     return word.lower().strip(_EDGES)
 
 
+def pieces(form: str) -> list[str]:
+    """A normal form, or its pieces if it is longer than one position takes."""
+    if len(form) <= _WIDTH:
+        return [form]
+    cut = [_AFTER * (k > 0) + form[max(0, k - 3) : k + _WIDTH] + _ON for k in range(0, len(form), _WIDTH)]
+    return [*cut[:-1], cut[-1][:-1]]
+
+
+def positions(words: list[str]) -> tuple[list[str], list[int]]:
+    """The words, or pieces, at a chain's positions, and how many of these each word has."""
+    if max(map(len, words), default=0) <= _WIDTH:
+        return words, [1] * len(words)
+    cut = [[w] if len(w) <= _WIDTH else pieces(normal(w)) for w in words]
+    return [p for ps in cut for p in ps], list(map(len, cut))
+
+
 def letters(word: str) -> int:
+    if word.startswith(_AFTER):
+        word = word[4:]
     return len(word) if word.isalpha() else sum(map(str.isalpha, word))
 
 
 def _ngram_features(forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of normal forms, and the index of each one's form."""
     n = len(forms)
-    cut = [f"\x02{f[:_WIDTH]}\x03" for f in forms]
+    after = np.fromiter((f.startswith(_AFTER) for f in forms), dtype=bool, count=n)
+    on = np.fromiter((f.endswith(_ON) for f in forms), dtype=bool, count=n)
+    cut = [f[1:] if f.startswith(_AFTER) else f"\x02{f}" for f in forms]
+    cut = [f[:-1] if f.endswith(_ON) else f"{f}\x03" for f in cut]
     sizes = np.fromiter(map(len, cut), dtype=np.int64, count=n)
-    grid = np.zeros((n, _WIDTH + 2 + 4), dtype=np.int64)
+    grid = np.zeros((n, _WIDTH + 2 + 3 + 4), dtype=np.int64)
     at = np.arange(grid.shape[1]) < sizes[:, None]
     grid[at] = np.frombuffer("".join(cut).encode("utf-32-le", "replace"), dtype="<u4")
     features, owners = [], []
     everyone = np.arange(n)
     code = np.zeros_like(grid[:, :-4])
     for width in range(1, 5):
-        # Every n-gram; those at the boundaries are the word's prefixes and suffixes, and get features of their own.
+        # Every n-gram that isn't the piece's before; those at the word's boundaries are its prefixes and suffixes, and
+        # get features of their own.
         code = code * _PRIME + grid[:, width - 1 : width - 1 + code.shape[1]]
         inside = np.arange(code.shape[1]) + width <= sizes[:, None]
+        inside &= np.arange(code.shape[1]) + width > 3 * after[:, None]
         features.append((code[inside] * 31 + width) % BUCKETS)
         owners.append(np.repeat(everyone, inside.sum(axis=1)))
-        long_enough = np.flatnonzero(sizes >= width + 1)
-        prefix = code[long_enough, 0] * 37 + 100 + width
-        suffix = code[long_enough, sizes[long_enough] - width] * 41 + 200 + width
+        first, last = np.flatnonzero((sizes >= width + 1) & ~after), np.flatnonzero((sizes >= width + 1) & ~on)
+        prefix = code[first, 0] * 37 + 100 + width
+        suffix = code[last, sizes[last] - width] * 41 + 200 + width
         features += [prefix % BUCKETS, suffix % BUCKETS]
-        owners += [long_enough, long_enough]
+        owners += [first, last]
     return np.concatenate(features), np.concatenate(owners)
 
 
@@ -217,7 +246,7 @@ def learn(labelled: DataFrame) -> Field | None:
     rows = sample.select("lang", F.slice(words, start, WORDS).alias("words")).toPandas()
     texts: dict[str, list[list[str]]] = defaultdict(list)
     for lang, found in zip(rows["lang"], rows["words"]):
-        forms = [f for w in found if (f := normal(w)) and letters(f)]
+        forms = [f for w in found for f in pieces(normal(w)) if letters(f)]
         if forms:
             texts[lang].append(forms)
     return train(texts) if texts else None
@@ -268,7 +297,7 @@ class Reader:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         shares = np.zeros((len(texts), len(self.field.labels)))
-        for k, rows, p in self.probabilities([t.split() for t in texts]):
+        for k, rows, p in self.probabilities([positions(t.split())[0] for t in texts]):
             shares[k] += self._letters[rows] @ p
         total = shares.sum(axis=1)
         best = shares.argmax(axis=1)
@@ -279,9 +308,16 @@ class Reader:
 
     def words(self, texts: list[str]) -> list[list[str]]:
         """The likeliest label of each word."""
-        out: list[list[str]] = [[] for _ in texts]
-        for k, _, p in self.probabilities([t.split() for t in texts]):
-            out[k] += [self.field.labels[b] for b in p.argmax(axis=1)]
+        cut = [positions(t.split()) for t in texts]
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        for k, rows, p in self.probabilities([c for c, _ in cut]):
+            # The pieces of a word count by their letters; a position without any hardly counts.
+            found[k].append(np.maximum(self._letters[rows], 1e-9)[:, None] * p)
+        out = []
+        for (_, sizes), p in zip(cut, found):
+            starts = np.cumsum([0, *sizes[:-1]])
+            best = np.add.reduceat(np.concatenate(p), starts).argmax(axis=1) if sizes else []
+            out.append([self.field.labels[b] for b in best])
         return out
 
 

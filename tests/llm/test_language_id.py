@@ -84,3 +84,40 @@ def test_odd_rows(odd, empty, labelled):
     assert found[7] [1:] == found[8][1:] and found[6].lang_pred in {"aa", "bb", "cc", "xx", "yy"}
     assert language_id.predict(empty, both).collect() == []
     assert {r.lang_pred for r in language_id.predict(odd, empty).collect()} == {"und"}
+
+
+def spelled_out(form):
+    """Hashed features of a whole form, by definition."""
+    whole, out = f"\x02{form}\x03", []
+    for width in range(1, 5):
+        grams = [whole[i : i + width] for i in range(len(whole) - width + 1)]
+        codes = []
+        for g in grams:
+            code = 0
+            for c in g:
+                code = code * language_id._PRIME + ord(c)
+            codes.append((code + (1 << 63)) % (1 << 64) - (1 << 63))
+        wrap = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+        out += [wrap(c * 31 + width) % language_id.BUCKETS for c in codes]
+        if len(whole) > width:
+            out += [wrap(codes[0] * 37 + 100 + width) % language_id.BUCKETS, wrap(codes[-1] * 41 + 200 + width) % language_id.BUCKETS]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n", [1, 3, 23, 24, 25, 26, 48, 49, 500])
+def test_features_of_whole_words(n):
+    form = "".join(random.Random(n).choice("abcdefghijéß\u4e00") for _ in range(n))
+    features, _ = language_id._ngram_features(language_id.pieces(form))
+    assert sorted(features.tolist()) == spelled_out(form)
+    assert sum(map(language_id.letters, language_id.pieces(form))) == n
+
+
+def test_texts_without_blanks_are_read_to_the_end(spark, field):
+    rng = random.Random(7)
+    start = "kakekikoku" * 3
+    for lang in ("bb", "cc"):
+        text = start + prose(rng, 400, SYLLABLES[lang]).replace(" ", "")
+        (label, score), = language_id.Reader(field).predict([text])
+        assert label == lang and score > 0.8
+        assert language_id.Reader(field).words([f"kake {text} ku", "", "kake"])[0][1] == lang
+    assert [len(ws) for ws in language_id.Reader(field).words([f"kake {text} ku", "", "kake"])] == [3, 0, 1]
