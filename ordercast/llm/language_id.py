@@ -15,7 +15,8 @@ so many characters. Pieces have every n-gram once, those across their borders in
 suffixes the last one's, and lexicons list pieces.
 
 Null texts and texts without a letter are ``und``, with score 0; so is every text if nothing can be learned.
-Languages that tie go by name. Null labels and ids are not learned from; repeated rows get equal results.
+Languages that tie go by name. Null labels and ids are not learned from, and of rows that repeat an id one is; repeated
+rows get equal results.
 """
 
 from __future__ import annotations
@@ -234,16 +235,17 @@ def learn(labelled: DataFrame) -> Field | None:
     ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     ids = ids.withColumn("bucket", F.shiftrightunsigned("h", 48))
     earlier = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ids.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = ids.groupBy("lang", "bucket").agg(F.count_distinct("doc_id").alias("n"))
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     few = ids.join(counts.where(F.col("before") < TEXTS).select("lang", "bucket"), ["lang", "bucket"]).distinct()
     first = Window.partitionBy("lang").orderBy("bucket", "h", "doc_id")
     chosen = few.withColumn("k", F.row_number().over(first)).where(F.col("k") <= TEXTS)
-    # The sample has a bounded number of ids for each language.
     sample = usable.join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
     words = F.split("text", r"\s+")
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.size(words) - WORDS + 1, F.lit(1))).cast("int") + 1
-    rows = sample.select("lang", F.slice(words, start, WORDS).alias("words")).toPandas()
+    # Of rows that repeat an id, the one whose text has the smallest hash: a bounded number of rows for each language.
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.slice(words, start, WORDS).alias("words")))
+    rows = sample.groupBy("doc_id", "lang").agg(one.getField("words").alias("words")).toPandas().sort_values(["doc_id", "lang"])
     texts: dict[str, list[list[str]]] = defaultdict(list)
     for lang, found in zip(rows["lang"], rows["words"]):
         forms = [f for w in found for f in pieces(normal(w)) if letters(f)]

@@ -15,7 +15,8 @@ Context. Around each hit, a window of words tells a quotation (quote marks, a ve
 (someone addressed, exclamation, further hits).
 
 Null and empty texts have no hit and get the score of such texts. Without labelled rows of both kinds every
-text has the same score. Null labels and ids are not learned from; repeated rows count as often as they occur.
+text has the same score. Null labels and ids are not learned from, and of documents that repeat an id one is;
+repeated labels count as often as they occur in the intercept, and once elsewhere.
 """
 
 from __future__ import annotations
@@ -292,9 +293,12 @@ def learn(docs: DataFrame, labelled: DataFrame) -> Scorer:
     labelled = labelled.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int"))
     totals = dict(labelled.groupBy("toxic").count().collect())
     order = F.xxhash64("doc_id")
-    parts = [labelled.where(F.col("toxic") == v).orderBy(order, "doc_id").limit(PER_LABEL) for v in (0, 1)]
-    # At most 2 * PER_LABEL rows: small whatever the table's size.
-    sample = docs.select("doc_id", "text").join(F.broadcast(parts[0].unionAll(parts[1])), "doc_id")
+    ids = labelled.distinct()
+    parts = [ids.where(F.col("toxic") == v).orderBy(order, "doc_id").limit(PER_LABEL) for v in (0, 1)]
+    chosen = docs.select("doc_id", "text").join(F.broadcast(parts[0].unionAll(parts[1])), "doc_id")
+    # Of rows that repeat an id, the one whose text has the smallest hash: at most 2 * PER_LABEL rows.
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).getField("text")
+    sample = chosen.groupBy("doc_id", "toxic").agg(one.alias("text"))
     share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10))
     lexicon = learn_lexicon(sample.where(share < 6))
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)

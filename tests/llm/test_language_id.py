@@ -121,3 +121,13 @@ def test_texts_without_blanks_are_read_to_the_end(spark, field):
         assert label == lang and score > 0.8
         assert language_id.Reader(field).words([f"kake {text} ku", "", "kake"])[0][1] == lang
     assert [len(ws) for ws in language_id.Reader(field).words([f"kake {text} ku", "", "kake"])] == [3, 0, 1]
+
+
+def test_one_row_of_a_repeated_id_is_learned_from(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, prose(rng, 8), "aa") for k in range(5)] + [(3, prose(rng, 8), "aa") for _ in range(400)] + [(3, "other tongue", "bb")]
+    learned = []
+    monkeypatch.setattr(language_id, "train", learned.append)
+    for turn in (rows, rows[::-1]):
+        language_id.learn(spark.createDataFrame(turn, "doc_id long, text string, lang string"))
+    assert {k: len(t) for k, t in learned[0].items()} == {"aa": 5, "bb": 1} and learned[0] == learned[1]

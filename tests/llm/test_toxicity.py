@@ -91,3 +91,15 @@ def test_odd_rows(odd, empty, corpus):
     assert left.columns == odd.columns and left.count() == odd.count()
     assert {r.score for r in toxicity.scores(odd, labels.limit(0)).collect()} == {0.5}
     assert toxicity.scores(empty, labels).collect() == []
+
+
+def test_one_row_of_a_repeated_id_is_learned_from(spark, corpus, monkeypatch):
+    rng = random.Random(5)
+    more = spark.createDataFrame([(7, prose(rng, 8)) for _ in range(400)], "doc_id long, text string")
+    seen, learn_lexicon = [], toxicity.learn_lexicon
+    monkeypatch.setattr(toxicity, "learn_lexicon", lambda sample: seen.append(sample.count()) or learn_lexicon(sample))
+    docs, labels = corpus.select("doc_id", "text"), corpus.select("doc_id", "toxic")
+    toxicity.learn(docs, labels)
+    toxicity.learn(docs.unionAll(more), labels)
+    toxicity.learn(docs, labels.unionAll(labels))
+    assert seen == seen[:1] * 3
