@@ -7,7 +7,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordercast.llm import chat_repair, decontamination, jaccard_join, language_id, licences, packing, perplexity, token_counts, toxicity, warc
+from ordercast.llm import (
+    chat_repair,
+    decontamination,
+    divergence,
+    jaccard_join,
+    language_id,
+    licences,
+    merkle,
+    packing,
+    perplexity,
+    rule_quality,
+    token_counts,
+    toxicity,
+    warc,
+)
 from ordercast.llm.common import documents, fold
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,6 +84,22 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(files).select(name.cast("long").alias("doc_id"), "*")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified with every fifth text's A-Z in lower case."""
+    return merkle.manifest(documents(spark, sf_dir), merkle.tampered(F.col("text"), F.col("doc_id")))
+
+
+def op13_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 4) == 2
+    labels = documents(spark, sf_dir, "labels").where(~held_out)
+    scored = rule_quality.scores(documents(spark, sf_dir), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 _PATH = "concat(coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/', CAST(doc_id // 1000 AS VARCHAR), '/', CAST(doc_id AS VARCHAR))"
 
 QUERIES = {
@@ -85,9 +115,14 @@ QUERIES = {
         op8_token_group_jaccard_join,
         op9_string_tiling_decontamination,
         op10_licence_scan,
+        op11_source_divergence,
+        op12_merkle_manifest,
+        op13_rule_ensemble_quality,
     )
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
     "op10_licence_scan": f"SELECT CAST(string_split(path, '/')[-1] AS BIGINT) AS doc_id, * FROM ({licences.oracle(_PATH, 'documents')})",
+    "op11_source_divergence": divergence.oracle(),
+    "op12_merkle_manifest": merkle.oracle(),
 }
