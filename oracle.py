@@ -214,9 +214,26 @@ def _error(by: str) -> str:
         FROM (SELECT cycle_id, {keys}{_GAP} AS v FROM base GROUP BY ALL) JOIN wide USING (cycle_id)"""
 
 
+def _level(name: str, by: str = "") -> str:
+    keys = f", {by}" if by else ""
+    shown = ", ".join(f"{c if c == by else 'NULL'}::VARCHAR AS {c}" for c in ("Warehouse", "The_Week"))
+    return f"""SELECT cycle_id, '{name}' AS level, {shown}, {_r('v', 2)} AS sum_variance,
+        {_r('v / nullif(comp_target, 0)')} AS pct_variance, "MAPE", n_rows, n_no_forecast
+        FROM (SELECT cycle_id{keys}, {_GAP} AS v, {_MAPE} FROM base GROUP BY ALL) JOIN wide USING (cycle_id)"""
+
+
+_EXACT = (
+    ("Product_Code", "Product_Code"),
+    ("Warehouse", "Warehouse"),
+    ("Product_Category", "Product_Category"),
+    ("Date", '"Date"'),
+    ("Order_Demand", "Order_Demand"),
+)
+
 _QUERIES = {
     "read_orders": """SELECT Product_Code, Warehouse, Product_Category, nullif("Date", 'NA') AS "Date", Order_Demand FROM raw""",
     "write_forecast": f"SELECT {_F_COLUMNS}, DATE '2001-10-28' AS run_date FROM f",
+    "write_forecast_csv": f"SELECT {_F_COLUMNS}, DATE '2001-10-28' AS run_date FROM f",
     "write_forecast_dow_curve": f"SELECT cycle_id, Warehouse, DOW, {_r('pct_orders')} AS pct_orders, DATE '2001-10-28' AS run_date FROM curve",
     "write_forecast_warehouse_share": f"""SELECT cycle_id, Warehouse, orders, {_r('pct_orders')} AS pct_orders,
         DATE '2001-10-28' AS run_date FROM shares""",
@@ -235,13 +252,10 @@ _QUERIES = {
     "clip_date_range": f"SELECT {_CLEAN_COLUMNS} FROM clipped",
     "distinct_counts": " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(DISTINCT nullif({q}, 'NA')) AS n_distinct FROM raw"
-        for c, q in (
-            ("Product_Code", "Product_Code"),
-            ("Warehouse", "Warehouse"),
-            ("Product_Category", "Product_Category"),
-            ("Date", '"Date"'),
-            ("Order_Demand", "Order_Demand"),
-        )
+        for c, q in _EXACT
+    ),
+    "distinct_counts_sketch": " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(DISTINCT nullif({q}, 'NA')) AS n_distinct, TRUE AS near FROM raw" for c, q in _EXACT
     ),
     "null_counts": " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) - count({q}) AS n_null FROM typed"
@@ -340,6 +354,7 @@ _QUERIES = {
     "forecast_error": _error(""),
     "error_by_wh": _error("Warehouse"),
     "error_by_week": _error("The_Week"),
+    "error_levels": f"{_level('total')} UNION ALL {_level('Warehouse', 'Warehouse')} UNION ALL {_level('The_Week', 'The_Week')}",
     "mape": f"SELECT cycle_id, {_MAPE} FROM base GROUP BY ALL",
     "mape_by_wh": f"SELECT cycle_id, Warehouse, {_MAPE} FROM base GROUP BY ALL",
     "mape_by_week": f"SELECT cycle_id, The_Week, {_MAPE} FROM base GROUP BY ALL",

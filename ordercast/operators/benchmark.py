@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordercast.functions.joins import match_join
 from ordercast.functions.numeric import abs_pct_error, safe_ratio, total_or_zero
 from ordercast.operators.calendar import CycleCalendar, in_windows
 
 
 def benchmark_4wk(daily: DataFrame, lag_days: int = 28) -> DataFrame:
-    """Actual and naive forecast per warehouse-day.
+    """Actual and naive forecast per warehouse-day (``daily`` has one row for each).
 
-    The forecast is the actual of exactly ``lag_days`` calendar days before; it is null where that
-    day has no orders (a row offset would pick another day there).
+    The forecast is the actual of exactly ``lag_days`` calendar days before: a frame over day numbers that
+    holds that day only. It is null where that day has no orders (a row offset would pick another day there). A
+    warehouse's window holds its days, which the calendar bounds.
     """
-    actual = daily.withColumnRenamed("demand", "Total_Orders")
-    earlier = daily.select(
-        "Warehouse",
-        F.date_add("Date", lag_days).alias("Date"),
-        F.col("demand").alias("Forecast_Orders"),
-    )
-    return match_join(actual, earlier, ["Warehouse", "Date"], "left")
+    day = F.unix_date("Date")
+    earlier = Window.partitionBy("Warehouse").orderBy(day).rangeBetween(-lag_days, -lag_days)
+    naive = F.when(F.col("Date").isNotNull(), F.max("demand").over(earlier))
+    return daily.select("Warehouse", "Date", F.col("demand").alias("Total_Orders"), naive.alias("Forecast_Orders"))
 
 
 def _in_target(benchmark: DataFrame, cal: CycleCalendar) -> DataFrame:

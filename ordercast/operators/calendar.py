@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WINDOW_ROLES = ("target", "comp_target", "pre", "pre_prev")
@@ -143,15 +143,32 @@ def in_windows(by_date: DataFrame, cal: CycleCalendar, *roles: str) -> DataFrame
     return by_date.join(cal.days(by_date.sparkSession, *roles), "Date")
 
 
+def window_bounds(cal: CycleCalendar, spark: SparkSession, *roles: str) -> DataFrame:
+    """(cycle_id, role, Date, sign): for every window the day before it, with -1, and its last day, with 1."""
+    delivery = F.col("delivery")
+    rows = []
+    for role in roles:
+        for sign, day in ((-1, F.date_sub(cal.window_start(delivery, role), 1)), (1, cal.window_end(delivery, role))):
+            rows.append(F.struct(F.lit(role).alias("role"), day.alias("Date"), F.lit(sign).alias("sign")))
+    return cal.cycles(spark).select("cycle_id", F.inline(F.array(*rows)))
+
+
 def window_totals_wide(daily: DataFrame, cal: CycleCalendar) -> DataFrame:
-    """One row per cycle with a total per window; 0 for a window without demand."""
-    totals = (
-        in_windows(daily, cal, *WINDOW_ROLES)
-        .groupBy("cycle_id")
-        .agg(*[F.sum(F.when(F.col("role") == r, F.col("demand"))).alias(r) for r in WINDOW_ROLES])
-    )
-    every_cycle = cal.cycles(daily.sparkSession).select("cycle_id")
-    return every_cycle.join(totals, "cycle_id", "left").na.fill(0.0, list(WINDOW_ROLES))
+    """One row per cycle with a total per window; 0 for a window without demand.
+
+    A window's total is the running sum at its last day less that on the day before its first. Days and window
+    bounds are stacked and summed up in order of date, so a window brings two rows, however long it is. The stack
+    has a row per calendar day and two per window: its size follows from the calendar. Sums of whole
+    numbers are exact below 2**53; others have the rounding of the running sum.
+    """
+    per_day = daily.where(F.col("Date").isNotNull()).groupBy("Date").agg(F.sum("demand").alias("demand"))
+    bounds = window_bounds(cal, daily.sparkSession, *WINDOW_ROLES)
+    stack = per_day.unionByName(bounds, allowMissingColumns=True)
+    # A day's demand comes before the bounds on that day.
+    upto = Window.orderBy("Date", F.col("cycle_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = stack.withColumn("running", F.coalesce(F.sum("demand").over(upto), F.lit(0.0))).where(F.col("cycle_id").isNotNull())
+    of = lambda role: F.sum(F.when(F.col("role") == role, F.col("sign") * F.col("running")))
+    return summed.groupBy("cycle_id").agg(*[of(role).alias(role) for role in WINDOW_ROLES])
 
 
 def cycle_window_totals(daily: DataFrame, cal: CycleCalendar) -> DataFrame:

@@ -9,10 +9,11 @@ group is narrowed down first:
 3. cut each of these buckets into slices, find the slices that hold the ranks in the same way, and
    read the order statistics off the running counts of their values.
 
-The source is scanned twice, whatever the values are. Lines in a bucket that no group wants are
-dropped before anything is shuffled, the others are counted per value before; so what is shuffled are
-partial counts, and a group that holds a third of all lines costs no more than its histogram and
-its distinct values near the wanted ranks. The result is exact: no sketch is involved.
+The source is scanned twice, whatever the values are. Lines whose (group, bucket) is not wanted are
+dropped before anything is shuffled, by a bitmap of the wanted pairs (see ``functions/pair_filter``); the
+others are counted per value before they move. So what is shuffled are partial counts, and a group that
+holds a third of all lines costs no more than its histogram and its distinct values near the wanted
+ranks. The result is exact: the bitmap may let a line pass, the join with the pairs decides.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordercast.functions.joins import match_join
+from ordercast.functions.pair_filter import perhaps_in
 from ordercast.plans.staging import StagingArea
 
 # Buckets per unit of ln(1 + |value|): 16 makes a bucket about 6% wide. Coarse, so that groups of a
@@ -60,10 +62,6 @@ def _holds_a_rank(probs: Mapping[str, float]) -> Column:
     return wanted
 
 
-#: Buckets that ``_bucket`` can give, about twice 710 * 16: what a filter on them is bounded by.
-_MAX_BUCKETS = 2 * int(_LN_MAX) * _RESOLUTION + 1
-
-
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -74,7 +72,7 @@ def group_quantiles(
     """One row per group with a column per entry of ``probs`` (name -> probability).
 
     Linear interpolation between the two neighbouring order statistics; nulls are left out. With no
-    keys the whole table is the group. The chosen buckets and their values are written to ``area``.
+    keys the whole table is the group. The chosen buckets, a few rows per group, are written to ``area``.
     """
     area = area or StagingArea(df.sparkSession)
     return quantiles_of(value_histogram(df, keys, value), df, keys, value, probs, area)
@@ -96,9 +94,9 @@ def quantiles_of(
     keys: Sequence[str],
     value: str,
     probs: Mapping[str, float],
-    area: StagingArea,
+    area: StagingArea | None,
 ) -> DataFrame:
-    """:func:`group_quantiles` from a histogram that is already there."""
+    """:func:`group_quantiles` from a histogram that is already there; without ``area`` nothing is written."""
     keys = list(keys)
     group = keys or ["_all"]
     in_group = Window.partitionBy(*group)
@@ -110,14 +108,19 @@ def quantiles_of(
     )
     # At most two rows per group and quantile; written so that its size is known to the planner.
     buckets = running.where(_holds_a_rank(probs)).select(*group, "_b", "_low", "_high", "_before", "_total")
-    buckets = area.stage(buckets, "quantile_buckets")
-    wanted = [r["_b"] for r in buckets.select("_b").distinct().limit(_MAX_BUCKETS).collect()]
+    if area:
+        buckets = area.stage(buckets, "quantile_buckets")
 
     source = df if keys else df.withColumn("_all", F.lit(1))
     values = source.select(*group, F.col(value).alias("_v")).withColumn("_b", _bucket(F.col("_v")))
-    counted = values.where(F.col("_b").isin(wanted)).groupBy(*group, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    if keys:
+        wanted = perhaps_in(buckets, [*group, "_b"])
+    else:  # a few numbers
+        wanted = F.array_contains(buckets.agg(F.collect_set("_b")).scalar(), F.col("_b"))
+    counted = values.where(wanted).groupBy(*group, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
     candidates = match_join(counted, buckets, [*group, "_b"])
-    candidates = area.stage(candidates.withColumn("_s", _slice(F.col("_v"), F.col("_low"), F.col("_high"))), "quantile_values")
+    # Used twice below: Spark shuffles the counts once and reuses the exchange.
+    candidates = candidates.withColumn("_s", _slice(F.col("_v"), F.col("_low"), F.col("_high")))
 
     in_bucket = Window.partitionBy(*group, "_b").orderBy("_s")
     in_bucket = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -362,3 +362,56 @@ def test_plans_stay_on_the_engine(table):
         text = df._jdf.queryExecution().executedPlan().toString()
         for bad in ("NestedLoop", "Cartesian", "Python", "Arrow"):
             assert bad not in text
+
+
+def test_error_levels_equal_the_single_queries(spark, table, published):
+    base = accuracy.accuracy_base(table, published, CAL).cache()
+    levels = accuracy.error_levels(base, table, CAL)
+    assert levels._jdf.queryExecution().executedPlan().toString().count("Expand") == 1
+    levels = levels.cache()
+    for level, by in (("total", []), ("Warehouse", ["Warehouse"]), ("The_Week", ["The_Week"])):
+        mine = levels.where(F.col("level") == level)
+        error, mape = accuracy.forecast_error(base, table, CAL, by), accuracy.mape(base, by)
+        assert rows_of(mine, *error.columns) == rows_of(error)
+        assert rows_of(mine, *mape.columns) == rows_of(mape)
+        others = [c for c in ("Warehouse", "The_Week") if c not in by]
+        assert all(v is None for r in mine.select(*others).collect() for v in r)
+
+
+def test_missing_keys_are_not_totals(spark, daily):
+    base = spark.createDataFrame(
+        [(1, None, "01", 1.0, 3.0, 0.5), (1, "a", None, 2.0, 2.0, 0.0)],
+        "cycle_id int, Warehouse string, The_Week string, act_orders double, Fcast_Volume double, abs_var_pct double",
+    )
+    found = rows_of(accuracy.error_levels(base, daily([("a", "2015-01-06", 1.0)]), CAL), "level", "Warehouse", "The_Week", "sum_variance")
+    assert found == sorted([("total", None, None, 2.0), ("Warehouse", None, None, 2.0), ("Warehouse", "a", None, 0.0), ("The_Week", None, "01", 2.0), ("The_Week", None, None, 0.0)], key=repr)
+
+
+def test_window_totals_are_two_rows_a_window(spark, daily):
+    """Each window's total is the sum of its days, exactly; no row is repeated for the days of a window."""
+    rows = [(w, CAL.start_date + dt.timedelta(k * 3 - 500), float((k * 37) % 1009)) for k in range(400) for w in "ab"]
+    table = daily([*rows, ("a", "2031-01-01", 5.0)])
+    bounds = calendar.window_bounds(CAL, spark, *calendar.WINDOW_ROLES)
+    assert bounds.count() == CAL.last_cycle * len(calendar.WINDOW_ROLES) * 2
+    for r in calendar.window_totals_wide(table, CAL).collect():
+        delivery = CAL.start_date + dt.timedelta((r["cycle_id"] - 1) * CAL.cadence_days)
+        for role in calendar.WINDOW_ROLES:
+            first, last = (delivery + dt.timedelta(k) for k in CAL.offsets(role))
+            assert r[role] == sum(q for _, d, q in rows if first <= d <= last), (r["cycle_id"], role)
+    plan = calendar.window_totals_wide(table, CAL)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    none = calendar.window_totals_wide(daily([]), CAL).collect()
+    assert len(none) == CAL.last_cycle and {r["pre"] for r in none} == {0.0}
+
+
+def test_benchmark_has_one_scan_and_one_exchange(spark, daily, tmp_path):
+    rows = [("a", "2016-01-01", 1.0), ("a", "2016-01-29", 2.0), ("a", "2016-01-30", 3.0), ("b", "2016-01-29", 4.0), (None, "2016-01-01", 5.0), (None, "2016-01-29", 6.0)]
+    daily(rows).write.parquet(str(tmp_path / "d"))
+    df = benchmark.benchmark_4wk(spark.read.parquet(str(tmp_path / "d")))
+    assert {(r[0], r[1].day, r[1].month): r[3] for r in df.collect()} == {
+        ("a", 1, 1): None, ("a", 29, 1): 1.0, ("a", 30, 1): None, ("b", 29, 1): None, (None, 1, 1): None, (None, 29, 1): 5.0,
+    }
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    executed = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in executed
+    assert executed[: executed.find("Initial Plan")].count("Exchange") <= 1 and "Exchange" in executed

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,30 @@ def test_trimming_by_shuffle_equals_trimming_by_broadcast(spark, lines):
 def test_month_without_any_demand_is_zero(lines):
     df = lines([("p", "w", "c", "2012-10-12", None)])
     assert rows_of(monthly_totals(df)) == [(dt.date(2012, 10, 1), 0.0)]
+
+
+def test_sketches_unite_over_run_dates(spark, tmp_path):
+    days = [spark.range(k * 4000, k * 4000 + 10_000).selectExpr("id as a", "cast(id % 9 as string) as b", "cast(null as int) as c") for k in range(3)]
+    for k, day in ((0, days[0]), (1, days[1]), (2, days[2]), (1, days[1])):
+        profile.write_sketches(profile.distinct_sketches(day), str(tmp_path / "s"), dt.date(2016, 1, 1 + k))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    assert stored.count() == 9  # the repeated run took its own place
+    found = dict(rows_of(profile.sketched_counts(stored)))
+    error = 1.04 / 2**7
+    assert found["a"] == pytest.approx(18_000, rel=3 * error) and found["b"] == 9 and found["c"] == 0
+    one = dict(rows_of(profile.sketched_counts(stored.where("run_date = date'2016-01-02'"))))
+    assert one["a"] == pytest.approx(10_000, rel=3 * error)
+
+
+def test_sketches_move_no_values(spark):
+    df = spark.range(1000).selectExpr("id as a", "id * 2 as b")
+    plan = profile.distinct_sketches(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SinglePartition" in plan
+
+
+def test_summary_reads_the_lines_twice_and_writes_nothing(spark, tmp_path):
+    spark.range(3000).selectExpr("cast(id % 701 as double) Order_Demand").write.parquet(str(tmp_path / "l"))
+    df = profile.demand_summary(spark.read.parquet(str(tmp_path / "l")))
+    values = [k % 701 for k in range(3000)]
+    quartiles = [float(np.quantile(values, q)) for q in (0.25, 0.5, 0.75)]
+    assert tuple(df.first()) == (0.0, *quartiles[:2], pytest.approx(np.mean(values)), quartiles[2], 700.0, 0)

@@ -2,10 +2,11 @@ import datetime as dt
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows_of
 from ordercast.plans import staging
-from ordercast.sources.orders import read_orders, write_forecast, write_orders
+from ordercast.sources.orders import read_forecast, read_orders, write_forecast, write_orders
 
 D = dt.date
 COLUMNS = "Product_Code string, Warehouse string, Product_Category string, Date string, Order_Demand string"
@@ -27,10 +28,27 @@ def test_csv(spark, tmp_path):
     ]
 
 
-def test_csv_with_other_columns_is_refused(spark, tmp_path):
-    (tmp_path / "orders.csv").write_text("Warehouse,Product_Code,Product_Category,Date,Order_Demand\nw,p,c,d,1\n")
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    folder = tmp_path / "with blank"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Warehouse,Product_Code,Product_Category,Date,Order_Demand\nw,p,c,d,1\n")
+    (folder / "b.csv").write_text('Id,Order_Demand,Date,"Product_Category",No.te,Warehouse,Product_Code\n7,(2),e,k,x,v,q\n')
+    (folder / "c.csv").write_text("Warehouse,Product_Code,Product_Category,Date,Order_Demand\nu,r,c,NA,\n")
+    (folder / "d.csv").write_text("")
+    want = [("p", "w", "c", "d", "1"), ("q", "v", "k", "e", "(2)"), ("r", "u", "c", None, "")]
+    assert rows_of(read_orders(spark, str(folder))) == want
+    assert rows_of(read_orders(spark, str(folder), multi_line=True)) == want
     with pytest.raises(Exception, match="(?i)header"):
-        read_orders(spark, str(tmp_path / "orders.csv")).collect()
+        read_orders(spark, str(folder), same_header=True).collect()
+    one = read_orders(spark, str(folder / "b.csv"), same_header=True)
+    assert rows_of(one) == want[1:2] and one.count() == 1
+
+
+@pytest.mark.parametrize("header", ["Warehouse,Product_Code,Date,Order_Demand", "Date,Date,Product_Code,Warehouse,Product_Category,Order_Demand"])
+def test_csv_without_a_column_is_refused(spark, tmp_path, header):
+    (tmp_path / "orders.csv").write_text(header + "\n" + ",".join("x" for _ in header.split(",")) + "\n")
+    with pytest.raises(ValueError, match="header"):
+        read_orders(spark, str(tmp_path / "orders.csv"))
 
 
 def test_round_trips(spark, tmp_path):
@@ -45,19 +63,44 @@ def test_round_trips(spark, tmp_path):
         read_orders(spark, "x", "xml")
 
 
+SHARES = [("a", 0.25, None), ("b, c", None, D(2016, 1, 1)), ("", 1.5, None), (None, 0.1, None)]
+SHARE = "Warehouse string, pct double, Fcast_Date date"
+
+
 @pytest.mark.parametrize("fmt", ["parquet", "csv"])
 def test_forecast_log_replaces_only_its_own_run(spark, tmp_path, fmt):
-    def log(value, day):
+    def log(value, day, fmt=fmt):
         f = spark.createDataFrame([("a", value)], "Warehouse string, Fcast_Volume double")
-        return write_forecast(f, f, f, str(tmp_path), day, fmt)
+        return write_forecast(f, f, spark.createDataFrame(SHARES, SHARE), str(tmp_path), day, fmt)
 
     log(1.0, D(2016, 1, 4))
-    log(2.0, D(2016, 1, 18))
+    log(2.0, D(2016, 1, 18), "parquet")
     paths = log(3.0, D(2016, 1, 4))
     assert set(paths) == {"forecast", "dow_curve", "warehouse_share"}
-    for path in paths.values():
-        back = spark.read.format(fmt).option("header", True).option("inferSchema", True).load(path)
+    for name in ("forecast", "dow_curve"):
+        back = read_forecast(spark, str(tmp_path), name)
         assert rows_of(back, "Fcast_Volume", "run_date") == [(2.0, D(2016, 1, 18)), (3.0, D(2016, 1, 4))]
+        assert os.path.isdir(f"{paths[name]}/run_date=2016-01-04")
+    one = read_forecast(spark, str(tmp_path), "warehouse_share", D(2016, 1, 4))
+    assert rows_of(one, "Warehouse", "pct", "Fcast_Date") == sorted(SHARES, key=repr)
+    assert dict(one.dtypes) == {"Warehouse": "string", "pct": "double", "Fcast_Date": "date", "run_date": "date"}
+    with pytest.raises(ValueError, match="2017"):
+        read_forecast(spark, str(tmp_path), run_date=D(2017, 1, 1))
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_a_run_that_fails_in_between_leaves_nothing_to_be_seen(spark, tmp_path, fmt):
+    table = lambda v: spark.createDataFrame([("a", v)], "Warehouse string, v double")
+    broken = table(9.0).withColumn("v", F.raise_error(F.lit("killed")).cast("double"))
+    base = str(tmp_path)
+    with pytest.raises(Exception, match="killed"):
+        write_forecast(table(9.0), broken, table(9.0), base, D(2016, 1, 4), fmt)
+    with pytest.raises(ValueError, match="no forecast"):
+        read_forecast(spark, base)
+    write_forecast(table(1.0), table(2.0), table(3.0), base, D(2016, 1, 4), fmt)
+    with pytest.raises(Exception, match="killed"):
+        write_forecast(table(9.0), broken, table(9.0), base, D(2016, 1, 4), fmt)
+    assert [rows_of(read_forecast(spark, base, n), "v") for n in ("forecast", "dow_curve", "warehouse_share")] == [[(1.0,)], [(2.0,)], [(3.0,)]]
 
 
 def test_staging(spark):
