@@ -19,8 +19,10 @@ members' full shingle sets, read again from the texts of the classes concerned,
 Links within one task that join what is already joined are left out, so a task reports fewer links than
 it has members and queries, however alike they are. Nothing is sampled or capped.
 
-Null texts, and texts without words, have empty sets, linked with nothing. Ids should be unique; of rows
-that repeat an id with other text, one text is compared. Null ids are dropped. Ties (equally frequent
+Null texts, and texts without words, have empty sets, linked with nothing; texts of any length are read to the end. Rows
+are told apart by a 64-bit hash of id and text, their key, and a class goes by the smallest key of its rows: so ids may
+repeat, with the same text or another, and every row gets a result of its own. Rows without an id link like others and
+get their size, but no component. An empty table gives no rows. Other columns are not read. Ties (equally frequent
 tokens) go to the smaller token.
 """
 
@@ -31,10 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordercast.llm.common import perhaps_among, prepare, runs, stage
+from ordercast.llm.common import fresh, perhaps_among, prepare, runs, stage
 from ordercast.llm.components import components
 from ordercast.llm.words import hashes, mix, shingle_set, words
 
@@ -100,8 +102,13 @@ def order_of(docs: DataFrame, width: int) -> Order:
     return Order(found["shingle"].to_numpy().view(np.uint64), found["count"].to_numpy())
 
 
+def row_key() -> Column:
+    """Equal for rows with equal id and text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text"))
+
+
 def signatures(docs: DataFrame, width: int, rule: Threshold) -> DataFrame:
-    """doc_id, n_shingles, two checksums of the set, its tokens, and how many of them a partner shares."""
+    """doc_id, key, n_shingles, two checksums of the set, its tokens, and how many of them a partner shares."""
     order = docs.sparkSession.sparkContext.broadcast(order_of(docs, width))
 
     @F.pandas_udf("n_shingles long, f1 long, f2 long, tokens array<long>, need int")
@@ -117,8 +124,8 @@ def signatures(docs: DataFrame, width: int, rule: Threshold) -> DataFrame:
                     rows.append((n, f1.astype(np.int64), f2.astype(np.int64), tokens, rule.need(n)))
             yield pd.DataFrame(rows, columns=["n_shingles", "f1", "f2", "tokens", "need"])
 
-    made = docs.where(F.col("doc_id").isNotNull()).select("doc_id", signed.asNondeterministic()("text").alias("s"))
-    return made.select("doc_id", "s.*")
+    made = docs.select("doc_id", row_key().alias("key"), signed.asNondeterministic()("text").alias("s"))
+    return made.select("doc_id", "key", "s.*")
 
 
 def _compare(part: pd.DataFrame, rule: Threshold) -> pd.DataFrame:
@@ -209,39 +216,75 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pd.Series([shingle_set(hashes(words(t)), width).tobytes() for ts in runs(batch) for t in ts], dtype=object)
 
     near = perhaps_among(wanted, "rep")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").where(near(F.col("rep"))).join(wanted, "rep", "left_semi")
+    texts = docs.select(row_key().alias("rep"), "text").where(near(F.col("rep"))).join(wanted, "rep", "left_semi")
     made = texts.select("rep", packed.asNondeterministic()("text").alias("shingles"))
     return stage(made.dropDuplicates(["rep"]), "sets")
 
 
 def without_copies(docs: DataFrame, width: int = 5, rule: Threshold = Threshold(80, 100)) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; all columns as they were.
+    """``docs`` with one row of each component, one with the smallest id; all columns as they were.
 
-    Of rows that repeat an id, one stays. Rows without an id stay.
+    Rows with empty sets stay. Of rows with the same id in a component, that with the smallest key stays, and of
+    those with the same id and text, one; a row without an id stays only where none has one.
     """
-    labelled = jaccard_components(docs, width, rule)
-    # A row per class could say more than once that its documents go; ids are all that is needed.
-    gone = stage(labelled.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    named = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionAll(docs.where(F.col("doc_id").isNull()))
+    labelled = stage(_labelled(docs, width, rule, GROUP_SHINGLES).where("n_shingles > 0"), "labelled")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).getField("key")
+    keepers = labelled.groupBy("component").agg(first.alias("kept"))
+    gone = labelled.join(keepers, "component").where("key <> kept").select("key").distinct()
+    again = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    gone, again = stage(gone, "copies"), stage(again.join(gone, "key", "left_anti"), "repeated")
+    key = fresh(docs, "key")
+    keyed, gone, again = docs.withColumn(key, row_key()), gone.withColumnRenamed("key", key), again.withColumnRenamed("key", key)
+    once = keyed.join(gone.unionAll(again), key, "left_anti")
+    one_of = keyed.join(again, key, "left_semi").dropDuplicates([key])
+    return once.unionByName(one_of).select(docs.columns)
 
 
-def jaccard_components(
-    docs: DataFrame, width: int = 3, rule: Threshold = Threshold(), group_shingles: int = 400_000
-) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest id reachable by links, the document's own included."""
+GROUP_SHINGLES = 400_000
+
+
+def _labelled(docs: DataFrame, width: int, rule: Threshold, group_shingles: int) -> DataFrame:
+    """doc_id, key, n_shingles, component (a key; null for empty sets) and component_id for every row."""
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = stage(signatures(docs, width, rule), "signatures")
-    key = ["n_shingles", "f1", "f2"]
+    of = ["n_shingles", "f1", "f2"]
     full = signed.where("n_shingles > 0")
-    reps = full.groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    # A class takes its smallest document's tokens.
-    held = full.withColumnRenamed("doc_id", "rep").join(reps, [*key, "rep"], "left_semi").dropDuplicates(["rep"])
+    classes = stage(full.groupBy(*of).agg(F.min("key").alias("rep"), F.min("doc_id").alias("least")), "classes")
+    held = full.withColumnRenamed("key", "rep").join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
     found = components(links(docs, held.select("rep", "n_shingles", "tokens", "need"), width, rule, group_shingles))
-    labels = reps.join(found, reps["rep"] == found["vertex"], "left").select(
-        *key, F.coalesce("component", "rep").alias("component_id")
-    )
-    linked = full.select("doc_id", *key).join(labels, key).select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionAll(alone)
+    member = classes.join(found, classes["rep"] == found["vertex"], "left").withColumn("component", F.coalesce("component", "rep"))
+    member = stage(member.select(*of, "component", "least"), "members")
+    least = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = member.drop("least").join(least, "component")
+    linked = full.select("doc_id", "key", *of).join(labels, of)
+    rows = linked.select("doc_id", "key", "n_shingles", "component", "component_id")
+    alone = signed.where("n_shingles = 0").withColumn("component", F.lit(None).cast("long"))
+    rows = rows.unionAll(alone.select("doc_id", "key", "n_shingles", "component", F.col("doc_id").alias("component_id")))
+    return rows.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+
+
+def jaccard_components(
+    docs: DataFrame, width: int = 3, rule: Threshold = Threshold(), group_shingles: int = GROUP_SHINGLES
+) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row: the smallest id reachable by links, the document's own included."""
+    return _labelled(docs, width, rule, group_shingles).select("doc_id", "n_shingles", "component_id")
+
+
+def oracle(width: int = 3, rule: Threshold = Threshold()) -> str:
+    """:func:`jaccard_components` of ``documents`` as DuckDB SQL: shingles joined with shingles."""
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(width))
+    return rf"""
+WITH RECURSIVE texts AS (SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+    FROM documents),
+sets AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+        ELSE list_distinct([{shingle} FOR i IN range(1, len(w) - {width - 2})]) END AS s FROM texts),
+shingles AS (SELECT r, len(s) AS n, hash(unnest(s)) AS x FROM sets),
+links AS (SELECT a.r AS a, b.r AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.r <> b.r
+    GROUP BY a.r, b.r HAVING {rule.den} * count(*) >= {rule.num} * (any_value(a.n) + any_value(b.n) - count(*))),
+reached AS (SELECT r, r AS other FROM sets UNION SELECT r, b FROM reached JOIN links ON other = a),
+least AS (SELECT r.r, min(doc_id) AS component_id FROM reached r JOIN sets s ON r.other = s.r GROUP BY r.r)
+SELECT doc_id, len(s) AS n_shingles, CASE WHEN doc_id IS NOT NULL THEN component_id END AS component_id
+FROM sets JOIN least USING (r)
+"""

@@ -5,7 +5,8 @@ Tokens are runs of a-z and 0-9 in lower case. Weights are token counts times the
 document frequency over the templates; tokens of no template weigh as much as the rarest. A line counts from
 ``line_least`` on, a whole file from ``file_least``; the file then is a licence file of its directory. A
 file's own licence is that of its best unit. A file without one takes that of the nearest directory above, or
-its own, that has a licence file, the best of them.
+its own, that has a licence file, the best of them. Files with a licence of their own are written, so a text is
+read once.
 
 Before a text is cut into lines and tokens, its counts of the templates' tokens tell whether it can have a hit,
 and nearly all others drop out; the filter loses nothing. By Cauchy-Schwarz, a line that reaches the threshold has
@@ -19,7 +20,8 @@ their names, each file bringing one row per directory above it; a directory brin
 it has.
 
 Null text has no licence of its own. Files with a null path are left out; rows that repeat a path are one
-file, with the lines of all. Ties go to the higher cosine, then to the name that comes first.
+file, with the lines of all. Texts of any length are read to the end; an empty table gives no rows; other columns are not
+read. Ties go to the higher cosine, then to the name that comes first.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ordercast.llm.common import stage
+
 #: Notices by which the licences are commonly given.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -159,7 +163,8 @@ def own_licences(
 
 def licences(files: DataFrame, **options) -> DataFrame:
     """(path, licence, origin, cosine, directory) for every file: origin own, inherited or null."""
-    own = own_licences(files, **options)
+    # Read twice below, a few rows; written, so that texts are gone through once.
+    own = stage(own_licences(files, **options), "own_licences")
     parent = F.element_at(_parents(F.col("path")), -1)
     best = F.min(F.struct((-F.col("cosine")).alias("minus"), "licence"))
     directories = own.where("is_file").groupBy(parent.alias("directory")).agg(best.alias("b"))

@@ -123,6 +123,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op10_licence_scan": f"SELECT CAST(string_split(path, '/')[-1] AS BIGINT) AS doc_id, * FROM ({licences.oracle(_PATH, 'documents')})",
+    "op8_token_group_jaccard_join": jaccard_join.oracle(),
     "op11_source_divergence": divergence.oracle(),
     "op12_merkle_manifest": merkle.oracle(),
 }

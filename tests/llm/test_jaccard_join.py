@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -8,7 +9,7 @@ from ordercast.llm import jaccard_join
 from ordercast.llm.components import components
 from ordercast.llm.words import hashes, shingle_set, words
 
-from .conftest import prose
+from .conftest import DOCUMENTS, prose
 
 
 def brute(rows, width, num, den):
@@ -100,7 +101,7 @@ def test_shingles_of_short_texts():
 def test_odd_rows(odd, empty):
     rows = jaccard_join.jaccard_components(odd).collect()
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
-    assert None not in found and len(rows) == odd.where("doc_id is not null").count()
+    assert len(rows) == odd.count() and found[None] == (11, None)
     assert [found[k] for k in (1, 2, 3, 7, 8)] == [(0, 1), (0, 2), (0, 3), (1, 7), (1, 7)]
     left = jaccard_join.without_copies(odd)
     assert left.columns == odd.columns
@@ -110,6 +111,31 @@ def test_odd_rows(odd, empty):
     assert jaccard_join.without_copies(empty).collect() == []
 
 
+def test_repeated_and_missing_ids_lose_no_row_and_no_link(spark):
+    """Ids that repeat with unlike texts: each row has its own links, and only copies go."""
+    rng = random.Random(4)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    near = " ".join(a.split()[:-1])
+    rows = [(1, a), (1, b), (1, b), (2, c), (3, b), (None, near), (None, d), (None, d), (4, c + " end"), (1, ""), (1, "")]
+    docs = spark.createDataFrame([(i, t, "xx", "s", k) for k, (i, t) in enumerate(rows)], DOCUMENTS)
+    found = sorted((tuple(r) for r in jaccard_join.jaccard_components(docs).collect()), key=repr)
+    size = lambda t: len(shingle_set(hashes(words(t)), 3))
+    component = [1, 1, 1, 2, 1, None, None, None, 2, 1, 1]
+    assert found == sorted([(i, size(t), k) for (i, t), k in zip(rows, component)], key=repr)
+    left = sorted(((r.doc_id, r.text) for r in jaccard_join.without_copies(docs).collect()), key=repr)
+    assert left == sorted([(1, a), (1, b), (2, c), (None, d), (1, ""), (1, "")], key=repr)
+    assert jaccard_join.without_copies(docs.drop("source").withColumn("Key", docs["lang"])).columns == ["doc_id", "text", "lang", "n_chars", "Key"]
+
+
+def test_against_sql(documents):
+    texts = [t for t in corpus(3)[:90] if not isinstance(t, tuple)] + ["", None, "a b", "A\tb", "a"]
+    docs = documents(texts)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = sorted(con.sql(jaccard_join.oracle()).fetchall())
+    assert sorted(tuple(r) for r in jaccard_join.jaccard_components(docs).collect()) == want
+
+
 def test_connected_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1100)]

@@ -85,10 +85,14 @@ def test_against_sql(spark, files):
     assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in licences.licences(df).collect())
 
 
-def test_only_dataframe_functions(spark, files, tmp_path):
+def test_only_dataframe_functions_and_texts_are_read_once(spark, files, tmp_path):
     spark.createDataFrame(list(files.items()), FILES).write.parquet(str(tmp_path / "files"))
-    plan = licences.licences(spark.read.parquet(str(tmp_path / "files")))._jdf.queryExecution().toString()
-    assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "ExistingRDD", "Cartesian", "NestedLoop"))
+    table = spark.read.parquet(str(tmp_path / "files"))
+    plans = [df._jdf.queryExecution().toString() for df in (licences.own_licences(table), licences.licences(table))]
+    for plan in plans:
+        assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "ExistingRDD", "Cartesian", "NestedLoop"))
+    physical = plans[1][plans[1].index("Physical Plan") :]
+    assert "text#" not in physical and "rlike" not in physical.lower()
 
 
 def test_odd_rows(spark):

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import base64
 import gzip
 import hashlib
@@ -82,3 +83,14 @@ def test_odd_rows(spark):
     twice = warc.round_trip(spark.createDataFrame([(5, "a", "q"), (5, "a", "q")], PAGES)).collect()
     assert sorted((r.record_type, r.refers_to) for r in twice) == [("response", None), ("revisit", 5)]
     assert warc.round_trip(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_files_are_read_by_tasks_of_their_own(spark, tmp_path):
+    pages = spark.range(60).selectExpr("id as page_id", "concat('http://x/', id) as url", "concat(repeat(sha2(cast(id as string), 512), 20), id) as html")
+    path = f"file://{tmp_path}/w"
+    files = warc.write(pages, path, shard_bytes=20_000).count()
+    back = warc.read(spark, path)
+    assert files >= 6 and back.rdd.getNumPartitions() == files
+    held = back.select(F.spark_partition_id().alias("task"), "file").distinct()
+    assert held.select("task").distinct().count() == files == held.count()
+    assert sorted(r.page_id for r in back.collect()) == list(range(60))
