@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordercast.llm.common import new_path, prepare, stage
@@ -282,9 +282,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         out = pd.DataFrame(rows, columns=names)
         return out.assign(**{c: pd.array([r[names.index(c)] for r in rows], dtype="Int64") for c in ("page_id", "refers_to")})
 
+    # A task for each file: the manifest, a row per file, is numbered, and numbers are partitions.
     listed = manifest(spark, path).select("file")
-    # A task for each file; adaptive execution leaves partitions alone that were asked for by number.
-    return listed.repartition(max(listed.count(), 1)).mapInPandas(records, READ)
+    numbered = listed.withColumn("number", (F.row_number().over(Window.orderBy("file")) - 1).cast("int"))
+    dealt = numbered.repartitionById(max(listed.count(), 1), F.col("number"))
+    return dealt.select("file").mapInPandas(records, READ)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, **sizes) -> DataFrame:
