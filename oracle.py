@@ -247,6 +247,8 @@ _QUERIES = {
     "assign_destination": f"SELECT {_LINE_KEYS}, {_DEST} AS Dest FROM raw",
     "lookup_lines": f"""SELECT {_CLEAN_COLUMNS} FROM typed WHERE Product_Code = 'Brand#20' AND Warehouse = 'Whse_A'
         AND Product_Category = 'LARGE' AND "Date" = DATE '1998-08-29'""",
+    "lookup_lines_indexed": f"""SELECT {_CLEAN_COLUMNS} FROM typed WHERE Product_Code = 'Brand#20' AND Warehouse = 'Whse_A'
+        AND Product_Category = 'LARGE' AND "Date" = DATE '1998-08-29'""",
     "drop_missing_dates": f'SELECT {_CLEAN_COLUMNS} FROM typed WHERE "Date" IS NOT NULL',
     "missing_dates": f'SELECT {_CLEAN_COLUMNS} FROM typed WHERE "Date" IS NULL',
     "clip_date_range": f"SELECT {_CLEAN_COLUMNS} FROM clipped",

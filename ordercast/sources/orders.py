@@ -75,6 +75,23 @@ def write_orders(lines: DataFrame, path: str) -> None:
     writer.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
+#: The columns that single lines are looked up by.
+LOOKUP_KEYS = ["Product_Code", "Warehouse", "Product_Category", "Date"]
+
+
+def write_lookup(lines: DataFrame, path: str, **options: str) -> None:
+    """Order lines laid out for look-ups (``clean.lookup_lines``), as parquet.
+
+    Each file is sorted by the look-up columns, so its row groups and pages have narrow ranges, and has Bloom filters
+    of products and categories, so files and row groups that lack the wanted one are skipped although it lies between
+    their smallest and largest. Nothing is shuffled: a partition is sorted where it is. ``options`` go to the writer.
+    """
+    writer = lines.sortWithinPartitions(*LOOKUP_KEYS).write.options(**options)
+    for column in ("Product_Code", "Product_Category"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(path)
+
+
 #: What a run of the forecast logs.
 OUTPUTS = ("forecast", "dow_curve", "warehouse_share")
 _MANIFEST = "run_date date, sequence long, commit string, format string, schemas map<string,string>"

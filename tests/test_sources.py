@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows_of
+from ordercast.operators import clean
 from ordercast.plans import staging
-from ordercast.sources.orders import read_forecast, read_orders, write_forecast, write_orders
+from ordercast.sources.orders import read_forecast, read_orders, write_forecast, write_lookup, write_orders
 
 D = dt.date
 COLUMNS = "Product_Code string, Warehouse string, Product_Category string, Date string, Order_Demand string"
@@ -167,3 +168,39 @@ def test_csv_round_trip_of_odd_values(spark, tmp_path):
     raw = spark.createDataFrame([(v, w, "c", "d", "1") for v in values for w in values], COLUMNS)
     write_orders(raw, str(tmp_path / "csv"))
     assert rows_of(read_orders(spark, str(tmp_path / "csv"))) == rows_of(raw)
+
+
+def _rows_read(df):
+    """What the scan of a collected plan without a shuffle let through."""
+    return df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+
+@pytest.mark.parametrize("dictionary", ["true", "false"])
+def test_lookups_skip_files_and_row_groups(spark, tmp_path, dictionary):
+    """Sixteen files with interleaved products: ranges alone would rule none out."""
+    columns = [
+        "concat('P', lpad(cast(id % 4000 as string), 6, '0')) Product_Code",
+        "'W' Warehouse",
+        "cast(id % 7 as string) Product_Category",
+        "date_add(date'2016-01-01', cast(id div 4000 as int)) Date",
+        "cast(id as double) Order_Demand",
+    ]
+    lines = spark.range(64_000).selectExpr(*columns, "cast(id % 16 as int) part").repartitionById(16, F.col("part")).drop("part")
+    layout = {"parquet.enable.dictionary": dictionary, "parquet.block.size": "65536", "parquet.page.size": "4096"}
+    write_lookup(lines, str(tmp_path / "sorted"), **layout)
+    lines.write.options(**layout).parquet(str(tmp_path / "plain"))
+    found = {}
+    for kind in ("sorted", "plain"):
+        df = clean.lookup_lines(spark.read.parquet(str(tmp_path / kind)), "P001234", "W", "2", D(2016, 1, 1))
+        found[kind] = rows_of(df)
+        df = df.select("*")
+        df.collect()
+        assert 0 <= _rows_read(df) <= 64_000
+        if kind == "sorted":
+            # Fifteen files of 4,000 lines have no such product, and most row groups or pages of the other neither.
+            assert _rows_read(df) <= 1_000
+    assert found["sorted"] == found["plain"] == [("P001234", "W", "2", D(2016, 1, 1), 1234.0)]
+    scan = spark.read.parquet(str(tmp_path / "sorted"))
+    absent = clean.lookup_lines(scan, "P001234x", "W", "2", D(2016, 1, 1))
+    absent.collect()
+    assert _rows_read(absent) == 0
