@@ -3,7 +3,8 @@
 Within a piece (the units that the tokenizer's pattern cuts a text into) the encoding of every
 prefix follows from those of shorter ones: exactly one vocabulary entry ends at each position and
 may follow the last token of the rest. "May follow" means that the two tokens, joined and encoded
-again, come out as the same two. So one pass gives the count at each position, and no prefix is
+again, come out as the same two. Which entries end at a position an automaton over the vocabulary tells, by its suffix
+links, longest first; no other stretch is looked at. So one pass gives the count at each position, and no prefix is
 encoded again: how long a text is, where it exceeds a budget, and what is left of it when cut at
 any character are look-ups.
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
@@ -57,7 +59,11 @@ class PrefixCounter:
         tokenizer = Tokenizer.from_file(path)
         self._encode = tokenizer.model.tokenize
         self._vocab = tokenizer.get_vocab(with_added_tokens=False)
-        self._longest = max(map(len, self._vocab))
+        #: Finds the entries that end at each position, longest first, by suffix links.
+        self._entries = ahocorasick.Automaton()
+        for token in self._vocab:
+            self._entries.add_word(token, (token, len(token) - 1))
+        self._entries.make_automaton()
         self._alphabet = byte_alphabet()
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self._special = re.compile("|".join(map(re.escape, added))) if added else None
@@ -88,21 +94,20 @@ class PrefixCounter:
             encoded = text.encode("utf-8", "replace")
             shown = "".join([letters[b] for b in encoded])
             ends = list(accumulate(len(c.encode("utf-8", "replace")) for c in text))
-        vocab, longest, follows, nothing = self._vocab, self._longest, self._follows, {}
-        last: list[str | None] = [None]
-        counts = [0]
-        for end in range(1, len(shown) + 1):
-            for start in range(end - 1, max(-1, end - longest - 1), -1):
-                token = shown[start:end]
-                if token in vocab:
-                    before = last[start]
-                    may = follows.get(before, nothing).get(token)
-                    if may or (may is None and self._learn(before, token)):
-                        last.append(token)
-                        counts.append(counts[start] + 1)
-                        break
-            else:
-                raise ValueError(f"the vocabulary has no encoding of {text!r}")
+        follows, nothing, done = self._follows, {}, -1
+        last: list[str | None] = [None] * (len(shown) + 1)
+        counts = [0] * (len(shown) + 1)
+        for end, (token, before) in self._entries.iter(shown):
+            if end == done:
+                continue
+            start = end - before
+            may = follows.get(last[start], nothing).get(token)
+            if may or (may is None and self._learn(last[start], token)):
+                last[end + 1] = token
+                counts[end + 1] = counts[start] + 1
+                done = end
+        if not all(counts[1:]):
+            raise ValueError(f"the vocabulary has no encoding of {text!r}")
         return counts[1:] if ends is None else [counts[e] for e in ends]
 
     def _piece(self, text: str) -> list[int]:
