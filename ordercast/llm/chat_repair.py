@@ -145,8 +145,11 @@ def repaired(conversations: DataFrame, costs: Costs = Costs(), longest: int = 10
         row = part.iloc[0][["conv_id", "task", "piece"]].to_dict()
         return pd.DataFrame([row | {"costs": best.ravel().tolist(), "actions": sum(actions, [])}])
 
+    # Dealt by number: the rows are few bytes and much work, and adaptive execution would put them into one task.
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     stretches = stage(
         placed.select("conv_id", "task", "piece", "place", "role")
+        .repartition(n, "task", "piece")
         .groupBy("task", "piece")
         .applyInPandas(tables, f"conv_id {id_type}, task int, piece int, costs array<long>, actions array<string>"),
         "stretches",
@@ -164,6 +167,7 @@ def repaired(conversations: DataFrame, costs: Costs = Costs(), longest: int = 10
     # A row per stretch without its choices: a conversation of a million turns has a thousand of them.
     ways = (
         stretches.select("conv_id", "task", "piece", "costs")
+        .repartition(n, "conv_id")
         .groupBy("conv_id")
         .applyInPandas(choose, "task int, piece int, before int, after int, added string, final boolean, cost long")
     )
