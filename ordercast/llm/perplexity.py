@@ -1,110 +1,128 @@
-"""Quality rules on words, and bands on the perplexity of a modified Kneser-Ney model.
-
-The model predicts a word from the two before it (texts are padded with two start marks). Trigrams, bigrams and
-words of all documents are counted, and none is dropped, so the model grows with the corpus; it is spread over
-hash partitions and never in one place (see :func:`losses`). Words that nothing was counted for are spelled: below the
-words stands a second model, of the symbols of a word.
-
-That one predicts a symbol from the three before it (``ORDER`` 4, words padded with start marks and closed by an end
-mark). Characters fold into 64 symbols: letters in both cases, digits, classes of punctuation, and code point classes
-for the rest. An n-gram then is a number below 64**4, its own perfect hash, so this model has a bound, 64**4 entries,
-and is sent to every task. It says how likely an unknown word is, and how usual a text's spelling.
-
-In both, adjusted counts give three discounts per order and interpolated probabilities. Of the counts of words a
-document's own are taken off first, exactly, at each order: it is judged by what the others have. Otherwise each of its
-rare trigrams, junk too, would vouch for itself.
-
-A document has two scores, the mean of -log p over its symbols by its words and by their spelling. For each language,
-the median and spread of the scores of all its documents give bands; short documents, whose mean is less certain, get
-as much wider ones. Spelling has a lower and an upper band. Words have an upper one only, by the spread above the
-median: below it, a document's words are those of others, and its likes are copies, which are not of low quality (at
-sf0.1, a lower band of words loses 280 of 3,330 documents labelled good). A document outside of a band is rejected, and
-so is one that the basic rules reject: fewer than ``min_words`` words, or too many words in repeated 5-word windows.
-
-Null text has no words. A null language is a language of its own, and so is each other value. A language
-whose documents are all alike has a band of the least width. Other columns are left as they are; repeated
-rows are judged alike, and each knows the other's words.
+"""Quality rules on words, and bands on the perplexity of a modified Kneser-Ney model of symbols.
+
+The model predicts a symbol from the ``ORDER - 1`` before it, across words: a text is its characters, with runs of
+blanks as one and all digits alike. Characters fold into ``SYMBOLS`` symbols (ASCII and the next 896 code points have
+one each, later ones share theirs), so an n-gram is a number, its own hash, and longer contexts follow by shifting.
+
+**Counting.** Documents are dealt into blocks of neighbouring rows. A block sends its distinct n-grams with their
+counts, sorted and packed, to hash partitions; n-grams whose last context symbols agree meet in one partition, so all
+contexts and all shorter n-grams down to three symbols do too. Partitions add up and write sorted arrays of n-grams and
+counts: the model, which grows with the corpus and is never in one place. N-grams of two symbols, at most
+``SYMBOLS**2``, are added up by the driver and sent to every task. An n-gram comes at most once from a block, so
+frequent ones make no partition large.
+
+**Scoring.** Every document is judged by the model of the *other half* of the corpus (halves by the text's hash, so
+exact copies are in one half): otherwise rare n-grams, junk too, would vouch for themselves. Partitions answer each block
+for the n-grams it asked; a block's answers are one file, read by the task that has its texts. Texts are never
+shuffled. Adjusted counts give three discounts per order and interpolated probabilities; what the other half hasn't
+seen falls back to shorter contexts.
+
+**Bands.** A score is the mean of -log p over a text's symbols. For each language, the median and the spread of
+all documents' scores that pass the basic rules give a lower and an upper band; means of fewer symbols are less
+certain, so the spread is that of deviations times the root of the number of symbols, and short texts have
+wider bands. Documents outside are taken out of the counts and all is scored again, ``refits`` times: what a
+corpus has much of, mess too, looks usual until it no longer counts. Rejected are the documents outside of the last bands and
+those that the basic rules reject: fewer than ``min_words`` words, or too many words in repeated 5-word windows.
+
+Null is the empty text. It has no words, fails the basic rules and changes no band. Documents of a null language have
+bands of their own. Rows that repeat an id are judged one by one. Texts of any length are read to the end, a text in one
+piece; an empty table gives no rows; :func:`keep` hands on other columns, whatever their names, and
+:func:`verdicts` doesn't read them. Ties at a band's edge are inside.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.parquet as pq
+import zstandard
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordercast.llm.common import REMEMBERED, SLICE_CHARS, prepare, runs, stage
-from ordercast.llm.words import hashes, join, windows, words
+from ordercast.llm.common import fresh, new_path, prepare, slices, stage
+from ordercast.llm.words import hashes, mix, windows, words
 
-ORDER = 4
-SYMBOLS = 64
-START, END = 0, 1
+ORDER, BITS = 5, 10
+SYMBOLS = 1 << BITS
+START, BLANK, ZERO = 0, ord(" "), ord("0")
+#: The shortest n-grams that partitions hold; shorter ones are bounded.
+LEAST = 3
+PAIRS = SYMBOLS**2
+PARTS = 256
+#: Rows of a file that make up a block.
+BLOCK_ROWS = 2048
 
 
 def _symbols() -> np.ndarray:
     """The symbol of each ASCII character."""
-    table = np.full(128, 58, dtype=np.int32)
-    table[ord("a") : ord("z") + 1] = np.arange(2, 28)
-    table[ord("A") : ord("Z") + 1] = np.arange(28, 54)
-    table[ord("0") : ord("9") + 1] = 54
-    for symbol, characters in ((55, ".,"), (56, "'\"-:;!?()"), (57, "#*$%&|<>")):
-        table[[ord(c) for c in characters]] = symbol
+    table = np.arange(128, dtype=np.int64)
+    table[0] = 1
+    table[9:14] = BLANK
+    table[ZERO : ZERO + 10] = ZERO
     return table
 
 
 _TABLE = _symbols()
-
-
-def ngrams(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-grams of words, as numbers, and the index of each one's word."""
-    texts = [w.decode("utf-8", "replace") for w in found]
-    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), dtype="<u4")
-    inside = np.where(points < 128, _TABLE[np.minimum(points, 127)], 59 + points % 5).astype(np.int32)
-    # Each word takes three start marks, its symbols and an end mark.
-    ends = np.cumsum(sizes + ORDER)
-    padded = np.full(ends[-1] if len(ends) else 0, START, dtype=np.int32)
-    padded[ends - 1] = END
-    word = np.repeat(np.arange(len(texts)), sizes)
-    padded[np.arange(len(inside)) + ORDER * word + ORDER - 1] = inside
-    grams = np.zeros(len(padded), dtype=np.int32)
+_MARK = 0x110000  # no character
+_MARKS = _MARK.to_bytes(4, "little") * (ORDER - 1)
+
+
+def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of texts, one per symbol, as numbers, and the index of each one's text."""
+    coded = [t.encode("utf-32-le", "replace") for t in texts]
+    points = np.frombuffer(_MARKS + _MARKS.join(coded), dtype="<u4").astype(np.int64)
+    sizes = np.fromiter((len(c) // 4 + ORDER - 1 for c in coded), dtype=np.int64, count=len(coded))
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    points = points[: len(owner)]
+    symbols = np.where(points < 128, _TABLE[np.minimum(points, 127)], 128 + points % (SYMBOLS - 128))
+    symbols[points == _MARK] = START
+    blank = symbols == BLANK
+    blank[1:] &= blank[:-1].copy()
+    blank[:1] = False
+    symbols, owner = symbols[~blank], owner[~blank]
+    grams = np.zeros(len(symbols), dtype=np.int64)
     for k in range(ORDER):
-        grams[ORDER - 1 :] += padded[k : len(padded) - ORDER + 1 + k] << 6 * (ORDER - 1 - k) if len(padded) else 0
-    owner = np.repeat(np.arange(len(texts)), sizes + ORDER)
-    start = np.repeat(ends - sizes - ORDER, sizes + ORDER)
-    real = np.arange(len(padded)) - start >= ORDER - 1
+        grams[k:] |= symbols[: len(symbols) - k] << BITS * k
+    real = symbols != START
     return grams[real], owner[real]
 
 
-def _sum_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def half_of(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace")) & 1
+
+
+def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     unique, back = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(back, weights=values, minlength=len(unique)).astype(np.int64)
+    return unique, *(np.bincount(back, weights=v, minlength=len(unique)).astype(np.int64) for v in values)
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """(gram, n): the 4-grams of all words of all documents. Tasks add up before the shuffle."""
+def _pack(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor().compress(np.ascontiguousarray(values).tobytes())
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, totals = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for texts in runs(batch["text"]):
-                seen = Counter()
-                for t in texts:
-                    seen.update(words(t, fold=False))
-                new, owner = ngrams(list(seen))
-                times = np.fromiter(seen.values(), dtype=np.int64, count=len(seen))
-                grams, totals = _sum_by(np.concatenate([grams, new]), np.concatenate([totals, times[owner]]))
-        yield pd.DataFrame({"gram": grams, "n": totals})
 
-    partial = docs.select("text").mapInPandas(counted, "gram int, n long")
-    return partial.groupBy("gram").agg(F.sum("n").alias("n"))
+def _unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=0))
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data))
+
+
+def part_of(grams: np.ndarray) -> np.ndarray:
+    """The partition, by the last symbols of the context that n-grams of ``LEAST`` symbols have."""
+    context = (grams >> BITS) % SYMBOLS ** (LEAST - 1)
+    return (mix(context.astype(np.uint64) + np.uint64(1)) % np.uint64(PARTS)).astype(np.int64)
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
@@ -121,86 +139,7 @@ def _discounts_of(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.array([0.0, *(min(max(d, 0.05), k) for k, d in enumerate(took, 1))])
 
 
-@dataclass
-class Model:
-    """Per order: sorted n-gram hashes, their log probabilities; sorted context hashes, their log weights."""
-
-    grams: list[np.ndarray] = field(default_factory=list)
-    log_p: list[np.ndarray] = field(default_factory=list)
-    contexts: list[np.ndarray] = field(default_factory=list)
-    log_weight: list[np.ndarray] = field(default_factory=list)
-
-    @staticmethod
-    def of(grams: np.ndarray, counts: np.ndarray) -> Model:
-        """Modified Kneser-Ney from the counts of all 4-grams (sorted by gram)."""
-        tables = [(grams.astype(np.int64), counts.astype(np.int64), counts.astype(np.int64))]
-        for k in range(ORDER - 1, 0, -1):
-            longer, _, raw = tables[0]
-            shorter = longer % SYMBOLS**k
-            keys, total = _sum_by(shorter, raw)
-            _, before = _sum_by(shorter, np.ones(len(shorter)))
-            # An n-gram at the start of a word has nothing before it: its own count is used.
-            adjusted = np.where(keys // SYMBOLS ** (k - 1) == START, total, before)
-            tables.insert(0, (keys, adjusted, total))
-        model = Model()
-        for k, (keys, adjusted, _) in enumerate(tables, 1):
-            take = _discounts(adjusted)
-            off = take[np.minimum(adjusted, 3)]
-            contexts, back = np.unique(keys // SYMBOLS, return_inverse=True)
-            total = np.bincount(back, weights=adjusted, minlength=len(contexts))
-            weight = np.bincount(back, weights=off, minlength=len(contexts)) / np.maximum(total, 1)
-            shorter = 1 / SYMBOLS if k == 1 else np.exp(model.look(k - 1, keys % SYMBOLS ** (k - 1)))
-            p = (adjusted - off) / total[back] + weight[back] * shorter
-            model.grams.append(keys)
-            model.log_p.append(np.log(p))
-            model.contexts.append(contexts)
-            model.log_weight.append(np.log(weight))
-        return model
-
-    def look(self, order: int, grams: np.ndarray) -> np.ndarray:
-        """log p of n-grams of one order: their own entry, or else the context's weight and a shorter one's."""
-        if order == 0:
-            return np.full(len(grams), -math.log(SYMBOLS))
-        keys = self.grams[order - 1]
-        if not len(keys):
-            return self.look(order - 1, grams % SYMBOLS ** (order - 1))
-        at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-        out = self.log_p[order - 1][at]
-        if len(lost := np.flatnonzero(keys[at] != grams)):
-            missed = grams[lost]
-            contexts = self.contexts[order - 1]
-            c = np.minimum(np.searchsorted(contexts, missed // SYMBOLS), len(contexts) - 1)
-            known = contexts[c] == missed // SYMBOLS
-            shorter = self.look(order - 1, missed % SYMBOLS ** (order - 1))
-            out[lost] = shorter + np.where(known, self.log_weight[order - 1][c], 0.0)
-        return out
-
-
-def fit(docs: DataFrame) -> Model:
-    """The model of all documents. To the driver come at most 64**4 counts."""
-    prepare(docs.sparkSession)
-    table: pa.Table = count(docs).toArrow()
-    grams, n = table["gram"].to_numpy(), table["n"].to_numpy()
-    order = np.argsort(grams)
-    return Model.of(grams[order], n[order])
-
-
-class _WordScores(dict):
-    """-log p of the words seen by a worker, filled in run by run."""
-
-    def add(self, model: Model, texts: list[list[bytes]]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = list(set().union(*texts).difference(self))
-        for k in range(0, len(new), 100_000):
-            part = new[k : k + 100_000]
-            grams, owner = ngrams(part)
-            total = np.bincount(owner, weights=-model.look(ORDER, grams.astype(np.int64)), minlength=len(part))
-            self.update(zip(part, total.tolist()))
-
-
 _SIGNS = b"#*$%&|<>"
-FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, symbols long, block long"
 
 
 def basics(text: str, found: list[bytes]) -> tuple[int, int, int, int, int]:
@@ -228,350 +167,361 @@ def basics(text: str, found: list[bytes]) -> tuple[int, int, int, int, int]:
     return n, word_chars, n_symbols, again, repeated
 
 
-def measured(text: Column) -> Column:
-    """A struct of the basic counts, the number of symbols, and a block: texts of a task, about ``SLICE_CHARS`` long."""
+@dataclass
+class Level:
+    """N-grams of one length, sorted, with the raw and adjusted counts of both halves."""
+
+    grams: np.ndarray
+    raw: list[np.ndarray]
+    adjusted: list[np.ndarray]
 
-    @F.pandas_udf(FIELDS)
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        block, size = TaskContext.get().partitionId() << 32, 0
+
+def levels(grams: np.ndarray, counts: list[np.ndarray]) -> list[Level]:
+    """From ``ORDER`` symbols down to ``LEAST`` - 1. The last one's counts are a partition's share of them."""
+    out = [Level(grams, counts, counts)]
+    for k in range(ORDER - 1, LEAST - 2, -1):
+        longer = out[-1]
+        parts = [*longer.raw, *((a > 0) for a in longer.adjusted)]
+        keys, *sums = _sum_by(longer.grams % SYMBOLS**k, *parts)
+        # Nothing but marks can stand before a mark: an n-gram that begins with one keeps its own count.
+        first = keys >> BITS * (k - 1) == START
+        out.append(Level(keys, sums[:2], [np.where(first, raw, before) for raw, before in zip(sums[:2], sums[2:])]))
+    return out
+
+
+def mixed(grams: np.ndarray, counts: np.ndarray, take: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Interpolated probabilities of sorted n-grams; those of unknown contexts are the shorter n-grams'."""
+    off = take[np.minimum(counts, 3)]
+    new = np.diff(grams >> BITS, prepend=-1) != 0
+    context = np.cumsum(new) - 1
+    total = np.bincount(context, weights=counts)[context] if len(grams) else np.zeros(0)
+    weight = np.bincount(context, weights=off)[context] if len(grams) else np.zeros(0)
+    some = np.maximum(total, 1)
+    return np.where(total > 0, (counts - off) / some + weight / some * shorter, shorter)
+
+
+ASKED = "part int, block long, grams binary, n binary"
+MODEL = "part int, grams binary, n binary, pairs binary, pair_n binary, classes binary"
+ANSWERED = "block long, grams binary, p binary"
+
+
+def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with two columns more, and their names: each row's block and its number in its file.
+
+    Both come from the files that ``docs`` is read from, however a scan is split; if it isn't, it is written first.
+    """
+    names = fresh(docs, "block"), fresh(docs, "place")
+    path, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    half = F.xxhash64(path, F.floor(index / BLOCK_ROWS))
+    place = lambda d: d.select("*", F.shiftleft(F.shiftright(half, 1), 1).alias(names[0]), index.alias(names[1]))
+    try:
+        return place(docs), *names
+    except AnalysisException:
+        return place(stage(docs, "documents")), *names
+
+
+def _asks(block: int, halves: list[list[tuple]], sign: int) -> Iterator[tuple]:
+    """A block's rows for partitions; blocks have even numbers, to which the half is added."""
+    for half, found in enumerate(halves):
+        if found:
+            grams, n = _sum_by(np.concatenate([g for g, _ in found]), np.concatenate([c for _, c in found]))
+            part = part_of(grams)
+            order = np.argsort(part, kind="stable")
+            for places in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                if len(places):
+                    yield int(part[places[0]]), block + half, _pack_sorted(grams[places]), _pack(sign * n[places])
+
+
+def _counted(block: int, texts: list[str], halves: list[list[tuple]]) -> None:
+    for part in slices(map(len, texts)):
+        grams, owner = ngrams(texts[part])
+        half = np.array([half_of(t) for t in texts[part]], dtype=np.int64)[owner]
+        for h in (0, 1):
+            halves[h].append(np.unique(grams[half == h], return_counts=True))
+
+
+def count(texts: DataFrame, block: str, column: str = "text", sign: int = 1) -> DataFrame:
+    """Distinct n-grams of each block and half with their counts times ``sign``, packed, a row per partition (``ASKED``)."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, halves = None, [[], []]
         for batch in batches:
-            rows = []
-            for texts in runs(batch):
-                for t in texts:
-                    if size >= SLICE_CHARS:
-                        block, size = block + 1, 0
-                    size += len(t)
-                    base = basics(t, words(t, fold=False))
-                    rows.append((*base, base[1] + base[0], block))
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in FIELDS.split(", ")])
-
-    return measure.asNondeterministic()(text)
-
-
-#: The hash of the mark before a text's first word.
-BEFORE = np.uint64(0x5374617274)
-#: Words of the corpus for each hash partition; in small corpora there are at most ``FEW`` partitions, for tasks to share.
-PART_WORDS, FEW, SMALL = 3_000_000, 48, 50_000
-#: Rows between tasks. ``kind``: n-grams of 3, 2 or 1 words of a block (or, without one, numbers to add to them); minus
-#: that, the block's answer; 0, counts of counts. ``words`` are distinct hashes, ``keys`` n-grams as places in them.
-ROW = "kind int, part int, block long, words binary, keys binary, numbers binary"
-_COLUMNS = [f.split()[0] for f in ROW.split(", ")]
-_NOBODY = -1
-
-
-class Grams:
-    """The n-grams of a block of texts: of every word, the place of its n-grams among the distinct ones."""
-
-    def __init__(self, texts: list[str]):
-        found = [words(t, fold=False) for t in texts]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        self.words = [w for ws in found for w in ws]
-        self.doc = np.repeat(np.arange(len(found)), sizes)
-        at = np.arange(len(self.words)) + 2 * (self.doc + 1)
-        padded = np.full(len(self.words) + 2 * len(found), BEFORE, dtype=np.uint64)
-        padded[at] = hashes(self.words)
-        a, b, c = padded[at - 2], padded[at - 1], padded[at]
-        n = len(at)
-        self.starts = b == BEFORE
-        #: By order: distinct n-grams, as columns of words, sorted by hash; their hashes.
-        self.distinct: dict[int, tuple[list[np.ndarray], np.ndarray]] = {}
-        self.trigram = self._index(3, [a, b, c])
-        pairs = self._index(2, [np.concatenate([a, b]), np.concatenate([b, c])])
-        self.context, self.pair = pairs[:n], pairs[n:]
-        singles = self._index(1, [np.concatenate([b, c])])
-        self.middle, self.last = singles[:n], singles[n:]
-
-    def _index(self, order: int, columns: list[np.ndarray]) -> np.ndarray:
-        keys, first, place = np.unique(join(*columns), return_index=True, return_inverse=True)
-        self.distinct[order] = [c[first] for c in columns], keys
-        return place
-
-
-def _dealt(kind: int, columns: list[np.ndarray], keys: np.ndarray, numbers: np.ndarray, block: int, parts: int) -> Iterator[tuple]:
-    """Rows of n-grams, a row for each partition. ``numbers`` has a column for each n-gram."""
-    part = (keys % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    for places in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-        if len(places):
-            known, at = np.unique(np.concatenate([c[places] for c in columns]), return_inverse=True)
-            at = at.astype(np.uint16 if len(known) <= 1 << 16 else np.uint32)
-            yield kind, int(part[places[0]]), block, known.tobytes(), at.tobytes(), np.ascontiguousarray(numbers[:, places]).tobytes()
-
-
-def _read(row, order: int) -> np.ndarray:
-    known = np.frombuffer(row.words, dtype=np.uint64)
-    at = np.frombuffer(row.keys, dtype=np.uint16 if len(known) <= 1 << 16 else np.uint32)
-    return known[at].reshape(order, -1)
-
-
-def _ask(texts: list[str], block: int, parts: int) -> Iterator[tuple]:
-    """The distinct n-grams of a block; the trigrams with their counts."""
-    grams = Grams(texts)
-    for order, (columns, keys) in grams.distinct.items():
-        counts = np.bincount(grams.trigram, minlength=len(keys))[None] if order == 3 else np.zeros((0, len(keys)))
-        yield from _dealt(order, columns, keys, counts.astype(np.int64), block, parts)
-
-
-def _classes(n: np.ndarray) -> list[np.ndarray]:
-    """Which counts are 1, 2, and 3 or more."""
-    return [n == 1, n == 2, n >= 3]
-
-
-def _sum_columns(columns: list[np.ndarray], numbers: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams, their hashes, the sums of their numbers, and the place of each one given."""
-    keys, first, place = np.unique(join(*columns), return_index=True, return_inverse=True)
-    sums = [np.bincount(place, weights=row, minlength=len(keys)).astype(np.int64) for row in numbers]
-    return [c[first] for c in columns], keys, np.array(sums).reshape(len(numbers), len(keys)), place
-
-
-#: Numbers of a trigram: how often it occurs. Of a pair: how often; after how many different words; then, as a
-#: context, how often, and how many trigrams it has in each class. Of a word: after how many different words;
-#: then, as a context, the sum of adjusted counts, and how many pairs it has in each class.
-_NUMBERS = {3: 1, 2: 6, 1: 5}
-
-
-def _adjusted(first_is_mark: np.ndarray, often: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Adjusted counts of pairs. At the start of a text nothing else can stand before: their own count is used."""
-    return np.where(first_is_mark, often, after)
-
-
-def _add_up(rows: pd.DataFrame, order: int, parts: int) -> Iterator[tuple]:
-    """Adds up a partition's n-grams of one order. Answers to blocks, numbers for the next lower order, counts of counts."""
-    rows = list(rows.itertuples(index=False))
-    read = [_read(r, order) for r in rows]
-    columns = list(np.concatenate(read, axis=1))
-    width = _NUMBERS[order]
-    given = [
-        np.frombuffer(r.numbers, dtype=np.int64).reshape(width, -1) if r.numbers else np.zeros((width, g.shape[1]), dtype=np.int64)
-        for r, g in zip(rows, read)
-    ]
-    columns, keys, sums, place = _sum_columns(columns, np.concatenate(given, axis=1))
-    at = 0
-    for r, g in zip(rows, read):
-        if r.block != _NOBODY:
-            yield -order, int(r.part), int(r.block), b"", b"", np.ascontiguousarray(sums[:, place[at : at + g.shape[1]]]).tobytes()
-        at += g.shape[1]
-    counts = sums[0]
-    if order > 1:
-        if order == 3:
-            zero = np.zeros_like(counts)
-            tail = [counts, zero + 1, zero, zero, zero, zero]
-            context = [zero, zero, counts, *_classes(counts)]
-        else:
-            real = np.flatnonzero(sums[0])
-            columns, sums = [c[real] for c in columns], sums[:, real]
-            counts = _adjusted(columns[0] == BEFORE, sums[0], sums[1])
-            zero = np.zeros_like(counts)
-            tail = [zero + 1, zero, zero, zero, zero]
-            context = [zero, counts, *_classes(counts)]
-        both = [np.concatenate([c, d]) for c, d in zip(columns[1:], columns[:-1])]
-        lower, keys, numbers, _ = _sum_columns(both, np.concatenate([np.array(tail), np.array(context)], axis=1).astype(np.int64))
-        yield from _dealt(order - 1, lower, keys, numbers, _NOBODY, parts)
-    of = np.array([*((counts == k).sum() for k in range(1, 5)), (counts > 0).sum(), counts.sum()], dtype=np.int64)
-    yield 0, order, _NOBODY, b"", b"", of.tobytes()
+            blocks = batch.column(0).to_numpy()
+            for rows in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1):
+                if not len(rows):
+                    continue
+                if at is not None and blocks[rows[0]] != at:
+                    yield _batch(list(_asks(at, halves, sign)), ASKED)
+                    halves = [[], []]
+                at = int(blocks[rows[0]])
+                _counted(at, [t or "" for t in batch.column(1).take(pa.array(rows)).to_pylist()], halves)
+        if at is not None:
+            yield _batch(list(_asks(at, halves, sign)), ASKED)
 
+    return texts.select(block, column).mapInArrow(counted, ASKED)
 
-def _frame(rows: Iterator[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(list(rows), columns=_COLUMNS)
 
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
 
-def _log(x: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.log(x)
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows) if rows else [[] for _ in fields]
+    arrays = [pa.array(list(c), type=_KINDS[k]) for c, (_, k) in zip(columns, fields)]
+    return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
 
-def _mixed(count: np.ndarray, total: np.ndarray, classes: list[np.ndarray], take: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """log p of n-grams from adjusted counts, their context's total and classes, and log p of the shorter n-gram."""
-    known = total > 0
-    off = sum(take[k] * c for k, c in enumerate(classes, 1))
-    own = np.where(known, (count - take[np.minimum(count, 3)]) / np.maximum(total, 1), 0.0)
-    weight = np.where(known, off / np.maximum(total, 1), 1.0)
-    return np.logaddexp(_log(own), _log(weight) + shorter)
 
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
 
-def _without(classes: list[np.ndarray], owner: np.ndarray, before: np.ndarray, now: np.ndarray) -> list[np.ndarray]:
-    """The sizes of classes after counts, each belonging to an ``owner``, have gone down."""
-    n = len(classes[0])
-    gone = zip(classes, _classes(before), _classes(now))
-    return [c - np.bincount(owner, b, minlength=n).astype(np.int64) + np.bincount(owner, a, minlength=n).astype(np.int64) for c, b, a in gone]
 
+def _add_up(rows: pd.DataFrame) -> pd.DataFrame:
+    """A partition of the model: its n-grams, the counts of both halves, and what others need of it."""
+    grams = [_unpack_sorted(g) for g in rows["grams"]]
+    n = [_unpack(c) for c in rows["n"]]
+    half = [np.full(len(g), b & 1) for g, b in zip(grams, rows["block"])]
+    half, n = np.concatenate(half), np.concatenate(n)
+    grams, *counts = _sum_by(np.concatenate(grams), n * (half == 0), n * (half == 1))
+    *held, pairs = levels(grams, counts)
+    classes = [[(level.adjusted[h] == c).sum() for c in range(1, 5)] for level in held for h in (0, 1)]
+    row = (
+        int(rows["part"].iloc[0]), _pack_sorted(grams), _pack(np.array(counts)),
+        _pack_sorted(pairs.grams), _pack(np.array(pairs.adjusted)), np.array(classes, dtype=np.int64).tobytes(),
+    )
+    return _frame([row], MODEL)
 
-def _score(texts: list[str], numbers: dict[int, np.ndarray], totals: dict[int, np.ndarray], spelling: Model) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of -log p of each text's words, its own n-grams not counted, and of their spelling.
 
-    ``numbers``: for each order the numbers of the block's distinct n-grams; ``totals``: counts of counts.
-    """
-    grams = Grams(texts)
-    if not grams.words:
-        return np.zeros(len(texts)), np.zeros(len(texts))
-    take = {k: _discounts_of(*map(int, t[:4])) for k, t in totals.items()}
-    add = lambda owner, x, n: np.bincount(owner, x, minlength=n).astype(np.int64)
-    per_text = lambda doc, place, n: np.unique(doc * n + place, return_index=True, return_inverse=True)
-    # The texts' own trigrams, each once.
-    n_pairs, n_words = numbers[2].shape[1], numbers[1].shape[1]
-    _, first, place = per_text(grams.doc, grams.trigram, numbers[3].shape[1])
-    own = np.bincount(place)
-    doc, all3 = grams.doc[first], numbers[3][0][grams.trigram[first]]
-    left3 = all3 - own
-    # What is left of their contexts.
-    _, c_first, context = per_text(doc, grams.context[first], n_pairs)
-    of = numbers[2][:, grams.context[first][c_first]]
-    total3 = of[2] - add(context, own, len(c_first))
-    classes3 = _without(list(of[3:]), context, all3, left3)
-    # Of their pairs.
-    _, p_first, pair = per_text(doc, grams.pair[first], n_pairs)
-    of, p_doc, at = numbers[2][:, grams.pair[first][p_first]], doc[p_first], first[p_first]
-    often = of[0] - add(pair, own, len(p_first))
-    after = of[1] - add(pair, left3 == 0, len(p_first))
-    all2 = _adjusted(grams.starts[at], of[0], of[1])
-    left2 = _adjusted(grams.starts[at], often, after)
-    # Of the pairs' contexts.
-    _, m_first, middle = per_text(p_doc, grams.middle[at], n_words)
-    of = numbers[1][:, grams.middle[at][m_first]]
-    total2 = of[1] - add(middle, all2 - left2, len(m_first))
-    classes2 = _without(list(of[2:]), middle, all2, left2)
-    # And of the words.
-    _, w_first, word = per_text(p_doc, grams.last[at], n_words)
-    all1, w_doc = numbers[1][0][grams.last[at][w_first]], p_doc[w_first]
-    left1 = all1 - add(word, often == 0, len(w_first))
-    n1, n2, _, _, distinct, total = totals[1]
-    total1 = total - add(w_doc, all1 - left1, len(texts))
-    classes1 = _without([np.full(len(texts), k) for k in (n1, n2, distinct - n1 - n2)], w_doc, all1, left1)
-
-    spelled = _WordScores()
-    spelled.add(spelling, [grams.words])
-    each = np.array([spelled[w] for w in grams.words])
-    p0 = -each[at[w_first]]
-    p1 = _mixed(left1, total1[w_doc], [c[w_doc] for c in classes1], take[1], p0)
-    p2 = _mixed(left2, total2[middle], [c[middle] for c in classes2], take[2], p1[word])
-    p3 = _mixed(left3, total3[context], [c[context] for c in classes3], take[3], p2[pair])
-    return np.bincount(doc, -own * p3, minlength=len(texts)), np.bincount(grams.doc, each, minlength=len(texts))
-
-
-def losses(texts: DataFrame, n_words: int, spelling) -> DataFrame:
-    """(row, total, spelled): the sums of -log p of each text's words, and of their spelling. ``texts``: row, block, text; ``spelling`` is broadcast.
-
-    Each block sends its distinct trigrams, packed, to the partitions of their hashes, which add up, answer the block,
-    and send on what follows from the sums for pairs, in the same way, and these for words. An n-gram comes at most
-    once from each block or partition, however frequent it is, so none makes a partition large. What
-    partitions say is written; with their answers at hand, blocks score their texts.
-    """
-    parts = max(min(FEW, n_words // SMALL), n_words // PART_WORDS, 1)
-
-    def ask(part: pd.DataFrame) -> pd.DataFrame:
-        return _frame(_ask(["" if t is None else t for t in part["text"]], int(part["block"].iloc[0]), parts))
-
-    def add_up(order: int):
-        return lambda part: _frame(_add_up(part, order, parts))
-
-    asked = texts.select("block", "text").groupBy("block").applyInPandas(ask, ROW)
-    lower = asked = stage(asked, "asked")
-    said = []
-    for order in (3, 2, 1):
-        rows = asked if order == 3 else asked.unionAll(lower)
-        lower = stage(rows.where(F.col("kind") == order).groupBy("part").applyInPandas(add_up(order), ROW), f"order_{order}")
-        said.append(lower)
-    totals = {k: np.zeros(6, dtype=np.int64) for k in (1, 2, 3)}
-    for table in said:
-        for order, numbers in table.where("kind = 0").select("part", "numbers").toLocalIterator():
-            totals[order] += np.frombuffer(numbers, dtype=np.int64)
-    answers = said[0].unionAll(said[1]).unionAll(said[2]).where("kind < 0").select("kind", "part", "block", "numbers")
-
-    def score(part: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
-        found = ["" if t is None else t for t in part["text"]]
-        numbers = {}
-        # Answers stand by partition; n-grams by hash.
-        for order, (_, keys) in Grams(found).distinct.items():
-            mine = answered[answered["kind"] == -order].sort_values("part")["numbers"]
-            got = [np.frombuffer(b, dtype=np.int64).reshape(_NUMBERS[order], -1) for b in mine]
-            numbers[order] = np.zeros((_NUMBERS[order], len(keys)), dtype=np.int64)
-            if got:
-                numbers[order][:, np.argsort(keys % np.uint64(parts), kind="stable")] = np.concatenate(got, axis=1)
-        total, spelled = _score(found, numbers, totals, spelling.value)
-        return pd.DataFrame({"row": part["row"].to_numpy(), "total": total, "spelled": spelled})
-
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "row long, total double, spelled double")
-
-
-def bands(scored: DataFrame, lang: str = "lang", bin_width: float = 0.001, score: str = "loss") -> DataFrame:
-    """(band_lang, centre, spread, rise) of a score per language, over all its documents with words.
-
-    Median and quartiles are exact to ``bin_width``: counts per bin, of which a language has a few
-    thousand at most. ``spread`` comes from both quartiles, ``rise`` from the upper one.
+def fit(asked: DataFrame) -> tuple[DataFrame, list[np.ndarray], np.ndarray]:
+    """The written model; for both halves the probabilities of pairs; discounts by length and half.
+
+    To the driver come ``PARTS`` rows with at most ``PAIRS`` counts each.
     """
-    bins = F.round(F.col(score) / bin_width).cast("int")
-    counts = scored.where("symbols > 0").groupBy(F.col(lang).alias("band_lang"), bins.alias("bin"))
+    model = stage(asked.groupBy("part").applyInPandas(_add_up, MODEL), "model")
+    pairs = np.zeros((2, PAIRS), dtype=np.int64)
+    classes = np.zeros((ORDER - LEAST + 1, 2, 4), dtype=np.int64)
+    for row in model.select("pairs", "pair_n", "classes").toLocalIterator():
+        at = _unpack_sorted(row.pairs)
+        pairs[:, at] += _unpack(row.pair_n).reshape(2, -1)
+        classes += np.frombuffer(row.classes, dtype=np.int64).reshape(classes.shape)
+    take = np.array([[_discounts_of(*map(int, c)) for c in level] for level in classes])
+    return model, [_of_pairs(n) for n in pairs], take
+
+
+def _of_pairs(n: np.ndarray) -> np.ndarray:
+    """Probabilities of all pairs."""
+    singles = (n.reshape(SYMBOLS, SYMBOLS) > 0).sum(axis=0)
+    zero = np.full(SYMBOLS, 1 / SYMBOLS)
+    one = mixed(np.arange(SYMBOLS), singles, _discounts(singles), zero)
+    return mixed(np.arange(PAIRS), n, _discounts(n), np.tile(one, SYMBOLS))
+
+
+def _probabilities(grams: np.ndarray, counts: list[np.ndarray], pairs: list[np.ndarray], take: np.ndarray) -> list[np.ndarray]:
+    """By both halves' models, of all n-grams of a partition."""
+    held = levels(grams, counts)[:-1]
+    out = []
+    for h in (0, 1):
+        shorter, p = None, None
+        for k, level in zip(range(LEAST, ORDER + 1), reversed(held)):
+            rest = level.grams % SYMBOLS ** (k - 1)
+            lower = pairs[h][rest] if shorter is None else p[np.searchsorted(shorter, rest)]
+            shorter, p = level.grams, mixed(level.grams, level.adjusted[h], take[ORDER - k, h], lower)
+        out.append(p)
+    return out
+
+
+def answer(asked: DataFrame, model: DataFrame, pairs: list[np.ndarray], take: np.ndarray) -> str:
+    """Where the answers are: a folder for each block and half, with a row of its n-grams and their log p."""
+    sent = asked.sparkSession.sparkContext.broadcast((pairs, take))
+
+    def answered(asks: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        grams = _unpack_sorted(part["grams"].iloc[0])
+        p = _probabilities(grams, list(_unpack(part["n"].iloc[0]).reshape(2, -1)), *sent.value)
+        logs = [np.log(q).astype(np.float32) for q in p]
+        rows = []
+        for block, mine in zip(asks["block"], asks["grams"]):
+            of = logs[1 - (block & 1)][np.searchsorted(grams, _unpack_sorted(mine))]
+            rows.append((block, mine, _pack(of)))
+        return _frame(rows, ANSWERED)
+
+    def gathered(rows: pd.DataFrame) -> pd.DataFrame:
+        grams = np.concatenate([_unpack_sorted(g) for g in rows["grams"]])
+        p = np.concatenate([_unpack(b, np.float32) for b in rows["p"]])
+        order = np.argsort(grams)
+        return _frame([(rows["block"].iloc[0], _pack_sorted(grams[order]), _pack(p[order]))], ANSWERED)
+
+    by_part = asked.select("part", "block", "grams").groupBy("part").cogroup(model.groupBy("part"))
+    answers = by_part.applyInPandas(answered, ANSWERED).groupBy("block").applyInPandas(gathered, ANSWERED)
+    path = new_path(asked.sparkSession, "answers")
+    answers.write.partitionBy("block").parquet(path)
+    return path
+
+
+def _row_of(path: str, block: int) -> dict | None:
+    """The row of a block in a table written by block."""
+    files, root = fs.FileSystem.from_uri(path)
+    found = fs.FileSelector(f"{root}/block={block}", allow_not_found=True)
+    for f in files.get_file_info(found):
+        if f.base_name.endswith(".parquet"):
+            return pq.ParquetFile(files.open_input_file(f.path)).read().to_pylist()[0]
+    return None
+
+
+class Answers:
+    """The log p of the n-grams of the block at hand."""
+
+    def __init__(self, path: str):
+        self.path, self.block, self.known = path, None, {}
+
+    def losses(self, block: int, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of symbols of each text, and the sum of their -log p."""
+        if block != self.block:
+            self.block, self.known = block, {}
+        grams, owner = ngrams(texts)
+        half = np.array([half_of(t) for t in texts], dtype=np.int64)[owner]
+        loss = np.zeros(len(grams))
+        for h in (0, 1):
+            if (mine := half == h).any():
+                if h not in self.known:
+                    row = _row_of(self.path, block + h)
+                    self.known[h] = _unpack_sorted(row["grams"]), _unpack(row["p"], np.float32)
+                keys, p = self.known[h]
+                loss[mine] = -p[np.searchsorted(keys, grams[mine])]
+        n = len(texts)
+        return np.bincount(owner, minlength=n), np.bincount(owner, weights=loss, minlength=n)
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def score(texts: DataFrame, block: str, path: str, column: str = "text", base: bool = True) -> DataFrame:
+    """``texts`` without ``column``, with symbols, loss (mean of -log p) and, with ``base``, the basic counts."""
+    names = [*(BASE if base else ()), "symbols", "loss"]
+    others = [c for c in texts.columns if c != column]
+    schema = texts.select(others).schema
+    for name in names:
+        schema = schema.add(name, "double" if name == "loss" else "long")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers = Answers(path)
+        for batch in batches:
+            blocks = batch.column(block).to_numpy()
+            values = [t or "" for t in batch.column(column).to_pylist()]
+            out = []
+            for rows in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1):
+                mine = values[rows[0] : rows[-1] + 1] if len(rows) else []
+                for part in slices(map(len, mine)):
+                    n, total = answers.losses(int(blocks[rows[0]]), mine[part])
+                    found = [basics(t, words(t, fold=False)) for t in mine[part]] if base else [()] * len(n)
+                    out += [(*b, int(k), s / max(k, 1)) for b, k, s in zip(found, n, total.tolist())]
+            columns = list(zip(*out)) if out else [[] for _ in names]
+            arrays = [pa.array(c, type=pa.float64() if m == "loss" else pa.int64()) for m, c in zip(names, columns)]
+            kept = [batch.column(c) for c in others]
+            yield pa.RecordBatch.from_arrays([*kept, *arrays], names=[*others, *names])
+
+    return texts.mapInArrow(scored, schema)
+
+
+def _quartiles(scored: DataFrame, lang: str, value: Column, bin_width: float) -> DataFrame:
+    """(band_lang, q1, q2, q3), exact to ``bin_width``, from counts per bin."""
+    counts = scored.groupBy(F.col(lang).alias("band_lang"), F.round(value / bin_width).cast("long").alias("bin"))
     counts = counts.agg(F.count(F.lit(1)).alias("n"))
     whole = Window.partitionBy("band_lang")
     upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counts.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(whole)})
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) * bin_width
-    quartiles = ranked.groupBy("band_lang").agg(at(0.25).alias("q1"), at(0.5).alias("centre"), at(0.75).alias("q3"))
-    return quartiles.select(
-        "band_lang",
-        "centre",
-        F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(0.02)).alias("spread"),
-        F.greatest((F.col("q3") - F.col("centre")) / 0.6745, F.lit(0.02)).alias("rise"),
-    )
+    return ranked.groupBy("band_lang").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
 
 
-#: Standard deviation of -log p of one symbol, for texts of few symbols.
-NOISE = 2.0
+#: A language's own spread of long texts, at least; and of one symbol, at least.
+OWN, ONE = 0.01, 0.5
 
 
 def judged(
     scored: DataFrame, lang: str = "lang", width: float = 4.0, min_words: int = 10, max_repeated: int = 20
 ) -> DataFrame:
-    """``scored`` (with the fields of :func:`measured`, ``loss`` and ``spelling``) and base_failed, upper, kept and so on."""
-    by_words, by_letters = (bands(scored, lang, score=c).withColumnRenamed("band_lang", f"{c}_lang") for c in ("loss", "spelling"))
-    by_words = by_words.select("loss_lang", F.struct("centre", "rise").alias("by_words"))
-    by_letters = by_letters.select("spelling_lang", F.struct("centre", "spread").alias("by_letters"))
-    limits = by_words.join(by_letters, F.col("loss_lang").eqNullSafe(F.col("spelling_lang"))).drop("spelling_lang")
-    joined = scored.join(F.broadcast(limits), scored[lang].eqNullSafe(limits["loss_lang"]), "left").drop("loss_lang")
-    noise = NOISE**2 / F.greatest("symbols", F.lit(1))
-    half = width * F.sqrt(F.col("by_letters.spread") ** 2 + noise)
-    lower, upper = F.col("by_letters.centre") - half, F.col("by_letters.centre") + half
-    most = F.col("by_words.centre") + width * F.sqrt(F.col("by_words.rise") ** 2 + noise)
+    """``scored`` with base_failed, the language's bands at the text's length, perplexity and kept."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words"))
-    inside = F.col("spelling").between(lower, upper) & (F.col("loss") <= most)
+    scored = scored.withColumn("base_failed", failed)
+    usual = scored.where(~failed & (F.col("symbols") > 0))
+    with_band = lambda df, bands: df.join(bands, df[lang].eqNullSafe(bands["band_lang"]), "left").drop("band_lang")
+    centres = _quartiles(usual, lang, F.col("loss"), 0.001).select("band_lang", F.col("q2").alias("centre"))
+    apart = (F.col("loss") - F.col("centre")) * F.sqrt("symbols")
+    spreads = _quartiles(with_band(usual, centres), lang, apart, 0.01)
+    spreads = spreads.select("band_lang", F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(ONE)).alias("spread"))
+    joined = with_band(with_band(scored, centres), spreads)
+    half = width * F.sqrt(OWN**2 + F.col("spread") ** 2 / F.greatest("symbols", F.lit(1)))
+    lower, upper = F.col("centre") - half, F.col("centre") + half
     return joined.withColumns(
         {
-            "base_failed": failed,
-            "upper": F.exp(most),
             "perplexity": F.exp("loss"),
-            "spelling_lower": F.exp(lower),
-            "spelling_upper": F.exp(upper),
-            "spelling_perplexity": F.exp("spelling"),
-            "kept": ~failed & F.coalesce(inside, F.lit(False)),
+            "lower": F.exp(lower),
+            "upper": F.exp(upper),
+            "kept": ~failed & F.coalesce(F.col("loss").between(lower, upper), F.lit(False)),
         }
-    ).drop("by_words", "by_letters")
-
-
-def _scored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` as written with the number of each row (number, d), and the measures by row (row, lang, ...)."""
-    spark = docs.sparkSession
-    spelling = spark.sparkContext.broadcast(fit(docs))
-    columns = F.struct(*docs.columns).alias("d")
-    written = stage(docs.select(columns, F.monotonically_increasing_id().alias("row"), measured(F.col("text")).alias("m")), "measured")
-    texts = written.select("row", F.col("m.block").alias("block"), F.col("d.text").alias("text"))
-    n_words = written.agg(F.sum("m.n_words")).first()[0] or 0
-    found = stage(losses(texts, n_words, spelling), "losses")
-    base = written.select("row", F.col("d.lang").alias("lang"), "m.*").drop("block")
-    mean = lambda c: F.coalesce(c, F.lit(0.0)) / F.greatest("symbols", F.lit(1))
-    scored = base.join(found, "row", "left").withColumns({"loss": mean("total"), "spelling": mean("spelled")})
-    return written.select("row", "d"), scored.drop("total", "spelled")
+    ).drop("centre", "spread")
+
+
+def _places(rows: DataFrame, block: str, place: str) -> str:
+    """Where the places of ``rows`` are, a folder for each block with a row; a block has ``BLOCK_ROWS`` at most."""
+    path = new_path(rows.sparkSession, "places")
+    found = rows.groupBy(F.col(block).alias("block")).agg(F.collect_list(place).alias("places"))
+    found.write.partitionBy("block").parquet(path)
+    return path
+
+
+def _among(path: str) -> Callable[[Column, Column], Column]:
+    """A condition on block and place: whether the row is one of those that :func:`_places` has written."""
+
+    @F.pandas_udf("boolean")
+    def among(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        at, known = None, set()
+        for blocks, places in batches:
+            out = []
+            for b, p in zip(blocks.tolist(), places.tolist()):
+                if b != at:
+                    at, row = b, _row_of(path, b)
+                    known = set(row["places"]) if row else set()
+                out.append(p in known)
+            yield pd.Series(out, dtype=bool)
+
+    return among
+
+
+def _judged(texts: DataFrame, block: str, place: str, lang: str, refits: int = 2, trim: float = 2.0, **rules) -> DataFrame:
+    """The verdicts, written, on ``texts`` (block, place, lang and so on, text): all columns but the text."""
+    asked = stage(count(texts, block), "asked")
+    counts, found = asked, None
+    for k in range(refits + 1):
+        path = answer(asked, *fit(counts))
+        scored = score(texts if k == 0 else texts.select(block, place, "text"), block, path, base=k == 0)
+        scored = stage(scored, "scored")
+        if k == 0:
+            found = scored
+        else:
+            again = scored.select(F.col(block).alias("b"), F.col(place).alias("p"), F.col("loss").alias("now"))
+            found = found.join(again, (F.col(block) == F.col("b")) & (F.col(place) == F.col("p")))
+            found = stage(found.withColumn("loss", F.col("now")).drop("b", "p", "now"), "found")
+        if k < refits:
+            # What is outside of narrower bands no longer counts: its n-grams are taken off.
+            inner = judged(found, lang, **rules | {"width": trim})
+            outside = _among(_places(inner.where("NOT kept"), block, place))
+            off = count(texts.select(block, place, "text").where(outside(F.col(block), F.col(place))), block, sign=-1)
+            counts = asked.unionAll(stage(off, "taken_off"))
+    return judged(found, lang, **rules)
 
 
 def verdicts(docs: DataFrame, **rules) -> DataFrame:
-    """doc_id, the basic counts, base_failed, both perplexities, the language's bands at the text's length, kept."""
-    written, scored = _scored(docs.select("doc_id", "lang", "text"))
-    ids = written.select("row", F.col("d.doc_id").alias("doc_id"))
-    scored = stage(ids.join(scored, "row").drop("row"), "scored")
-    return judged(scored, **rules).drop("lang", "symbols", "loss", "spelling")
+    """doc_id, the basic counts, base_failed, the perplexity, the language's bands at the text's length, kept."""
+    prepare(docs.sparkSession)
+    rows, block, place = located(docs)
+    texts = rows.select("doc_id", "lang", block, place, "text")
+    return _judged(texts, block, place, "lang", **rules).drop("lang", "symbols", "loss", block, place)
 
 
 def keep(docs: DataFrame, **rules) -> DataFrame:
-    """``docs`` without the rejected ones; all columns as they were. The texts are written once in between."""
-    written, scored = _scored(docs)
-    kept = judged(stage(scored, "scored"), **rules).where("kept").select("row")
-    return written.join(kept, "row", "left_semi").select("d.*")
+    """``docs`` without the rejected ones; all columns as they were."""
+    prepare(docs.sparkSession)
+    rows, block, place = located(docs)
+    verdict = _judged(rows.select("lang", block, place, "text"), block, place, "lang", **rules)
+    inside = _among(_places(verdict.where("kept"), block, place))
+    return rows.where(inside(F.col(block), F.col(place))).select(*(F.col(f"`{c}`") for c in docs.columns))
