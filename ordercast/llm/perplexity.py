@@ -57,7 +57,7 @@ LEAST = 3
 PAIRS = SYMBOLS**2
 PARTS = 256
 #: Rows of a file that make up a block.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 16_384
 
 
 def _symbols() -> np.ndarray:
@@ -346,8 +346,9 @@ def answer(asked: DataFrame, model: DataFrame, pairs: list[np.ndarray], take: np
     def gathered(rows: pd.DataFrame) -> pd.DataFrame:
         grams = np.concatenate([_unpack_sorted(g) for g in rows["grams"]])
         p = np.concatenate([_unpack(b, np.float32) for b in rows["p"]])
-        order = np.argsort(grams)
-        return _frame([(rows["block"].iloc[0], _pack_sorted(grams[order]), _pack(p[order]))], ANSWERED)
+        # Tasks that share a block ask for some n-grams twice.
+        grams, first = np.unique(grams, return_index=True)
+        return _frame([(rows["block"].iloc[0], _pack_sorted(grams), _pack(p[first]))], ANSWERED)
 
     by_part = asked.select("part", "block", "grams").groupBy("part").cogroup(model.groupBy("part"))
     answers = by_part.applyInPandas(answered, ANSWERED).groupBy("block").applyInPandas(gathered, ANSWERED)
