@@ -12,15 +12,17 @@ counts: the model, which grows with the corpus and is never in one place. N-gram
 frequent ones make no partition large.
 
 **Scoring.** Every document is judged by the model of the *other half* of the corpus (halves by the text's hash, so
-exact copies are in one half): otherwise rare n-grams, junk too, would vouch for themselves. Partitions answer each block
-for the n-grams it asked; a block's answers are one file, read by the task that has its texts. Texts are never
+exact copies are in one half): otherwise rare n-grams, junk too, would vouch for themselves. A partition is a file, and
+with its arrays stand the places in them of what each block has sent. So partitions answer every block without
+another shuffle of n-grams; a block's answers are one file, read by the task that has its texts. Texts are never
 shuffled. Adjusted counts give three discounts per order and interpolated probabilities; what the other half hasn't
-seen falls back to shorter contexts.
+seen falls back to shorter contexts. Answers are log p in steps of ``1 / STEPS``.
 
 **Bands.** A score is the mean of -log p over a text's symbols. For each language, the median and the spread of
 all documents' scores that pass the basic rules give a lower and an upper band; means of fewer symbols are less
 certain, so the spread is that of deviations times the root of the number of symbols, and short texts have
-wider bands. Documents outside are taken out of the counts and all is scored again, ``refits`` times: what a
+wider bands. Documents outside are taken out of the counts and all is scored again, ``refits`` times (their n-grams are
+counted once more, and partitions take them off as they are read): what a
 corpus has much of, mess too, looks usual until it no longer counts. Rejected are the documents outside of the last bands and
 those that the basic rules reject: fewer than ``min_words`` words, or too many words in repeated 5-word windows.
 
@@ -58,6 +60,8 @@ PAIRS = SYMBOLS**2
 PARTS = 256
 #: Rows of a file that make up a block.
 BLOCK_ROWS = 16_384
+#: Answers are whole numbers of such parts of a unit.
+STEPS = 1 << 16
 
 
 def _symbols() -> np.ndarray:
@@ -104,11 +108,14 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor().compress(np.ascontiguousarray(values).tobytes())
+    """Compressed, all first bytes of the numbers before all second ones and so on: high bytes are mostly 0."""
+    planes = np.ascontiguousarray(values).reshape(-1, 1).view(np.uint8).T
+    return zstandard.ZstdCompressor().compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
@@ -201,8 +208,13 @@ def mixed(grams: np.ndarray, counts: np.ndarray, take: np.ndarray, shorter: np.n
 
 
 ASKED = "part int, block long, grams binary, n binary"
-MODEL = "part int, grams binary, n binary, pairs binary, pair_n binary, classes binary"
-ANSWERED = "block long, grams binary, p binary"
+MODEL = (
+    "part int, grams binary, n binary, blocks array<long>, asks array<binary>, "
+    "pairs binary, pair_n binary, classes binary"
+)
+TAKEN = "part int, grams binary, n binary"
+FACTS = "pairs binary, pair_n binary, classes binary"
+ANSWERED = "block long, part int, grams binary, p binary"
 
 
 def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
@@ -220,7 +232,7 @@ def located(docs: DataFrame) -> tuple[DataFrame, str, str]:
         return place(stage(docs, "documents")), *names
 
 
-def _asks(block: int, halves: list[list[tuple]], sign: int) -> Iterator[tuple]:
+def _asks(block: int, halves: list[list[tuple]]) -> Iterator[tuple]:
     """A block's rows for partitions; blocks have even numbers, to which the half is added."""
     for half, found in enumerate(halves):
         if found:
@@ -229,7 +241,7 @@ def _asks(block: int, halves: list[list[tuple]], sign: int) -> Iterator[tuple]:
             order = np.argsort(part, kind="stable")
             for places in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
                 if len(places):
-                    yield int(part[places[0]]), block + half, _pack_sorted(grams[places]), _pack(sign * n[places])
+                    yield int(part[places[0]]), block + half, _pack_sorted(grams[places]), _pack(n[places])
 
 
 def _counted(block: int, texts: list[str], halves: list[list[tuple]]) -> None:
@@ -240,8 +252,8 @@ def _counted(block: int, texts: list[str], halves: list[list[tuple]]) -> None:
             halves[h].append(np.unique(grams[half == h], return_counts=True))
 
 
-def count(texts: DataFrame, block: str, column: str = "text", sign: int = 1) -> DataFrame:
-    """Distinct n-grams of each block and half with their counts times ``sign``, packed, a row per partition (``ASKED``)."""
+def count(texts: DataFrame, block: str, column: str = "text") -> DataFrame:
+    """Distinct n-grams of each block and half with their counts, packed, a row per partition (``ASKED``)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, halves = None, [[], []]
@@ -251,12 +263,12 @@ def count(texts: DataFrame, block: str, column: str = "text", sign: int = 1) ->
                 if not len(rows):
                     continue
                 if at is not None and blocks[rows[0]] != at:
-                    yield _batch(list(_asks(at, halves, sign)), ASKED)
+                    yield _batch(list(_asks(at, halves)), ASKED)
                     halves = [[], []]
                 at = int(blocks[rows[0]])
                 _counted(at, [t or "" for t in batch.column(1).take(pa.array(rows)).to_pylist()], halves)
         if at is not None:
-            yield _batch(list(_asks(at, halves, sign)), ASKED)
+            yield _batch(list(_asks(at, halves)), ASKED)
 
     return texts.select(block, column).mapInArrow(counted, ASKED)
 
@@ -275,36 +287,87 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
 
 
-def _add_up(rows: pd.DataFrame) -> pd.DataFrame:
-    """A partition of the model: its n-grams, the counts of both halves, and what others need of it."""
-    grams = [_unpack_sorted(g) for g in rows["grams"]]
-    n = [_unpack(c) for c in rows["n"]]
-    half = [np.full(len(g), b & 1) for g, b in zip(grams, rows["block"])]
-    half, n = np.concatenate(half), np.concatenate(n)
-    grams, *counts = _sum_by(np.concatenate(grams), n * (half == 0), n * (half == 1))
-    *held, pairs = levels(grams, counts)
+def _added(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The n-grams of each row, all of them, and the counts of both halves (two rows)."""
+    each = [_unpack_sorted(g) for g in rows["grams"]]
+    n = np.concatenate([_unpack(c) for c in rows["n"]])
+    half = np.concatenate([np.full(len(g), b & 1) for g, b in zip(each, rows["block"])])
+    grams, *counts = _sum_by(np.concatenate(each), n * (half == 0), n * (half == 1))
+    return each, grams, np.array(counts)
+
+
+def _facts(grams: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """What all partitions need of one: its share of the pairs, and how many n-grams were counted 1 to 4 times."""
+    *held, pairs = levels(grams, list(counts))
     classes = [[(level.adjusted[h] == c).sum() for c in range(1, 5)] for level in held for h in (0, 1)]
-    row = (
-        int(rows["part"].iloc[0]), _pack_sorted(grams), _pack(np.array(counts)),
-        _pack_sorted(pairs.grams), _pack(np.array(pairs.adjusted)), np.array(classes, dtype=np.int64).tobytes(),
-    )
+    return _pack_sorted(pairs.grams), _pack(np.array(pairs.adjusted)), np.array(classes, dtype=np.int64).tobytes()
+
+
+def _add_up(rows: pd.DataFrame) -> pd.DataFrame:
+    """A partition of the model: its n-grams, the counts of both halves, where each block's n-grams are, its facts."""
+    each, grams, counts = _added(rows)
+    asked: dict[int, list[np.ndarray]] = {}
+    for block, mine in zip(rows["block"].tolist(), each):
+        asked.setdefault(block, []).append(np.searchsorted(grams, mine))
+    # Tasks that share a block send some n-grams twice.
+    asks = [_pack_sorted(at[0] if len(at) == 1 else np.unique(np.concatenate(at))) for at in asked.values()]
+    row = int(rows["part"].iloc[0]), _pack_sorted(grams), _pack(counts), list(asked), asks, *_facts(grams, counts)
     return _frame([row], MODEL)
 
 
-def fit(asked: DataFrame) -> tuple[DataFrame, list[np.ndarray], np.ndarray]:
-    """The written model; for both halves the probabilities of pairs; discounts by length and half.
+def _taken(rows: pd.DataFrame) -> pd.DataFrame:
+    """What is to be taken off a partition's counts."""
+    _, grams, counts = _added(rows)
+    return _frame([(int(rows["part"].iloc[0]), _pack_sorted(grams), _pack(counts))], TAKEN)
+
+
+def _left(part: int, grams: np.ndarray, n: bytes, off: str | None) -> np.ndarray:
+    """A partition's counts of both halves, less what the table ``off`` says."""
+    counts = _unpack(n).reshape(2, -1).copy()
+    if off and (row := _row_of(off, "part", part)):
+        counts[:, np.searchsorted(grams, _unpack_sorted(row["grams"]))] -= _unpack(row["n"]).reshape(2, -1)
+    return counts
+
+
+def _by(df: DataFrame, column: str, name: str) -> str:
+    """Write ``df``, a folder for each value of ``column``, and say where."""
+    path = new_path(df.sparkSession, name)
+    df.write.partitionBy(column).parquet(path)
+    return path
+
+
+def fit(asked: DataFrame) -> DataFrame:
+    """The written model, a row and file for each partition."""
+    path = _by(asked.groupBy("part").applyInPandas(_add_up, MODEL), "part", "model")
+    return asked.sparkSession.read.schema(MODEL).parquet(path)
+
+
+def take_off(asked: DataFrame) -> str:
+    """Where the sums of these counts are, by partition."""
+    return _by(asked.groupBy("part").applyInPandas(_taken, TAKEN), "part", "taken_off")
+
+
+def shared(model: DataFrame, off: str | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """For both halves the probabilities of pairs; discounts by length and half.
 
     To the driver come ``PARTS`` rows with at most ``PAIRS`` counts each.
     """
-    model = stage(asked.groupBy("part").applyInPandas(_add_up, MODEL), "model")
+
+    def reduced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                grams = _unpack_sorted(row.grams)
+                yield _frame([_facts(grams, _left(row.part, grams, row.n, off))], FACTS)
+
+    facts = model.select("part", "grams", "n").mapInPandas(reduced, FACTS) if off else model
     pairs = np.zeros((2, PAIRS), dtype=np.int64)
     classes = np.zeros((ORDER - LEAST + 1, 2, 4), dtype=np.int64)
-    for row in model.select("pairs", "pair_n", "classes").toLocalIterator():
+    for row in facts.select("pairs", "pair_n", "classes").toLocalIterator():
         at = _unpack_sorted(row.pairs)
         pairs[:, at] += _unpack(row.pair_n).reshape(2, -1)
         classes += np.frombuffer(row.classes, dtype=np.int64).reshape(classes.shape)
     take = np.array([[_discounts_of(*map(int, c)) for c in level] for level in classes])
-    return model, [_of_pairs(n) for n in pairs], take
+    return [_of_pairs(n) for n in pairs], take
 
 
 def _of_pairs(n: np.ndarray) -> np.ndarray:
@@ -329,72 +392,99 @@ def _probabilities(grams: np.ndarray, counts: list[np.ndarray], pairs: list[np.n
     return out
 
 
-def answer(asked: DataFrame, model: DataFrame, pairs: list[np.ndarray], take: np.ndarray) -> str:
-    """Where the answers are: a folder for each block and half, with a row of its n-grams and their log p."""
-    sent = asked.sparkSession.sparkContext.broadcast((pairs, take))
+def answer(model: DataFrame, off: str | None = None, keys: bool = True) -> str:
+    """Where the answers are: a folder for each block and half, with a row of the log p of its n-grams.
 
-    def answered(asks: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        grams = _unpack_sorted(part["grams"].iloc[0])
-        p = _probabilities(grams, list(_unpack(part["n"].iloc[0]).reshape(2, -1)), *sent.value)
-        logs = [np.log(q).astype(np.float32) for q in p]
-        rows = []
-        for block, mine in zip(asks["block"], asks["grams"]):
-            of = logs[1 - (block & 1)][np.searchsorted(grams, _unpack_sorted(mine))]
-            rows.append((block, mine, _pack(of)))
-        return _frame(rows, ANSWERED)
+    They come in the order of :func:`_dealt`. With ``keys`` the sorted n-grams stand beside them.
+    """
+    sent = model.sparkSession.sparkContext.broadcast(shared(model, off))
+
+    def answered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                grams = _unpack_sorted(row.grams)
+                p = _probabilities(grams, list(_left(row.part, grams, row.n, off)), *sent.value)
+                logs = [np.rint(-np.log(q) * STEPS).astype(np.uint32) for q in p]
+                rows = []
+                for block, places in zip(row.blocks, row.asks):
+                    at = _unpack_sorted(places)
+                    named = _pack_sorted(grams[at]) if keys else None
+                    rows.append((int(block), row.part, named, _pack(logs[1 - (block & 1)][at])))
+                yield _frame(rows, ANSWERED)
 
     def gathered(rows: pd.DataFrame) -> pd.DataFrame:
-        grams = np.concatenate([_unpack_sorted(g) for g in rows["grams"]])
-        p = np.concatenate([_unpack(b, np.float32) for b in rows["p"]])
-        # Tasks that share a block ask for some n-grams twice.
-        grams, first = np.unique(grams, return_index=True)
-        return _frame([(rows["block"].iloc[0], _pack_sorted(grams), _pack(p[first]))], ANSWERED)
-
-    by_part = asked.select("part", "block", "grams").groupBy("part").cogroup(model.groupBy("part"))
-    answers = by_part.applyInPandas(answered, ANSWERED).groupBy("block").applyInPandas(gathered, ANSWERED)
-    path = new_path(asked.sparkSession, "answers")
-    answers.write.partitionBy("block").parquet(path)
-    return path
+        rows = rows.sort_values("part")
+        named = _pack_sorted(np.sort(np.concatenate([_unpack_sorted(g) for g in rows["grams"]]))) if keys else None
+        p = np.concatenate([_unpack(b, np.uint32) for b in rows["p"]])
+        return _frame([(int(rows["block"].iloc[0]), 0, named, _pack(p))], ANSWERED)
+
+    answers = model.select("part", "grams", "n", "blocks", "asks").mapInPandas(answered, ANSWERED)
+    return _by(answers.groupBy("block").applyInPandas(gathered, ANSWERED).drop("part"), "block", "answers")
 
 
-def _row_of(path: str, block: int) -> dict | None:
-    """The row of a block in a table written by block."""
+def _dealt(grams: np.ndarray) -> np.ndarray:
+    """The order in which sorted n-grams are answered: partition by partition."""
+    return np.argsort(part_of(grams), kind="stable")
+
+
+def _row_of(path: str, column: str, value: int) -> dict | None:
+    """The row of ``value`` in a table that :func:`_by` has written, if there is one."""
     files, root = fs.FileSystem.from_uri(path)
-    found = fs.FileSelector(f"{root}/block={block}", allow_not_found=True)
+    found = fs.FileSelector(f"{root}/{column}={value}", allow_not_found=True)
     for f in files.get_file_info(found):
         if f.base_name.endswith(".parquet"):
             return pq.ParquetFile(files.open_input_file(f.path)).read().to_pylist()[0]
     return None
 
 
+#: Texts that are looked up together: a text's number and an n-gram share 64 bits.
+_OWNER = 64 - ORDER * BITS
+
+
 class Answers:
-    """The log p of the n-grams of the block at hand."""
+    """The log p of the n-grams of the block at hand; ``keys`` is where the n-grams are."""
 
-    def __init__(self, path: str):
-        self.path, self.block, self.known = path, None, {}
+    def __init__(self, path: str, keys: str):
+        self.path, self.keys, self.block, self.known = path, keys, None, {}
+
+    def _known(self, half: int) -> tuple[np.ndarray, np.ndarray]:
+        if half not in self.known:
+            grams = _unpack_sorted(_row_of(self.keys, "block", self.block + half)["grams"])
+            loss = np.empty(len(grams))
+            loss[_dealt(grams)] = _unpack(_row_of(self.path, "block", self.block + half)["p"], np.uint32) / STEPS
+            self.known[half] = grams, loss
+        return self.known[half]
 
     def losses(self, block: int, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of symbols of each text, and the sum of their -log p."""
         if block != self.block:
             self.block, self.known = block, {}
+        step = 1 << _OWNER
+        found = [self._losses(texts[at : at + step]) for at in range(0, len(texts), step)]
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0))
+
+    def _losses(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         grams, owner = ngrams(texts)
         half = np.array([half_of(t) for t in texts], dtype=np.int64)[owner]
-        loss = np.zeros(len(grams))
+        loss = np.zeros(len(texts))
         for h in (0, 1):
-            if (mine := half == h).any():
-                if h not in self.known:
-                    row = _row_of(self.path, block + h)
-                    self.known[h] = _unpack_sorted(row["grams"]), _unpack(row["p"], np.float32)
-                keys, p = self.known[h]
-                loss[mine] = -p[np.searchsorted(keys, grams[mine])]
-        n = len(texts)
-        return np.bincount(owner, minlength=n), np.bincount(owner, weights=loss, minlength=n)
+            if not (mine := half == h).any():
+                continue
+            # Sorted together with their texts, each n-gram is looked up once, in order.
+            both = np.sort(grams[mine].astype(np.uint64) << np.uint64(_OWNER) | owner[mine].astype(np.uint64))
+            gram = (both >> np.uint64(_OWNER)).astype(np.int64)
+            first = np.flatnonzero(np.diff(gram, prepend=-1))
+            keys, known = self._known(h)
+            of = np.repeat(known[np.searchsorted(keys, gram[first])], np.diff(first, append=len(gram)))
+            text = (both & np.uint64((1 << _OWNER) - 1)).astype(np.int64)
+            loss += np.bincount(text, weights=of, minlength=len(texts))
+        return np.bincount(owner, minlength=len(texts)), loss
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def score(texts: DataFrame, block: str, path: str, column: str = "text", base: bool = True) -> DataFrame:
+def score(texts: DataFrame, block: str, path: str, keys: str, column: str = "text", base: bool = True) -> DataFrame:
     """``texts`` without ``column``, with symbols, loss (mean of -log p) and, with ``base``, the basic counts."""
     names = [*(BASE if base else ()), "symbols", "loss"]
     others = [c for c in texts.columns if c != column]
@@ -403,7 +493,7 @@ def score(texts: DataFrame, block: str, path: str, column: str = "text", base: b
         schema = schema.add(name, "double" if name == "loss" else "long")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers = Answers(path)
+        answers = Answers(path, keys)
         for batch in batches:
             blocks = batch.column(block).to_numpy()
             values = [t or "" for t in batch.column(column).to_pylist()]
@@ -464,10 +554,8 @@ def judged(
 
 def _places(rows: DataFrame, block: str, place: str) -> str:
     """Where the places of ``rows`` are, a folder for each block with a row; a block has ``BLOCK_ROWS`` at most."""
-    path = new_path(rows.sparkSession, "places")
     found = rows.groupBy(F.col(block).alias("block")).agg(F.collect_list(place).alias("places"))
-    found.write.partitionBy("block").parquet(path)
-    return path
+    return _by(found, "block", "places")
 
 
 def _among(path: str) -> Callable[[Column, Column], Column]:
@@ -480,7 +568,7 @@ def _among(path: str) -> Callable[[Column, Column], Column]:
             out = []
             for b, p in zip(blocks.tolist(), places.tolist()):
                 if b != at:
-                    at, row = b, _row_of(path, b)
+                    at, row = b, _row_of(path, "block", b)
                     known = set(row["places"]) if row else set()
                 out.append(p in known)
             yield pd.Series(out, dtype=bool)
@@ -490,11 +578,12 @@ def _among(path: str) -> Callable[[Column, Column], Column]:
 
 def _judged(texts: DataFrame, block: str, place: str, lang: str, refits: int = 2, trim: float = 2.0, **rules) -> DataFrame:
     """The verdicts, written, on ``texts`` (block, place, lang and so on, text): all columns but the text."""
-    asked = stage(count(texts, block), "asked")
-    counts, found = asked, None
+    model = fit(count(texts, block))
+    keys, off, found = None, None, None
     for k in range(refits + 1):
-        path = answer(asked, *fit(counts))
-        scored = score(texts if k == 0 else texts.select(block, place, "text"), block, path, base=k == 0)
+        path = answer(model, off, keys=k == 0)
+        keys = keys or path
+        scored = score(texts if k == 0 else texts.select(block, place, "text"), block, path, keys, base=k == 0)
         scored = stage(scored, "scored")
         if k == 0:
             found = scored
@@ -506,8 +595,7 @@ def _judged(texts: DataFrame, block: str, place: str, lang: str, refits: int = 2
             # What is outside of narrower bands no longer counts: its n-grams are taken off.
             inner = judged(found, lang, **rules | {"width": trim})
             outside = _among(_places(inner.where("NOT kept"), block, place))
-            off = count(texts.select(block, place, "text").where(outside(F.col(block), F.col(place))), block, sign=-1)
-            counts = asked.unionAll(stage(off, "taken_off"))
+            off = take_off(count(texts.select(block, place, "text").where(outside(F.col(block), F.col(place))), block))
     return judged(found, lang, **rules)
 
 
