@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordercast.llm.common import fresh, new_path, prepare, slices, stage
-from ordercast.llm.words import hashes, mix, windows, words
+from ordercast.llm.words import mix, windows, words
 
 ORDER, BITS = 5, 10
 SYMBOLS = 1 << BITS
@@ -64,37 +64,40 @@ BLOCK_ROWS = 16_384
 STEPS = 1 << 16
 
 
+_MARK = 0x110000  # no character
+_MARKS = _MARK.to_bytes(4, "little") * (ORDER - 1)
+
+
 def _symbols() -> np.ndarray:
-    """The symbol of each ASCII character."""
-    table = np.arange(128, dtype=np.int64)
+    """The symbol of each code point, and of the mark."""
+    table = np.arange(_MARK + 1, dtype=np.int64)
+    table[128:] = 128 + table[128:] % (SYMBOLS - 128)
     table[0] = 1
     table[9:14] = BLANK
     table[ZERO : ZERO + 10] = ZERO
+    table[_MARK] = START
     return table
 
 
 _TABLE = _symbols()
-_MARK = 0x110000  # no character
-_MARKS = _MARK.to_bytes(4, "little") * (ORDER - 1)
 
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of texts, one per symbol, as numbers, and the index of each one's text."""
     coded = [t.encode("utf-32-le", "replace") for t in texts]
-    points = np.frombuffer(_MARKS + _MARKS.join(coded), dtype="<u4").astype(np.int64)
     sizes = np.fromiter((len(c) // 4 + ORDER - 1 for c in coded), dtype=np.int64, count=len(coded))
+    symbols = _TABLE.take(np.frombuffer(_MARKS + _MARKS.join(coded), dtype="<i4"))[: sizes.sum()]
     owner = np.repeat(np.arange(len(texts)), sizes)
-    points = points[: len(owner)]
-    symbols = np.where(points < 128, _TABLE[np.minimum(points, 127)], 128 + points % (SYMBOLS - 128))
-    symbols[points == _MARK] = START
     blank = symbols == BLANK
-    blank[1:] &= blank[:-1].copy()
-    blank[:1] = False
-    symbols, owner = symbols[~blank], owner[~blank]
-    grams = np.zeros(len(symbols), dtype=np.int64)
-    for k in range(ORDER):
-        grams[k:] |= symbols[: len(symbols) - k] << BITS * k
+    again = np.flatnonzero(blank[1:] & blank[:-1])
+    if len(again):
+        symbols, owner = np.delete(symbols, again + 1), np.delete(owner, again + 1)
     real = symbols != START
+    # One symbol, two, four, and the fifth.
+    grams = symbols.copy()
+    grams[1:] |= symbols[:-1] << BITS
+    grams[2:] |= grams[:-2] << 2 * BITS
+    grams[ORDER - 1 :] |= symbols[: 1 - ORDER] << BITS * (ORDER - 1)
     return grams[real], owner[real]
 
 
@@ -102,6 +105,12 @@ def half_of(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "replace")) & 1
 
 
+def _halves(texts: list[str]) -> list[np.ndarray]:
+    """Which texts are in each half."""
+    half = np.fromiter(map(half_of, texts), dtype=np.int64, count=len(texts))
+    return [np.flatnonzero(half == h) for h in (0, 1)]
+
+
 def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     unique, back = np.unique(keys, return_inverse=True)
     return unique, *(np.bincount(back, weights=v, minlength=len(unique)).astype(np.int64) for v in values)
@@ -163,14 +172,15 @@ def basics(text: str, found: list[bytes]) -> tuple[int, int, int, int, int]:
         elif line and not line.isspace():
             seen.add(line)
     repeated = 0
-    w = windows(hashes(found), 5)
-    if len(w):
+    # Hashes that hold within this process will do: they are compared within a text.
+    w = windows(np.fromiter(map(hash, found), dtype=np.int64, count=n).view(np.uint64), 5)
+    if len(w) and not np.diff(np.sort(w)).all():
         _, back, times = np.unique(w, return_inverse=True, return_counts=True)
-        if (twice := times[back] > 1).any():
-            edges = np.zeros(n + 1, dtype=np.int64)
-            edges[: len(w)] += twice
-            edges[5 : 5 + len(w)] -= twice
-            repeated = int((np.cumsum(edges)[:n] > 0).sum())
+        twice = times[back] > 1
+        edges = np.zeros(n + 1, dtype=np.int64)
+        edges[: len(w)] += twice
+        edges[5 : 5 + len(w)] -= twice
+        repeated = int((np.cumsum(edges)[:n] > 0).sum())
     return n, word_chars, n_symbols, again, repeated
 
 
@@ -246,10 +256,8 @@ def _asks(block: int, halves: list[list[tuple]]) -> Iterator[tuple]:
 
 def _counted(block: int, texts: list[str], halves: list[list[tuple]]) -> None:
     for part in slices(map(len, texts)):
-        grams, owner = ngrams(texts[part])
-        half = np.array([half_of(t) for t in texts[part]], dtype=np.int64)[owner]
-        for h in (0, 1):
-            halves[h].append(np.unique(grams[half == h], return_counts=True))
+        for h, mine in enumerate(_halves(texts[part])):
+            halves[h].append(np.unique(ngrams([texts[part][k] for k in mine])[0], return_counts=True))
 
 
 def count(texts: DataFrame, block: str, column: str = "text") -> DataFrame:
@@ -464,21 +472,21 @@ class Answers:
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0))
 
     def _losses(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        grams, owner = ngrams(texts)
-        half = np.array([half_of(t) for t in texts], dtype=np.int64)[owner]
-        loss = np.zeros(len(texts))
-        for h in (0, 1):
-            if not (mine := half == h).any():
+        sizes, loss = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+        for h, mine in enumerate(_halves(texts)):
+            grams, owner = ngrams([texts[k] for k in mine])
+            if not len(grams):
                 continue
+            sizes[mine] = np.bincount(owner, minlength=len(mine))
             # Sorted together with their texts, each n-gram is looked up once, in order.
-            both = np.sort(grams[mine].astype(np.uint64) << np.uint64(_OWNER) | owner[mine].astype(np.uint64))
-            gram = (both >> np.uint64(_OWNER)).astype(np.int64)
+            both = np.sort((grams << _OWNER | owner).view(np.uint64))
+            gram = (both >> np.uint64(_OWNER)).view(np.int64)
             first = np.flatnonzero(np.diff(gram, prepend=-1))
             keys, known = self._known(h)
             of = np.repeat(known[np.searchsorted(keys, gram[first])], np.diff(first, append=len(gram)))
-            text = (both & np.uint64((1 << _OWNER) - 1)).astype(np.int64)
-            loss += np.bincount(text, weights=of, minlength=len(texts))
-        return np.bincount(owner, minlength=len(texts)), loss
+            text = (both & np.uint64((1 << _OWNER) - 1)).view(np.int64)
+            loss[mine] = np.bincount(text, weights=of, minlength=len(mine))
+        return sizes, loss
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
