@@ -18,6 +18,7 @@ separately. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -29,6 +30,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -42,39 +45,68 @@ _ADJACENT = re.compile(r"\s\s")
 _BLANK = re.compile(r"(?<=\S)(?= \S)")
 
 
-class _Remembered(dict):
-    """Encodings by word, made when first asked for; very long words are not kept."""
-
-    def __init__(self, encode):
-        self._encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        found = self._encode(word)
-        if len(word) <= 256:
-            self[word] = found
-        return found
+class _Remembered:
+    """Ids of parts of texts in arrays, encoded when first asked for; those not asked for lately are forgotten."""
+
+    #: Parts of more bytes are not kept.
+    LONGEST = 256
+
+    def __init__(self):
+        self.parts = pa.array([], pa.large_binary())
+        self.ids = np.zeros(0, dtype="<u4")
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self._asked = np.zeros(0, dtype=np.int64)
+        self._run = 0
+
+    def numbers(self, parts: pa.Array, encode) -> np.ndarray:
+        """Where these distinct parts stand, until the next call. ``encode`` gives the ids of parts and their numbers."""
+        self._forget()
+        self._run += 1
+        known = pc.index_in(parts, value_set=self.parts)
+        at, new = known.fill_null(-1).to_numpy().astype(np.int64), parts.filter(known.is_null())
+        if len(new):
+            ids, sizes = encode(new)
+            at[at < 0] = len(self.parts) + np.arange(len(new))
+            self.parts = pa.concat_arrays([self.parts, new])
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+            self._asked = np.concatenate([self._asked, np.zeros(len(new), dtype=np.int64)])
+        self._asked[at] = self._run
+        return at
+
+    def _forget(self) -> None:
+        stays = pc.binary_length(self.parts).to_numpy() <= self.LONGEST
+        if len(stays) > REMEMBERED:
+            stays &= self._asked > np.partition(self._asked, -REMEMBERED // 2)[-REMEMBERED // 2]
+        if not stays.all():
+            self.ids, self.parts = self.ids[np.repeat(stays, self.sizes)], self.parts.filter(pa.array(stays))
+            self.sizes, self._asked = self.sizes[stays], self._asked[stays]
 
 
 class TextTokenizer:
     """Token ids of texts as little-endian unsigned 32-bit integers.
 
-    A text is cut at single blanks between words, where the tokenizer's own pieces end as well, and each
-    distinct part is encoded once. If the file's merges are in the order of their ids, as byte-level files
+    Texts are cut at single blanks between words and around line ends, where the tokenizer's own pieces end as
+    well. The parts of all texts are numbered together by an Arrow dictionary, each distinct one is encoded once,
+    and the ids are gathered by number. If the file's merges are in the order of their ids, as byte-level files
     have them, the faster of two libraries encodes the parts, with ranks taken from the same file;
     parts with special tokens go to the file's own library.
     """
 
     def __init__(self, path: str):
-        self._tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._path = path
+        with open(path, encoding="utf-8") as file:  # a vocabulary on the worker's own disk, no input
+            told = json.load(file)
+        added = [t["content"] for t in told.get("added_tokens") or []]
         self._special = re.compile("|".join(map(re.escape, added)) or "(?!)")
-        self._ranked = self._by_rank(path, added)
-        self._starts = _Remembered(self._encode)
-        self._words = _Remembered(lambda word: self._encode(" " + word))
+        self._ranked = self._by_rank(told["model"], added)
+        self._line_end = np.frombuffer(self._encode("\n"), dtype="<u4")[0]
+        self._known = _Remembered()
 
-    def _by_rank(self, path: str, added: list[str]) -> tiktoken.Encoding | None:
-        with open(path, encoding="utf-8") as file:  # a vocabulary on the worker's own disk, no input
-            model = json.load(file)["model"]
+    @functools.cached_property
+    def _tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self._path)
+
+    def _by_rank(self, model: dict, added: list[str]) -> tiktoken.Encoding | None:
         merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         ids = [model["vocab"][m] for m in merged]
         if ids != sorted(ids):
@@ -88,23 +120,52 @@ class TextTokenizer:
             return array("I", self._tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
         return array("I", self._ranked.encode_ordinary(part)).tobytes()
 
+    def _encode_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts, one after the other, and how many each has."""
+        text = parts.cast(pa.large_string())
+        alone = pc.not_equal(pc.utf8_rtrim_whitespace(text), text).to_numpy(zero_copy_only=False)
+        alone |= self._ranked is None
+        values, found = text.to_numpy(zero_copy_only=False), [b""] * len(parts)
+        for k in np.flatnonzero(alone):
+            found[k] = self._encode(values[k])
+        if len(together := np.flatnonzero(~alone)):
+            # A line end between words is a piece and a token of its own.
+            ids = self._ranked.encode_to_numpy("\n".join(values[together]), disallowed_special=())
+            ends = np.flatnonzero(ids == self._line_end)
+            sizes = np.diff(ends, prepend=-1, append=len(ids)) - 1
+            if len(together) == len(parts):
+                return np.delete(ids, ends), sizes
+            for k, mine in zip(together.tolist(), np.split(np.delete(ids, ends), np.cumsum(sizes)[:-1])):
+                found[k] = mine.astype("<u4").tobytes()
+        return np.frombuffer(b"".join(found), dtype="<u4"), np.array([len(f) // 4 for f in found], dtype=np.int64)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        starts, words = self._starts, self._words
-        if len(starts) + len(words) > REMEMBERED + REMEMBERED // 4:
-            starts.clear()
-            words.clear()
-        end, start, word = self._encode("\n"), starts.__getitem__, words.__getitem__
-        out = []
-        for text in texts:
-            if _ADJACENT.search(text) or self._special.search(text):
-                out.append(b"".join(map(self._encode, _BLANK.split(text))))
-                continue
-            lines = []
-            for line in text.split("\n"):
-                first, blank, rest = line.partition(" ")
-                lines.append(start(first) + b"".join(map(word, rest.split(" "))) if blank else start(first))
-            out.append(end.join(lines))
-        return out
+        regular = [not (_ADJACENT.search(t) or self._special.search(t)) for t in texts]
+        found = self._gathered([t.encode() for t, r in zip(texts, regular) if r])
+        return [next(found) if r else b"".join(map(self._encode, _BLANK.split(t))) for t, r in zip(texts, regular)]
+
+    def _gathered(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of texts without adjacent blanks and special tokens."""
+        data = b"".join(texts)
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        codes = np.frombuffer(data, dtype=np.uint8)
+        line = codes == ord("\n")
+        begins = line | (codes == ord(" "))
+        begins[1:] |= line[:-1]
+        starts = np.append(0, ends[:-1])
+        begins[starts[starts < len(data)]] = True
+        at = np.flatnonzero(begins)
+        buffers = [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]
+        parts = pa.Array.from_buffers(pa.large_binary(), len(at), buffers).dictionary_encode()
+        known = self._known
+        number = known.numbers(parts.dictionary, self._encode_parts)[parts.indices.to_numpy()]
+        size = known.sizes[number]
+        upto = np.append(0, np.cumsum(size))
+        shift = (np.cumsum(known.sizes) - known.sizes)[number] - upto[:-1]
+        ids = known.ids[np.arange(upto[-1]) + np.repeat(shift, size)]
+        until = upto[np.searchsorted(at, ends)].tolist()
+        for start, end in zip([0, *until], until):
+            yield ids[start:end].tobytes()
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0) -> DataFrame:

@@ -78,6 +78,29 @@ def test_ids_are_the_library_ids():
         assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_whatever_is_remembered(monkeypatch):
+    rng = random.Random(8)
+    words = ["a", "the", "it's", "x9", "é", "…", "w" * 40, "1 000", "a\xa0b", "\u3000", "re:", "b\tc", "\n"]
+    words += ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(200)]
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    monkeypatch.setattr(packing._Remembered, "LONGEST", 20)
+    encoder = packing.TextTokenizer(PATH)
+    for n in range(30):
+        texts = [rng.choice(" \n").join(rng.choices(words, k=rng.randint(0, 20))) + rng.choice(["", " ", "\n"]) for _ in range(20)]
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_words_are_encoded_together(monkeypatch):
+    """A call of the library for each distinct word took half of the time."""
+    calls, one = [], packing.TextTokenizer._encode
+    monkeypatch.setattr(packing.TextTokenizer, "_encode", lambda self, part: calls.append(part) or one(self, part))
+    encoder = packing.TextTokenizer(PATH)
+    text = " ".join(f"w{k}" for k in range(3000))
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert len(calls) < 10
+
+
 def verify(rows, docs, capacity):
     want = sorted((d, LIBRARY.encode(t or "", add_special_tokens=False).ids + [0]) for d, t in docs)
     used, by_block = {}, {}
