@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordercast.llm.common import fresh, prepare, runs
+from ordercast.llm.common import fresh, frugal, prepare, runs
 from ordercast.llm.words import hashes, windows, words
 
 #: Words of benchmark items in one broadcast: 16 bytes each.
@@ -162,6 +162,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple]]:
 
 def _found(text: Column, items, id_type: str, min_match: int, min_coverage: float) -> Column:
     @F.pandas_udf(f"array<struct<item_id {id_type}, coverage double, n_tiles int, longest int>>")
+    @frugal
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out = []

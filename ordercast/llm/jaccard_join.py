@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordercast.llm.common import fresh, perhaps_among, prepare, runs, stage
+from ordercast.llm.common import fresh, frugal, perhaps_among, prepare, runs, stage
 from ordercast.llm.components import components
 from ordercast.llm.words import hashes, mix, shingle_set, words
 
@@ -90,6 +90,7 @@ class Order:
 def order_of(docs: DataFrame, width: int) -> Order:
     """The order that a sample of ``docs`` suggests."""
 
+    @frugal
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for texts in runs(batch["text"]):
@@ -112,6 +113,7 @@ def signatures(docs: DataFrame, width: int, rule: Threshold) -> DataFrame:
     order = docs.sparkSession.sparkContext.broadcast(order_of(docs, width))
 
     @F.pandas_udf("n_shingles long, f1 long, f2 long, tokens array<long>, need int")
+    @frugal
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -211,6 +213,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The shingle hashes of the texts of ``wanted``, read again: rep, shingles (binary)."""
 
     @F.pandas_udf("binary")
+    @frugal
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([shingle_set(hashes(words(t)), width).tobytes() for ts in runs(batch) for t in ts], dtype=object)
@@ -276,7 +279,8 @@ def oracle(width: int = 3, rule: Threshold = Threshold()) -> str:
     shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(width))
     return rf"""
 WITH RECURSIVE texts AS (SELECT row_number() OVER () AS r, doc_id,
-        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
     FROM documents),
 sets AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
         ELSE list_distinct([{shingle} FOR i IN range(1, len(w) - {width - 2})]) END AS s FROM texts),

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ordercast.llm.common import REMEMBERED, prepare, runs, stage
+from ordercast.llm.common import REMEMBERED, frugal, prepare, runs, stage
 from ordercast.llm.token_counts import PIECES, byte_alphabet
 
 _ADJACENT = re.compile(r"\s\s")
@@ -178,6 +178,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0) -> DataFr
     fields = ("piece", "start", "length", "ids_crc32", "task", "rank")
 
     @F.pandas_udf("array<struct<piece int, start long, length long, ids_crc32 long, task int, rank long>>")
+    @frugal
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         task, ranks, end = TaskContext.get().partitionId(), Counter(), np.array([end_id], dtype="<u4").tobytes()
         encoder = TextTokenizer(path)  # the task's own: a worker doesn't hold on to vocabularies and words

@@ -48,7 +48,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordercast.llm.common import fresh, new_path, prepare, slices, stage
+from ordercast.llm.common import fresh, frugal, new_path, prepare, slices, stage
 from ordercast.llm.words import mix, windows, words
 
 ORDER, BITS = 5, 10
@@ -60,6 +60,8 @@ PAIRS = SYMBOLS**2
 PARTS = 256
 #: Rows of a file that make up a block.
 BLOCK_ROWS = 16_384
+#: Characters whose n-grams are taken together, and n-grams that wait to be added to a block's.
+CHARS, WAITING = 1_000_000, 1_000_000
 #: Answers are whole numbers of such parts of a unit.
 STEPS = 1 << 16
 
@@ -246,7 +248,7 @@ def _asks(block: int, halves: list[list[tuple]]) -> Iterator[tuple]:
     """A block's rows for partitions; blocks have even numbers, to which the half is added."""
     for half, found in enumerate(halves):
         if found:
-            grams, n = _sum_by(np.concatenate([g for g, _ in found]), np.concatenate([c for _, c in found]))
+            grams, n = _merged(found)
             part = part_of(grams)
             order = np.argsort(part, kind="stable")
             for places in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
@@ -254,18 +256,36 @@ def _asks(block: int, halves: list[list[tuple]]) -> Iterator[tuple]:
                     yield int(part[places[0]]), block + half, _pack_sorted(grams[places]), _pack(n[places])
 
 
-def _counted(block: int, texts: list[str], halves: list[list[tuple]]) -> None:
-    for part in slices(map(len, texts)):
+def _merged(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams and counts, added up."""
+    grams, n = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    first = np.flatnonzero(np.diff(grams, prepend=-1))
+    return grams[first], np.add.reduceat(n[order], first)
+
+
+def _counted(texts: list[str], halves: list[list[tuple]]) -> None:
+    """Add the n-grams of texts to their block's; few wait to be added up, however many texts a block has."""
+    for part in slices(map(len, texts), CHARS):
         for h, mine in enumerate(_halves(texts[part])):
             halves[h].append(np.unique(ngrams([texts[part][k] for k in mine])[0], return_counts=True))
+            if sum(len(g) for g, _ in halves[h][1:]) > max(WAITING, len(halves[h][0][0])):
+                halves[h] = [_merged(halves[h])]
 
 
-def count(texts: DataFrame, block: str, column: str = "text") -> DataFrame:
-    """Distinct n-grams of each block and half with their counts, packed, a row per partition (``ASKED``)."""
+def count(texts: DataFrame, block: str, column: str = "text", place: str | None = None, only: str | None = None) -> DataFrame:
+    """Distinct n-grams of each block and half with their counts, packed, a row per partition (``ASKED``).
 
+    With ``only``, where :func:`_places` has written places, of the rows whose ``place`` is among them.
+    """
+
+    @frugal
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, halves = None, [[], []]
+        at, halves, among = None, [[], []], _Among(only)
         for batch in batches:
+            if only:
+                batch = batch.filter(pa.array(among.chosen(batch.column(0).to_pylist(), batch.column(2).to_pylist()), pa.bool_()))
             blocks = batch.column(0).to_numpy()
             for rows in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1):
                 if not len(rows):
@@ -274,11 +294,11 @@ def count(texts: DataFrame, block: str, column: str = "text") -> DataFrame:
                     yield _batch(list(_asks(at, halves)), ASKED)
                     halves = [[], []]
                 at = int(blocks[rows[0]])
-                _counted(at, [t or "" for t in batch.column(1).take(pa.array(rows)).to_pylist()], halves)
+                _counted([t or "" for t in batch.column(1).take(pa.array(rows)).to_pylist()], halves)
         if at is not None:
             yield _batch(list(_asks(at, halves)), ASKED)
 
-    return texts.select(block, column).mapInArrow(counted, ASKED)
+    return texts.select(block, column, *([place] if only else [])).mapInArrow(counted, ASKED)
 
 
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
@@ -361,6 +381,7 @@ def shared(model: DataFrame, off: str | None = None) -> tuple[list[np.ndarray],
     To the driver come ``PARTS`` rows with at most ``PAIRS`` counts each.
     """
 
+    @frugal
     def reduced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
@@ -407,6 +428,7 @@ def answer(model: DataFrame, off: str | None = None, keys: bool = True) -> str:
     """
     sent = model.sparkSession.sparkContext.broadcast(shared(model, off))
 
+    @frugal
     def answered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
@@ -500,6 +522,7 @@ def score(texts: DataFrame, block: str, path: str, keys: str, column: str = "tex
     for name in names:
         schema = schema.add(name, "double" if name == "loss" else "long")
 
+    @frugal
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers = Answers(path, keys)
         for batch in batches:
@@ -508,7 +531,7 @@ def score(texts: DataFrame, block: str, path: str, keys: str, column: str = "tex
             out = []
             for rows in np.split(np.arange(len(blocks)), np.flatnonzero(np.diff(blocks)) + 1):
                 mine = values[rows[0] : rows[-1] + 1] if len(rows) else []
-                for part in slices(map(len, mine)):
+                for part in slices(map(len, mine), CHARS):
                     n, total = answers.losses(int(blocks[rows[0]]), mine[part])
                     found = [basics(t, words(t, fold=False)) for t in mine[part]] if base else [()] * len(n)
                     out += [(*b, int(k), s / max(k, 1)) for b, k, s in zip(found, n, total.tolist())]
@@ -566,20 +589,30 @@ def _places(rows: DataFrame, block: str, place: str) -> str:
     return _by(found, "block", "places")
 
 
+class _Among:
+    """Which rows are those that :func:`_places` has written; reads a block's places once."""
+
+    def __init__(self, path: str | None):
+        self.path, self.block, self.known = path, None, set()
+
+    def chosen(self, blocks: list[int], places: list[int]) -> list[bool]:
+        out = []
+        for b, p in zip(blocks, places):
+            if b != self.block:
+                self.block, row = b, _row_of(self.path, "block", b)
+                self.known = set(row["places"]) if row else set()
+            out.append(p in self.known)
+        return out
+
+
 def _among(path: str) -> Callable[[Column, Column], Column]:
     """A condition on block and place: whether the row is one of those that :func:`_places` has written."""
 
     @F.pandas_udf("boolean")
     def among(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        at, known = None, set()
+        known = _Among(path)
         for blocks, places in batches:
-            out = []
-            for b, p in zip(blocks.tolist(), places.tolist()):
-                if b != at:
-                    at, row = b, _row_of(path, "block", b)
-                    known = set(row["places"]) if row else set()
-                out.append(p in known)
-            yield pd.Series(out, dtype=bool)
+            yield pd.Series(known.chosen(blocks.tolist(), places.tolist()), dtype=bool)
 
     return among
 
@@ -602,8 +635,7 @@ def _judged(texts: DataFrame, block: str, place: str, lang: str, refits: int = 2
         if k < refits:
             # What is outside of narrower bands no longer counts: its n-grams are taken off.
             inner = judged(found, lang, **rules | {"width": trim})
-            outside = _among(_places(inner.where("NOT kept"), block, place))
-            off = take_off(count(texts.select(block, place, "text").where(outside(F.col(block), F.col(place))), block))
+            off = take_off(count(texts, block, place=place, only=_places(inner.where("NOT kept"), block, place)))
     return judged(found, lang, **rules)
 
 

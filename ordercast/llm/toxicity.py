@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordercast.llm.common import REMEMBERED, fresh, prepare, runs
+from ordercast.llm.common import REMEMBERED, fresh, frugal, prepare, runs
 
 #: Labelled rows of each label that are learned from, and entries of the lexicon, at most.
 PER_LABEL = 4000
@@ -218,6 +218,7 @@ class Reader:
 def _term_counts(sample: DataFrame, stem_lengths: range) -> DataFrame:
     """(term, stem, toxic, clean): in how many texts of either label words and stems occur."""
 
+    @frugal
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for batch in batches:
@@ -279,6 +280,7 @@ class Scorer:
 
 def _features(text: Column, lexicon) -> Column:
     @F.pandas_udf("array<double>")
+    @frugal
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader = Reader(lexicon.value)
         for batch in batches:
@@ -318,6 +320,7 @@ def score(text: Column, scorer) -> Column:
     """The score of a text, 0 to 1. ``scorer`` is a broadcast :class:`Scorer`."""
 
     @F.pandas_udf("double")
+    @frugal
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader = Reader(scorer.value.lexicon)
         for batch in batches:

@@ -11,7 +11,7 @@ from hashlib import blake2b
 
 import numpy as np
 
-from ordercast.llm.common import REMEMBERED
+from ordercast.llm.common import REMEMBERED, remembered
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # 2**64 divided by the golden ratio, odd
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -23,7 +23,7 @@ class _Hashes(dict):
         return found
 
 
-_known = _Hashes()
+_known = remembered(_Hashes())
 
 
 def words(text: str, fold: bool = True) -> list[bytes]:

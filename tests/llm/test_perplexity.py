@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ordercast.llm import perplexity
+from ordercast.llm import common, perplexity, words
 
 from .conftest import prose
 
@@ -197,3 +197,33 @@ def test_refits_bring_out_common_mess(documents):
         assert sum(not found[k].kept for k in range(200)) <= 2
         lost.append(sum(not found[k].kept for k in range(200, 240)))
     assert lost[0] <= lost[1] == 40
+
+
+def test_counts_are_added_up_as_they_come(monkeypatch):
+    """A block's texts in any number of runs: what waits doesn't grow with them (it took a worker 400 MB)."""
+    monkeypatch.setattr(perplexity, "CHARS", 1000)
+    monkeypatch.setattr(perplexity, "WAITING", 2000)
+    rng = random.Random(3)
+    texts = [prose(rng, 50) for _ in range(20)]
+    halves = [[], []]
+    for _ in range(50):
+        perplexity._counted(texts, halves)
+        assert sum(len(g) for found in halves for g, _ in found) < 20_000
+    for found, mine in zip(halves, perplexity._halves(texts)):
+        grams, n = np.unique(perplexity.ngrams([texts[k] for k in mine])[0], return_counts=True)
+        merged = perplexity._merged(found)
+        assert merged[0].tolist() == grams.tolist() and merged[1].tolist() == (50 * n).tolist()
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    given = []
+    words.hashes([b"remembered"])
+    common.give_back()
+    assert not words._known
+    monkeypatch.setattr(common, "give_back", lambda: given.append(True))
+    double = common.frugal(lambda batches: (2 * b for b in batches))
+    assert list(double(iter([1, 2]))) == [2, 4] and len(given) == 1
+    unread = double(iter([1, 2]))
+    next(unread)
+    unread.close()
+    assert len(given) == 2
