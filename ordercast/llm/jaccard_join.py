@@ -218,8 +218,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             yield pd.Series([shingle_set(hashes(words(t)), width).tobytes() for ts in runs(batch) for t in ts], dtype=object)
 
-    near = perhaps_among(wanted, "rep")
-    texts = docs.select(row_key().alias("rep"), "text").where(near(F.col("rep"))).join(wanted, "rep", "left_semi")
+    texts = perhaps_among(docs.select(row_key().alias("rep"), "text"), "rep", wanted, "rep").join(wanted, "rep", "left_semi")
     made = texts.select("rep", packed.asNondeterministic()("text").alias("shingles"))
     return stage(made.dropDuplicates(["rep"]), "sets")
 

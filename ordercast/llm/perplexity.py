@@ -60,8 +60,8 @@ PAIRS = SYMBOLS**2
 PARTS = 256
 #: Rows of a file that make up a block.
 BLOCK_ROWS = 16_384
-#: Characters whose n-grams are taken together, and n-grams that wait to be added to a block's.
-CHARS, WAITING = 1_000_000, 1_000_000
+#: Characters whose n-grams are taken together, and n-grams that wait to be added to a block's (no result depends on them).
+CHARS, WAITING = 250_000, 250_000
 #: Answers are whole numbers of such parts of a unit.
 STEPS = 1 << 16
 
@@ -257,12 +257,20 @@ def _asks(block: int, halves: list[list[tuple]]) -> Iterator[tuple]:
 
 
 def _merged(found: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted n-grams and counts, added up."""
-    grams, n = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(grams, kind="stable")
-    grams = grams[order]
-    first = np.flatnonzero(np.diff(grams, prepend=-1))
-    return grams[first], np.add.reduceat(n[order], first)
+    """Sorted n-grams and counts, added up; the first ones are not sorted again, as they may be many more than the others."""
+    (grams, n), *others = [f for f in found if len(f[0])] or found[:1]
+    if not others:
+        return grams, n
+    more, m = (np.concatenate(x) for x in zip(*others))
+    order = np.argsort(more, kind="stable")
+    more = more[order]
+    first = np.flatnonzero(np.diff(more, prepend=-1))
+    more, m = more[first], np.add.reduceat(m[order], first)
+    at = np.searchsorted(grams, more)
+    new = grams.take(at, mode="clip") != more
+    grams, n = np.insert(grams, at[new], more[new]), np.insert(n, at[new], m[new])
+    n[(at + np.cumsum(new))[~new]] += m[~new]
+    return grams, n
 
 
 def _counted(texts: list[str], halves: list[list[tuple]]) -> None:
@@ -270,7 +278,7 @@ def _counted(texts: list[str], halves: list[list[tuple]]) -> None:
     for part in slices(map(len, texts), CHARS):
         for h, mine in enumerate(_halves(texts[part])):
             halves[h].append(np.unique(ngrams([texts[part][k] for k in mine])[0], return_counts=True))
-            if sum(len(g) for g, _ in halves[h][1:]) > max(WAITING, len(halves[h][0][0])):
+            if sum(len(g) for g, _ in halves[h][1:]) > WAITING:
                 halves[h] = [_merged(halves[h])]
 
 
@@ -480,8 +488,8 @@ class Answers:
     def _known(self, half: int) -> tuple[np.ndarray, np.ndarray]:
         if half not in self.known:
             grams = _unpack_sorted(_row_of(self.keys, "block", self.block + half)["grams"])
-            loss = np.empty(len(grams))
-            loss[_dealt(grams)] = _unpack(_row_of(self.path, "block", self.block + half)["p"], np.uint32) / STEPS
+            loss = np.empty(len(grams), dtype=np.uint32)
+            loss[_dealt(grams)] = _unpack(_row_of(self.path, "block", self.block + half)["p"], np.uint32)
             self.known[half] = grams, loss
         return self.known[half]
 
@@ -507,7 +515,7 @@ class Answers:
             keys, known = self._known(h)
             of = np.repeat(known[np.searchsorted(keys, gram[first])], np.diff(first, append=len(gram)))
             text = (both & np.uint64((1 << _OWNER) - 1)).view(np.int64)
-            loss[mine] = np.bincount(text, weights=of, minlength=len(mine))
+            loss[mine] = np.bincount(text, weights=of / STEPS, minlength=len(mine))
         return sizes, loss
 
 

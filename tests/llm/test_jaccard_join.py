@@ -5,7 +5,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from ordercast.llm import jaccard_join
+from ordercast.llm import common, jaccard_join
 from ordercast.llm.components import components
 from ordercast.llm.words import hashes, shingle_set, words
 
@@ -154,3 +154,15 @@ def test_connected_components(spark):
         assert found[start] == min(seen)
     assert set(found) == set(near)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_ids_are_thinned_out_without_python(spark):
+    """The task that reads the texts of the rows left runs Python itself, and two steps would keep two workers each."""
+    rows = spark.range(3000).selectExpr("id * 7919 - 5 as rep", "cast(id as string) as text")
+    asked = rows.where("text like '%7'").select("rep")
+    near = common.perhaps_among(rows, "rep", asked, "rep")
+    found = [r.rep for r in near.collect()]
+    assert near.columns == rows.columns and len(found) == len(set(found)) < 310
+    assert {r.rep for r in asked.collect()} <= set(found)
+    assert "Python" not in near._jdf.queryExecution().toString()
+    assert not common.perhaps_among(rows, "rep", asked.limit(0), "rep").collect()
