@@ -33,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordercast.llm.common import fresh, frugal, perhaps_among, prepare, runs, stage
@@ -166,34 +166,35 @@ def _compare(part: pd.DataFrame, rule: Threshold) -> pd.DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int, rule: Threshold, group_shingles: int) -> DataFrame:
-    """Links (a, b) that connect what the threshold connects. ``classes``: rep, n_shingles, tokens, need."""
-    known = classes.select("rep", "n_shingles", "need", F.size("tokens").alias("tokens"))
+    """Links (a, b) that connect what the threshold connects. ``classes``: rep, n_shingles, tokens, n_tokens, need."""
+    known = classes.select("rep", "n_shingles", "need", "n_tokens")
     held = classes.select("rep", F.explode("tokens").alias("token"))
     shared = held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Only tokens of several classes are kept from here on.
     held = stage(held.join(shared, "token"), "tokens")
-    chosen = held.groupBy("rep").agg(F.max(F.struct("n", (-F.col("token")).alias("t"))).getField("t").alias("g"))
-    tried = stage(held.select("token", "rep").join(chosen, "rep"), "tried")
+    most = F.max(F.struct("n", (-F.col("token")).alias("t"))).over(Window.partitionBy("rep"))
+    tried = stage(held.select("token", "rep", most.getField("t").alias("g")), "tried")
+    chosen = tried.select("rep", "g").distinct()
     often = tried.groupBy("token", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     common = tried.join(often, ["token", "g"], "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("common"))
     placed = chosen.join(known, "rep").join(common, "rep", "left")
-    at_home = F.coalesce(F.col("common") * 3 >= F.col("tokens"), F.lit(False))
+    at_home = F.coalesce(F.col("common") * 3 >= F.col("n_tokens"), F.lit(False))
     placed = placed.withColumn("g", F.when(at_home, F.col("g")).otherwise(F.xxhash64("rep", F.lit("alone"))))
     room = placed.groupBy("g").agg(F.ceil(F.sum("n_shingles") / group_shingles).alias("parts"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts"))
     placed = placed.join(room, "g").withColumn("group", F.xxhash64("g", part))
     grouped = stage(placed.select("rep", "group", "n_shingles", "need"), "groups")
 
-    rows = held.select("token", "rep").join(grouped, "rep")
+    rows = held.select("token", "rep").join(grouped.select("rep", "group", "need"), "rep")
     matrix = rows.groupBy("token", "group").agg(F.count(F.lit(1)).alias("members"))
-    asking = rows.select("token", "rep", F.col("group").alias("own"))
+    asking = rows.select("token", "rep", F.col("group").alias("own"), "need")
     # A pair is found from both sides; one will do, so queries look at their own group and larger ones. In its own
     # group, a query's token counts if another member has it.
     met = asking.join(matrix, "token").where("own < group or (own = group and members > 1)")
-    met = met.groupBy("rep", "group").agg(F.count(F.lit(1)).alias("n"))
+    met = met.groupBy("rep", "group", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need").drop("need")
     sizes = grouped.groupBy("group").agg(F.min("n_shingles").alias("smallest"), F.max("n_shingles").alias("largest"))
     near = f"{rule.den} * largest >= {rule.num} * n_shingles and {rule.num} * smallest <= {rule.den} * n_shingles"
-    opened = met.join(grouped.select("rep", "n_shingles", "need"), "rep").where("n >= need").join(sizes, "group").where(near)
+    opened = met.join(grouped.select("rep", "n_shingles"), "rep").join(sizes, "group").where(near)
     opened = stage(opened.select("rep", "group", "n_shingles"), "opened")
 
     # Queries of one group are dealt to blocks, with the members in each.
@@ -209,6 +210,14 @@ def links(docs: DataFrame, classes: DataFrame, width: int, rule: Threshold, grou
     return rows.join(sets, "rep").groupBy("group", "block").applyInPandas(compare, "a long, b long")
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep and text of the rows of ``wanted``, whose reps are distinct.
+
+    An inner join: Spark moves a semi join below the filter's join, and every text would be shuffled before it.
+    """
+    return perhaps_among(docs.select(row_key().alias("rep"), "text"), "rep", wanted, "rep").join(wanted, "rep")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The shingle hashes of the texts of ``wanted``, read again: rep, shingles (binary)."""
 
@@ -218,9 +227,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             yield pd.Series([shingle_set(hashes(words(t)), width).tobytes() for ts in runs(batch) for t in ts], dtype=object)
 
-    texts = perhaps_among(docs.select(row_key().alias("rep"), "text"), "rep", wanted, "rep").join(wanted, "rep", "left_semi")
-    made = texts.select("rep", packed.asNondeterministic()("text").alias("shingles"))
-    return stage(made.dropDuplicates(["rep"]), "sets")
+    made = _texts(docs, wanted).select("rep", packed.asNondeterministic()("text").alias("shingles"))
+    return made.dropDuplicates(["rep"])
 
 
 def without_copies(docs: DataFrame, width: int = 5, rule: Threshold = Threshold(80, 100)) -> DataFrame:
@@ -253,8 +261,9 @@ def _labelled(docs: DataFrame, width: int, rule: Threshold, group_shingles: int)
     of = ["n_shingles", "f1", "f2"]
     full = signed.where("n_shingles > 0")
     classes = stage(full.groupBy(*of).agg(F.min("key").alias("rep"), F.min("doc_id").alias("least")), "classes")
-    held = full.withColumnRenamed("key", "rep").join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
-    found = components(links(docs, held.select("rep", "n_shingles", "tokens", "need"), width, rule, group_shingles))
+    sized = full.withColumn("n_tokens", F.size("tokens")).withColumnRenamed("key", "rep")
+    held = sized.join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    found = components(links(docs, held.select("rep", "n_shingles", "tokens", "n_tokens", "need"), width, rule, group_shingles))
     member = classes.join(found, classes["rep"] == found["vertex"], "left").withColumn("component", F.coalesce("component", "rep"))
     member = stage(member.select(*of, "component", "least"), "members")
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -166,3 +166,13 @@ def test_ids_are_thinned_out_without_python(spark):
     assert {r.rep for r in asked.collect()} <= set(found)
     assert "Python" not in near._jdf.queryExecution().toString()
     assert not common.perhaps_among(rows, "rep", asked.limit(0), "rep").collect()
+
+
+def test_texts_are_thinned_out_before_they_are_shuffled(spark, documents):
+    """As a semi join, the join with the rows asked for went below the filter, and all texts were shuffled for it."""
+    docs = documents([f"text {k}" for k in range(50)])
+    wanted = docs.where("doc_id % 5 = 0").select(jaccard_join.row_key().alias("rep")).distinct()
+    texts = jaccard_join._texts(docs, wanted)
+    joins = [line for line in texts._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in line]
+    assert len(joins) == 2 and "getbit" not in joins[0] and "getbit" in joins[1]
+    assert sorted(r.text for r in texts.collect()) == sorted(f"text {k}" for k in range(0, 50, 5))
